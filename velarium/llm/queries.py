@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from velarium.llm import bpe, decontaminate, exact_dedup, sharding, simhash
+from velarium.llm import bpe, decontaminate, exact_dedup, quality_rules, sharding, simhash
+from velarium.llm.text_rules import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_rules.score(docs.select("doc_id", "text"), rules)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontamination, op5_simhash_near_dedup, op6_sharding, op9_bpe, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontamination, op5_simhash_near_dedup, op6_sharding, op8_quality_rules, op9_bpe, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """

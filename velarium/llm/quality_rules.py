@@ -163,12 +163,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, rules: Rules, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` and the model's probability that a text is of quality."""
-    scored = with_statistics(docs, text_col).withColumn(f"{_P}score", rules.score())
+    """`docs` and the model's probability that a text is of quality.
+
+    The score passes through a one-element explode, beyond which the optimizer pushes no filter: else a filter on the score
+    would copy each statistic into every rule that names it.
+    """
+    scored = with_statistics(docs, text_col).withColumn(f"{_P}score", F.explode(F.array(rules.score())))
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col], F.col(f"{_P}score").alias(score_col))
 
 
 def keep_quality(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
     """The rows with a score of 0.5 or more, with the columns of `docs`."""
-    scored = with_statistics(docs, text_col).filter(rules.score() >= 0.5)
+    scored = score(docs, rules, text_col, f"{_P}kept").filter(F.col(f"{_P}kept") >= 0.5)
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.llm import bpe, decontaminate, exact_dedup, gru_lm, quality_rules, sharding, simhash
+from velarium.llm import bpe, crf_langid, decontaminate, exact_dedup, gru_lm, quality_rules, sharding, simhash
 from velarium.llm.text_rules import fold
 
 
@@ -19,6 +19,12 @@ def op1_gru_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op3_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = crf_langid.predict(docs, crf_langid.train(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gru_lm_scores, op4_decontamination, op5_simhash_near_dedup, op6_sharding, op8_quality_rules, op9_bpe, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gru_lm_scores, op3_crf_language_id, op4_decontamination, op5_simhash_near_dedup, op6_sharding, op8_quality_rules, op9_bpe, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """

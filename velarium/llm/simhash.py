@@ -161,7 +161,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, fingerprint (16 hex digits), component_id."""
     ship(docs.sparkSession)
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(shingle)(F.col(text_col)).alias("fp")))
-    out = prints.join(groups(prints, most), "fp")
+    found = cut(groups(prints, most))
+    # fingerprints of over 0.1 % of the rows (at most 1000) meet their component map-side, the others by a shuffle
+    often = prints.groupBy("fp").count().filter(F.col("count") > 0.001 * prints.count()).select("fp")
+    hot = cut(found.join(F.broadcast(often), "fp"))
+    here = prints.join(F.broadcast(hot), "fp")
+    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(found, "fp")
+    out = here.unionByName(rest)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.llm import bpe, crf_langid, decontaminate, exact_dedup, gru_lm, quality_rules, sharding, simhash
+from velarium.llm import bpe, crf_langid, decontaminate, exact_dedup, gru_lm, license_scan, quality_rules, secret_forest, sharding, simhash
 from velarium.llm.text_rules import fold
 
 
@@ -19,6 +19,10 @@ def op1_gru_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = crf_langid.predict(docs, crf_langid.train(docs))
@@ -37,6 +41,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rules = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
@@ -54,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gru_lm_scores, op3_crf_language_id, op4_decontamination, op5_simhash_near_dedup, op6_sharding, op8_quality_rules, op9_bpe, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gru_lm_scores, op2_license_scan, op3_crf_language_id, op4_decontamination, op5_simhash_near_dedup, op6_sharding, op7_secret_scan, op8_quality_rules, op9_bpe, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """

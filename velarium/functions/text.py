@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from velarium.shared import ship
+
 #: Characters that readers of images confuse (fixed values).
 LOOK_ALIKES = {"0": ["o"], "1": ["l", "i"], "rn": ["m"]}
 
@@ -60,6 +62,7 @@ def stem(word: str) -> str:
 
 def stems(c: Column) -> Column:
     """The stems of an array of terms."""
+    ship(SparkSession.active())
 
     @F.arrow_udf("array<string>")
     def of(x: pa.Array) -> pa.Array:

@@ -61,24 +61,19 @@ def bm25(docs: DataFrame, query_terms: list[str], key: str = "doc_id", field: st
     taken in the projection that reads the text, so no posting of another term is made or shuffled.
     """
     wanted = sorted(set(query_terms))
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     split = (terms or T.terms)(F.col(field))
     split_docs = docs.select(F.col(key), split.alias("terms")).filter(F.col("terms").isNotNull())
-    counted = split_docs.select(key, F.size("terms").alias("dl"), *[_occurrences("terms", w).alias(f"tf{i}") for i, w in enumerate(wanted)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
+    held = split_docs.select(key, F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(*wanted)).alias("held"))
+    counted = held.select(key, "dl", F.transform(F.array(*map(F.lit, wanted)), lambda w: F.size(F.filter("held", lambda t: t == w))).alias("tf"))
+    df = F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(wanted))])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))
     every = counted.join(F.broadcast(stats))  # one row
-    parts = []
-    for i in range(len(wanted)):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
-        idf = F.log(1.0 + (F.col("n") - df + 0.5) / (df + 0.5))
-        parts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    if not parts:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(wanted))])
-    return every.filter(hit).select(key, reduce(lambda a, b: a + b, parts).alias("score"))
-
-
-def _occurrences(terms: str, word: str) -> Column:
-    return F.size(F.filter(terms, lambda t: t == word))
+    idf = F.transform("df", lambda d: F.log(1.0 + (F.col("n") - d + 0.5) / (d + 0.5)))
+    part = F.zip_with("tf", idf, lambda tf, w: w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    # every hit scores above zero; the filter needs the statistics, so it isn't pushed to where the text would be split again
+    return every.select(key, F.aggregate(part, F.lit(0.0), lambda a, x: a + x).alias("score")).filter(F.col("score") > 0)
 
 
 def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", field: str = "text", least: float | None = None, **scope) -> DataFrame:

@@ -14,6 +14,8 @@ Null texts have size 8 and the CRC-32 of the empty text; null ids are placed lik
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,13 @@ def plan_runs(counts: dict[int, int], nodes: list[tuple[int, int]], shards: int)
     return runs
 
 
+def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of integers from the driver, as one JSON literal that Spark parses: no Python stage is run for it."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f.replace(' ', ':') for f in schema.split(', '))}>>")))
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, vnodes: int = 64, ring_slots: int = 4096, chunk_rows: int = 100_000) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard (null)."""
     spark = docs.sparkSession
@@ -68,7 +77,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     rows = cut(rows)
     counts = {r["place"]: r["n"] for r in rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan_runs(counts, place_nodes(spark, shards, vnodes, ring_slots), shards)
-    parts = spark.createDataFrame([(p, -(-n // chunk_rows)) for p, n in counts.items()], "place int, chunks int")
+    parts = _table(spark, [(p, -(-n // chunk_rows)) for p, n in counts.items()], "place int, chunks int")
     rows = rows.join(F.broadcast(parts), "place").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     # where each chunk of a divided place starts; a place of one chunk starts at 0
     sizes = rows.filter("chunks > 1").groupBy("place", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -77,7 +86,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("place", "chunk").orderBy("id", "crc", "row")) - 1)
     if any(n > chunk_rows for n in counts.values()):
         ranked = ranked.join(starts, ["place", "chunk"], "left").withColumn("rank", F.col("rank") + F.coalesce("start", F.lit(0)))
-    dealt = spark.createDataFrame(runs, RUNS).withColumnRenamed("place", "at")
+    dealt = _table(spark, runs, RUNS).withColumnRenamed("place", "at")
     out = ranked.join(F.broadcast(dealt), (F.col("place") == F.col("at")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return out.select(
         F.col("id").alias(id_col),

@@ -113,7 +113,7 @@ class Segment:
         self.ids = batch.column(batch.schema.get_field_index("ids"))[row].values
         self.keys, self.n_words, ends = get("keys"), get("n_words"), get("ends")
         self.postings = (get("docs").astype(np.int64) << 32) + get("positions")
-        self.span = dict(zip(get("terms").tolist(), zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True), strict=True))
+        self.span = dict(zip(get("terms").tolist(), zip(np.r_[0, ends][:-1].tolist(), ends.tolist(), strict=True), strict=True))
 
     def of(self, term: int) -> np.ndarray:
         a, b = self.span[term]
@@ -258,4 +258,4 @@ def proximity(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.int32())], names=["id", "item", "position"])
 
         out.append(build_index(keyed, side).mapInArrow(close, "id string, item string, position int"))
-    return reduce(DataFrame.unionByName, out).distinct().select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("item").alias(item_col), "position")
+    return reduce(DataFrame.unionByName, out).distinct().select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("item").cast(items.schema[item_col].dataType).alias(item_col), "position")

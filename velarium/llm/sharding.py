@@ -25,9 +25,9 @@ RUNS = "place int, lo long, hi long, shard int, base long"
 
 
 def place_nodes(spark, shards: int, vnodes: int, ring_slots: int) -> list[tuple[int, int]]:
-    """(ring place, shard) of every virtual node, clockwise; ties go to the smaller shard."""
+    """(ring place, shard) of every virtual node, clockwise; ties go to the smaller shard. A node's place hangs on its shard and number alone, so a further shard moves no other's."""
     nodes = spark.range(shards * vnodes).select(
-        (F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(ring_slots)).cast("int").alias("at")
+        (F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), F.col("id") % shards, F.floor(F.col("id") / shards)), F.lit(ring_slots)).cast("int").alias("at")
     )
     return sorted((r["at"], r["shard"]) for r in nodes.collect())
 

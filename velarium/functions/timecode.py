@@ -14,8 +14,8 @@ _LOOSE = r"^(\d{1,2}):([0-5]?\d):([0-5]?\d)(?:\.(\d{1,6}))?$"
 
 def _seconds(c: Column, pattern: str) -> Column:
     part = lambda k: F.regexp_extract(c, pattern, k)
-    fraction = F.coalesce(F.try_divide(part(4).cast("double"), F.pow(F.lit(10.0), F.length(part(4)).cast("double"))), F.lit(0.0))
-    return F.when(c.rlike(pattern), part(1).cast("double") * 3600 + part(2).cast("double") * 60 + part(3).cast("double") + fraction)
+    fraction = F.coalesce(F.try_divide(part(4).try_cast("double"), F.pow(F.lit(10.0), F.length(part(4)).try_cast("double"))), F.lit(0.0))
+    return F.when(c.rlike(pattern), part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double") + fraction)
 
 
 def time_to_seconds(c: Column) -> Column:

@@ -311,6 +311,56 @@ def test_secret_scan(spark):
     assert not set(verdict) & {4, 5, 6}
 
 
+def brute_candidates(text):
+    """(before, sep, candidate, after) by walking the runs of key characters."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9_+/.@-]+", text, re.A):
+        run, left = m.group(), text[: m.start()]
+        left = left[:-1] if left[-1:] and left[-1] in "\"'`" else left
+        stem = left.rstrip(" \t")
+        signs = len(stem) - len(stem.rstrip("=:"))
+        sep = stem[len(stem) - min(signs, 2) :] if signs else (" " if stem != left else "")
+        named = stem[: len(stem) - len(sep)] if signs else stem
+        named = named.rstrip(" \t") if signs else named
+        named = named[:-1] if named[-1:] and named[-1] in "\"'" else named
+        name = re.search(r"[A-Za-z][\w.-]*$", named, re.A) if sep else None
+        before, sep = (name.group(), sep) if name else ("", "")
+        long = len(run) >= 16 and re.search("[0-9]", run) and re.search("[A-Za-z]", run)
+        if long or (len(run) >= 8 and before and sep.strip()):
+            tail = re.match("=*", text[m.end() :]).group()
+            tail = "" if re.match("[A-Za-z0-9_+/.@\"'`-]", text[m.end() + len(tail) :]) else tail
+            right = text[m.end() + len(tail) :]
+            after = re.match(r"[\"'`]?[ \t]+([\w.-]{1,40})", right, re.A)
+            out.append((before, sep, run + tail, after.group(1) if after else ""))
+    return out
+
+
+LONG, OTHER = "Zx81kQ02mPz77Lw4TTbq9", "9f86d081884c7d659a2feaa0c55ad015"
+FORMS = {
+    f"api_key={LONG}": [LONG], f"GET /v1?token={LONG}&user=1": [LONG], f"A=1\nSECRET_KEY={LONG}\nB=2": [LONG], f'"api_key": "{LONG}"': [LONG], f"api_key : {LONG}": [LONG],
+    f"token {LONG}": [LONG], "password: s3cretPass9": ["s3cretPass9"], "password=onlyletters": ["onlyletters"], "pin: 1234567890123456": ["1234567890123456"], "password: short": [],
+    "say s3cretPass9 aloud": [], f"{LONG} {OTHER}": [LONG, OTHER], f"{LONG} {OTHER} {LONG}": [LONG, OTHER, LONG], "user: password=hunter2xyz": ["password", "hunter2xyz"],
+    f"my_long_api_key_2={LONG}": ["my_long_api_key_2", LONG], f"k={LONG}== z": [LONG + "=="], f"key='{LONG}' commit": [LONG], f"{LONG},{OTHER}": [LONG, OTHER], "12:abcdefghij": [], "": [], None: [],
+}
+
+
+def test_secret_candidates_equal_brute_force(spark, odd, docs):
+    forms = spark.createDataFrame(list(enumerate(FORMS)), SCHEMA)
+    for table in (forms, odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text"), docs.select("doc_id", "text")):
+        found = defaultdict(list)
+        for r in secret_forest.candidates(table).orderBy("doc_id", "ordinal").collect():
+            found[r["doc_id"]].append((r["before"], r["sep"], r["candidate"], r["after"]))
+        for r in table.collect():
+            assert found.get(r["doc_id"], []) == brute_candidates(r["text"]), r["text"]
+    assert {t: [c[2] for c in brute_candidates(t)] for t in FORMS} == FORMS
+
+
+def test_secrets_assigned_without_blanks_or_short(spark):
+    rows = [(1, f"api_key={LONG}"), (2, "password: s3cretPass9"), (3, "remark: following"), (4, f"{LONG} token={OTHER}")]
+    found = {(r["doc_id"], r["ordinal"]): r["secret"] for r in secret_forest.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1, 0] and found[2, 0] and not found[3, 0] and found[4, 1]
+
+
 def test_secret_forest_on_held_out_findings(spark):
     from pyspark.ml.functions import vector_to_array
 

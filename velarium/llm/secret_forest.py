@@ -1,9 +1,10 @@
 """Secret scans: a pattern proposes candidates, a random forest removes false positives. DataFrame operations only.
 
-A candidate is a run of 16 or more of the characters that keys are made of, with at least one digit and one letter, or a value of 8 or more that is
-assigned to a name. Its features are length, transitions between character classes, distinct characters, digits, vowels, dictionary coverage, whether it looks
-like a path or an address, and what the word before and the word after say. The forest is trained on labelled findings: those given, or `labelled_findings`,
-which makes them from stated rules at a fixed number of rows.
+A candidate is a whole run of the characters that keys are made of, with its closing `=` if no value follows them: either 16 or more with at least one digit and one letter, or 8 or more
+of any that are assigned to a name (`=` or `:`, blanks and a quote allowed between). Its features are length, transitions between character classes, distinct
+characters, digits, vowels, dictionary coverage, whether it looks like a path or an address, and what the word before and the word after say. Those words are read
+beside the run and never taken from it, so a candidate can be the word before or after of the next. The forest is trained on labelled findings: those given, or
+`labelled_findings`, which makes them from stated rules at a fixed number of rows.
 
 Null and blank texts have no candidates. Equal findings of a text are each reported, in order. Empty tables give empty results.
 """
@@ -13,8 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The word before (with separators), the candidate, the word after.
-CANDIDATE = r"""(?:([A-Za-z][\w.-]{0,40})["']?[ \t]*([=:]{1,2}|[ \t])[ \t]*)?["'`]?(?<![A-Za-z0-9_+/.@=-])((?=[A-Za-z_+/.@=-]*[0-9])(?=[0-9_+/.@=-]*[A-Za-z])[A-Za-z0-9_+/.@-]{16,}=*)["'`]?([ \t]+[\w.-]{1,40})?"""
+KEY = "A-Za-z0-9_+/.@-"
+#: A name, and what may stand between it and its value; at most 40 blanks on each side, as a lookbehind needs a bound.
+NAME, QUOTE, BLANKS = r"[A-Za-z][\w.-]{0,40}", "[\"'`]?", r"[ \t]{0,40}"
+#: The candidate alone; all context is looked at and not consumed.
+CANDIDATE = (
+    rf"(?<![{KEY}])(?=[{KEY}]{{8}})(?:(?=[{KEY}]{{16}})(?=[A-Za-z_+/.@-]*+[0-9])(?=[0-9_+/.@-]*+[A-Za-z])"
+    rf"|(?<=[=:]{BLANKS}{QUOTE})(?<={NAME}[\"']?{BLANKS}[=:]{{1,2}}{BLANKS}{QUOTE}))[{KEY}]++(?:=++(?![\"'`{KEY}]))?+"
+)
+#: The word before and its separator at the end of the text on the left, the word after at the start of the text on the right.
+BEFORE = rf"(?:({NAME})[\"']?{BLANKS}([=:]{{1,2}}|[ \t]){BLANKS}){QUOTE}$"
+AFTER = rf"^{QUOTE}[ \t]{{1,40}}([\w.-]{{1,40}})"
+#: Characters that BEFORE and AFTER can reach.
+REACH = 130
 #: Words of texts and code that cover a candidate which is no secret (fixed values).
 DICTIONARY = "access account admin api app archive assets auth base bin blob branch bucket build cache class client cloud code commit common config content core data default dev dist docs document example file files final function github google home html http https image images import index info item java json lib link local log main master message method model module name net node null object org package page path permission point prod project public python query release report request resource result root sample schema script server service session shared site source sql src static status string style system table target temp test text the type update user util value version video view web with www".split()
 #: What neighbouring words say for and against (fixed values).
@@ -25,10 +37,21 @@ FEATURES = ["length", "transitions", "distinct", "digits", "upper", "vowels", "c
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate: id, ordinal in the text, before, sep, candidate, after."""
-    found = docs.select(F.col(id_col).alias("__sf_id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(CANDIDATE), 0).alias("all"))
-    each = found.select("__sf_id", F.posexplode("all").alias("ordinal", "context"))
-    part = lambda k: F.coalesce(F.regexp_extract("context", CANDIDATE, k), F.lit(""))
-    return each.select(F.col("__sf_id").alias(id_col), "ordinal", part(1).alias("before"), part(2).alias("sep"), part(3).alias("candidate"), F.trim(part(4)).alias("after"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("__sf_id"), text.alias("text"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("all"))
+    # what lies between the candidates: piece i is before candidate i, piece i + 1 after it
+    found = found.select("__sf_id", "all", F.when(F.size("all") > 0, F.split("text", CANDIDATE, -1)).alias("between"))
+    at = lambda name, i: F.coalesce(F.get(F.col(name), i), F.lit(""))
+    beside = F.transform(
+        "all",
+        lambda c, i: F.struct(
+            F.substring(F.concat(at("all", i - 1), at("between", i)), -REACH, REACH).alias("left"), c.alias("candidate"), F.substring(F.concat(at("between", i + 1), at("all", i + 1)), 1, REACH).alias("right")
+        ),
+    )
+    # outer: the filter that Spark would derive from a plain explode runs the pattern a second time
+    each = found.select("__sf_id", F.posexplode_outer(beside).alias("ordinal", "context")).filter(F.col("context").isNotNull())
+    part = lambda side, pattern, k: F.coalesce(F.regexp_extract(F.col("context")[side], pattern, k), F.lit(""))
+    return each.select(F.col("__sf_id").alias(id_col), "ordinal", part("left", BEFORE, 1).alias("before"), part("left", BEFORE, 2).alias("sep"), F.col("context.candidate").alias("candidate"), part("right", AFTER, 1).alias("after"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -66,8 +89,8 @@ def _pick(options: list[str], draw: Column) -> Column:
 def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 13) -> DataFrame:
     """Findings made from stated rules: before, sep, candidate, after, label (1: secret). Same rows for a given seed.
 
-    Secrets are random hexadecimal, alphanumeric or prefixed values, mostly assigned to names that say so. Harmless are checksums and revisions,
-    e-mail addresses, file paths, identifiers of dictionary words, dotted versions and timestamps.
+    Secrets are random hexadecimal, alphanumeric or prefixed values, mostly assigned to names that say so, and short values assigned to them. Harmless are
+    checksums and revisions, e-mail addresses, file paths, identifiers of dictionary words, dotted versions and timestamps, and plain words after a name.
     """
     draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), F.col("id"))
     hexes = F.sha1(draw("hex").cast("string"))
@@ -79,10 +102,12 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 13) ->
     secret_name = _pick(["api_key", "secret", "token", "password", "client_secret", "auth_token", "private_key", "aws_secret_access_key"], draw("name"))
     harmless_name = _pick(["sha", "commit", "checksum", "digest", "etag", "revision", "uuid", "md5sum"], draw("name"))
     other_name = _pick(["the", "see", "in", "path", "file", "of", "value", "from", ""], draw("name"))
-    kind = F.pmod(draw("kind"), F.lit(12))
+    short = F.substring(mixed, F.lit(1), F.pmod(draw("short"), F.lit(8)) + 8)
+    plain = F.concat(_pick(DICTIONARY, draw("w1")), _pick(DICTIONARY, draw("w2")), _pick(["ing", "ation", "ment", "s"], draw("w3")))
+    kind = F.pmod(draw("kind"), F.lit(14))
     rows_ = spark.range(rows).withColumn("kind", kind)
-    is_secret = F.col("kind") < 6
-    sep = F.when(is_secret, _pick(["=", "=", ":", " "], draw("sep"))).otherwise(_pick(["=", ":", " ", " "], draw("sep")))
+    is_secret = (F.col("kind") < 6) | (F.col("kind") == 12)
+    sep = F.when(F.col("kind") >= 12, _pick(["=", ":"], draw("sep"))).when(is_secret, _pick(["=", "=", ":", " "], draw("sep"))).otherwise(_pick(["=", ":", " ", " "], draw("sep")))
     value = (
         F.when(F.col("kind") < 2, hexes)
         .when(F.col("kind") < 4, mixed)
@@ -92,6 +117,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 13) ->
         .when(F.col("kind") == 8, mail)
         .when(F.col("kind") == 9, path)
         .when(F.col("kind") == 10, words)
+        .when(F.col("kind") == 12, short)
+        .when(F.col("kind") == 13, plain)
         .otherwise(stamp)
     )
     before = F.when(is_secret, secret_name).when(F.col("kind") < 8, harmless_name).otherwise(other_name)

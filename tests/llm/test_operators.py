@@ -397,6 +397,25 @@ def test_language(docs):
     assert sum(r["lang"] == r["lang_pred"] for r in found) > 0.95 * len(found)
 
 
+def test_a_rare_language_keeps_its_training_words():
+    rng = random.Random(1)
+    word = lambda letters: "".join(rng.choices(letters, k=5))
+    text = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    texts = [(text("abcdefg", 200), "common") for _ in range(100)] + [(text("nopqrst", 100), "rare") for _ in range(10)] + [(text("uvwxyz", 30), "rarest")]
+    crf = crf_langid.fit(texts, most_words=3000)
+    labeller = crf_langid.Labeller(crf)
+    for letters, lang in (("abcdefg", "common"), ("nopqrst", "rare"), ("uvwxyz", "rarest")):
+        owner, p = labeller.posteriors([text(letters, 50).split()])
+        assert crf.languages[p[owner >= 0].mean(0).argmax()] == lang
+
+
+def test_word_budgets():
+    assert crf_langid.word_budgets([10, 20], 100) == [10, 20]
+    assert crf_langid.word_budgets([1000, 50, 10], 300) == [240, 50, 10]
+    assert crf_langid.word_budgets([1000, 900, 10], 300) == [145, 145, 10]
+    assert crf_langid.word_budgets([], 5) == []
+
+
 def test_language_edges(spark, odd):
     crf = crf_langid.fit([("the cat and the dog are here", "en"), ("der hund und die katze sind hier", "de")] * 30)
     found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in crf_langid.predict(odd, crf).collect()]

@@ -4,7 +4,7 @@ A word's emission scores sum the weights of its affixes, character n-grams and l
 words. Forward-backward gives each word's posterior; a text's language has the greatest mean posterior over its words.
 
 The fit takes at most `per_language` texts of each of the `most_languages` commonest languages of the training fold (chosen by hash) and
-`most_words` words; these bounds are parameters. Training sequences are spliced from pieces of those texts, so that switches are seen.
+`most_words` words, which the languages share evenly (what one doesn't need goes to the others); these bounds are parameters. Training sequences are spliced from pieces of those texts, so that switches are seen.
 All words of whole texts are labelled. Language, source and id are never inputs of a prediction.
 
 A text that is null or has no letter is `und` with score 0, as is every text if no language was learned. Ties go to the language that sorts first.
@@ -82,21 +82,32 @@ class Crf:
         return p, ahead
 
 
+def word_budgets(sizes: list[int], most: int) -> list[int]:
+    """Even shares of `most` words; what a language has no words for is shared among the others."""
+    out, left = [0] * len(sizes), most
+    for done, k in enumerate(sorted(range(len(sizes)), key=lambda k: sizes[k])):
+        out[k] = min(sizes[k], left // (len(sizes) - done))
+        left -= out[k]
+    return out
+
+
 def fit(texts: list[tuple[str, str]], seed: int = 5, length: int = 48, epochs: int = 6, most_words: int = 250_000, rate: float = 0.3) -> Crf:
     """Train on (text, language) by adaptive gradients on the log likelihood of spliced sequences."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in texts})
     number = {lang: k for k, lang in enumerate(languages)}
     n = len(languages)
-    pieces, seen, n_words = [], [Counter() for _ in languages], 0
-    for text, lang in texts:
-        words = LETTERS.findall(text.lower())
-        seen[number[lang]].update(words)
+    pieces, seen = [], [Counter() for _ in languages]
+    split = [(LETTERS.findall(text.lower()), number[lang]) for text, lang in texts]
+    for words, own in split:
+        seen[own].update(words)
+    left = word_budgets([c.total() for c in seen], most_words)
+    for words, own in split:
         at = 0
-        while at < len(words) and n_words < most_words:
+        while at < len(words) and left[own] > 0:
             k = int(rng.integers(4, 40))
-            pieces.append((words[at : at + k], number[lang]))
-            n_words += len(words[at : at + k])
+            pieces.append((words[at : at + k], own))
+            left[own] -= len(words[at : at + k])
             at += k
     # the lexicon marks the languages in which a word is frequent for its number of occurrences
     lexicon: dict[str, int] = {}

@@ -15,7 +15,7 @@ LOOK_ALIKES = {"0": ["o"], "1": ["l", "i"], "rn": ["m"]}
 def clean_text(c: Column) -> Column:
     """Drop control characters but line ends and tabs, join words hyphenated across white space, make runs of white space one space."""
     kept = F.regexp_replace(c, r"[\p{C}&&[^\n\t]]", "")
-    joined = F.regexp_replace(kept, r"(\w+)-\s+(\w+)", "$1$2")
+    joined = F.regexp_replace(kept, r"([\p{L}\p{N}_]+)-\s+([\p{L}\p{N}_]+)", "$1$2")
     return F.trim(F.regexp_replace(joined, r"\s{2,}", " "))
 
 

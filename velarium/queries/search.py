@@ -162,6 +162,24 @@ def highlight_terms(t):
     return t("documents").select("doc_id", text.highlight(F.substring("text", 1, 400), ["the", "and"]).alias("marked"))
 
 
+@book.query(r"SELECT doc_id, regexp_replace(text, '(and|the)', '<mark>\1</mark>', 'gi') AS marked FROM documents")
+def highlight_terms_whole(t):
+    """`highlight_terms` over the whole text."""
+    return t("documents").select("doc_id", text.highlight(F.col("text"), ["the", "and"]).alias("marked"))
+
+
+@book.query()
+def trigram_counts_whole(t):
+    """`trigram_counts` over the whole text; tested against brute force, as its SQL would copy a text for each character."""
+    return t("documents").select("doc_id", F.size(F.array_distinct(text.ngrams(F.lower("text"), 3))).cast("long").alias("grams"))
+
+
+@book.query()
+def ocr_clean_whole(t):
+    """`ocr_clean` over all documents; tested against brute force, as SQL's classes differ beyond ASCII."""
+    return t("documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+
+
 @book.query()
 def highlight_fragments(t):
     """Fragments of 200 characters; see the unit tests."""

@@ -214,19 +214,29 @@ def walks(edges: DataFrame, per_node: int = 10, length: int = 80, weighted: bool
     """(walk, node ids in order) of first-order random walks from every node, a step at a time as joins.
 
     A walk at a node takes the neighbour whose cumulative share holds its hash draw; draws depend on (seed, walk, step) alone. A walk at a node without
-    neighbours ends. Neighbour lists are explode-free: cumulative bounds per node are made once.
+    neighbours ends. Without weights the shares are even, so the draw gives the neighbour's number and a step joins one row a walk.
     """
     both = either_way(edges) if "weight" not in edges.columns else edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    w = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    steps = both.groupBy("src", "dst").agg(F.sum(w).alias("w")) if weighted else both.select("src", "dst").distinct().withColumn("w", F.lit(1.0))
-    order = Window.partitionBy("src").orderBy("dst")
-    bounds = cut(steps.select("src", "dst", (F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy("src"))).alias("hi"), F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("w").over(Window.partitionBy("src")), F.lit(0.0)).alias("lo")))
-    nodes = bounds.select("src").distinct()
-    now = nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select(F.concat_ws(":", "src", "k").alias("walk"), F.array("src").alias("path"), F.col("src").alias("at"))
+    order, whole = Window.partitionBy("src").orderBy("dst"), Window.partitionBy("src")
+    if weighted:
+        steps = both.groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("w"))
+        bounds = cut(steps.select("src", "dst", (F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(whole)).alias("hi"), F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("w").over(whole), F.lit(0.0)).alias("lo")))
+        degrees = bounds.select("src").distinct().withColumn("degree", F.lit(0))
+    else:
+        numbered = both.select("src", "dst").distinct().select("src", "dst", (F.row_number().over(order) - 1).alias("pick"), F.count(F.lit(1)).over(whole).alias("degree"))
+        degrees = cut(numbered.groupBy("src").agg(F.first("degree").alias("degree")))
+        # every neighbour is a node with neighbours of its own, as edges go either way
+        bounds = cut(numbered.drop("degree").join(degrees.withColumnRenamed("src", "dst"), "dst"))
+    now = degrees.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select(F.concat_ws(":", "src", "k").alias("walk"), F.array("src").alias("path"), F.col("src").alias("at"), "degree")
     for step in range(1, length):
         draw = F.pmod(F.xxhash64(F.lit(seed), "walk", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
-        moved = now.withColumn("draw", draw).join(bounds.withColumnRenamed("src", "at"), "at").filter((F.col("draw") >= F.col("lo")) & ((F.col("draw") < F.col("hi")) | (F.col("hi") >= 1.0)))
-        now = moved.select("walk", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at"))
+        if weighted:
+            moved = now.withColumn("draw", draw).join(bounds.withColumnRenamed("src", "at"), "at").filter((F.col("draw") >= F.col("lo")) & ((F.col("draw") < F.col("hi")) | (F.col("hi") >= 1.0)))
+            moved = moved.withColumn("degree", F.lit(0))
+        else:
+            drawn = now.select("walk", "path", "at", F.floor(draw * F.col("degree")).cast("int").alias("pick"))
+            moved = drawn.join(bounds.withColumnRenamed("src", "at"), ["at", "pick"])
+        now = moved.select("walk", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at"), "degree")
         if step % 10 == 0:
             now = cut(now)
     return now.select("walk", "path")

@@ -300,6 +300,28 @@ def test_licenses_equal_brute_force(docs):
             assert max(len(have & set(license_scan.shingles(words_of(t)))) / len(set(license_scan.shingles(words_of(t)))) for n, t in license_scan.TEMPLATES if n == name) >= 0.8
 
 
+@pytest.mark.parametrize("between", ["", "x", "some other words", "x " * 40])
+@pytest.mark.parametrize("copies", [1, 2, 3, 50])
+def test_repeated_licenses_are_each_found(between, copies):
+    tables = license_scan.Templates(license_scan.TEMPLATES)
+    gap = between.split()
+    for name, text in license_scan.TEMPLATES:
+        one = license_scan.ALNUM.findall(license_scan.lower_text(text))
+        words, wanted = ["start", "here"], []
+        for _ in range(copies):
+            wanted.append((name, len(words), len(words) + len(one), 1.0))
+            words += one + gap
+        assert tables.scan(words) == wanted
+
+
+def test_damaged_copies_are_each_found():
+    tables = license_scan.Templates([("T", " ".join(f"w{i}" for i in range(24)))])
+    one = [f"w{i}" for i in range(24)]
+    # the first lacks its first words, the second its last, the third stands after a mere fragment
+    words = one[3:] + one[:21] + ["x"] * 20 + one[14:] + one
+    assert tables.scan(words) == [("T", 0, 21, 0.85), ("T", 21, 42, 0.85), ("T", 72, 96, 1.0)]
+
+
 # secrets
 
 

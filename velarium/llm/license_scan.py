@@ -6,7 +6,8 @@ least 0.8 of the template's shingles then has a Jaccard similarity of 0.2 or mor
 with probability 1 - 0.8**64 > 0.999999. Windows retrieved are verified by the exact containment of the template's shingles.
 
 A window that shares no shingle with any template has containment zero; such windows are passed over before hashing, which loses nothing.
-Of overlapping windows that match one template the one of greatest containment, then the first, stands for the passage.
+Verified windows say where to look; the passages are spans of the template's own shingles in them. A passage has at most a window's words
+and at least the least containment. Passages of one template are disjoint: as many as there can be, of those the greatest containments, then the shortest.
 
 Templates of fewer than five words are one shingle. Null and blank texts have no windows and are reported without licenses. Repeated rows
 are each reported; an empty template list or table gives no matches.
@@ -14,6 +15,7 @@ are each reported; an empty template list or table gives no matches.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -90,16 +92,15 @@ class Templates:
         vocabulary, n = self.vocabulary, len(words)
         if not n:
             return []
-        # starts of template shingles: five vocabulary words in a row (or a text shorter than a shingle)
+        # starts of template shingles: five vocabulary words in a row, or the words of a template shorter than a shingle
         there = np.fromiter((w in vocabulary for w in words), bool, n)
-        if n < SHINGLE:
-            hits = [0] if tuple(words) in self.known else []
-        else:
+        hits = []
+        if n >= SHINGLE:
             runs = np.convolve(there, np.ones(SHINGLE, int), "valid")
             hits = [int(i) for i in np.flatnonzero(runs == SHINGLE) if tuple(words[i : i + SHINGLE]) in self.known]
-            short = {s for s in self.known if len(s) < SHINGLE}
-            hits += [i for s in short for i in np.flatnonzero(there).tolist() if tuple(words[i : i + len(s)]) == s]
-        best: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
+        short = {s for s in self.known if len(s) < SHINGLE}
+        hits += [i for s in short for i in np.flatnonzero(there).tolist() if tuple(words[i : i + len(s)]) == s]
+        verified: dict[int, set[int]] = defaultdict(set)
         for m, table in self.bands.items():
             step = -(-m // 2)
             length = m + step - 1
@@ -111,20 +112,42 @@ class Templates:
                     continue
                 have, values = set(inside), self.minhash([_hash(s) for s in inside])
                 for k in sorted({k for band, v in enumerate(values.tolist()) for k in table.get((band, v), ())}):
-                    share = len(have & self.sets[k]) / len(self.sets[k])
-                    if share >= least:
-                        best[k].append((at, min(n, at + length), share))
-        out = []
-        for k, found in best.items():
-            group: list[tuple[int, int, float]] = []
-            for span in found:
-                if group and span[0] >= max(s[1] for s in group):
-                    out.append((k, *max(group, key=lambda s: (s[2], -s[0]))))
-                    group = []
-                group.append(span)
-            out.append((k, *max(group, key=lambda s: (s[2], -s[0]))))
+                    if len(have & self.sets[k]) / len(self.sets[k]) >= least:
+                        verified[k].update(at + i for i, shingle in enumerate(inside) if shingle in self.sets[k])
+        out = [(k, *p) for k, at in verified.items() for p in self.passages(k, words, sorted(at), least)]
         return [(self.names[k], a, b, c) for k, a, b, c in sorted(out, key=lambda x: (x[1], x[0]))]
 
+    def passages(self, k: int, words: list[str], at: list[int], least: float) -> list[tuple[int, int, float]]:
+        """Disjoint (first word, end word, containment) of template k over the starts of its shingles."""
+        m, total = self.words[k], len(self.sets[k])
+        size, longest = min(SHINGLE, m), m + -(-m // 2) - 1
+        own = [tuple(words[i : i + size]) for i in at]
+        # from the right: (passages, their shingles, minus their words) that begin at or after each start, and the span taken
+        best: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(at) + 1)
+        taken: list[tuple[int, int, float] | None] = [None] * len(at)
+        follows = [0] * len(at)
+        for i in range(len(at) - 1, -1, -1):
+            best[i], have = best[i + 1], set()
+            for e in range(i, len(at)):
+                end = at[e] + size
+                if end - at[i] > longest:
+                    break
+                have.add(own[e])
+                if len(have) / total < least:
+                    continue
+                then = bisect_left(at, end)
+                rest = best[then]
+                this = (rest[0] + 1, rest[1] + len(have), rest[2] - (end - at[i]))
+                if this > best[i]:
+                    best[i], taken[i], follows[i] = this, (at[i], end, len(have) / total), then
+        out, i = [], 0
+        while i < len(at):
+            span = taken[i]
+            if span:
+                out.append(span)
+            i = follows[i] if span else i + 1
+        return out
+
 
 FOUND = "key string, n_words long, matches array<struct<license:string,first_word:int,end_word:int,containment:double>>"
 

@@ -470,6 +470,20 @@ def test_language_model_beats_the_base(docs):
     assert found["s"] > found["b"]
 
 
+def test_every_training_document_refines_the_language_model(spark):
+    from velarium.shared import ship
+
+    rows = [(k, f"w{k} " * 50) for k in range(40)]
+    train = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    ship(spark)
+    vocab = gru_lm.vocabulary(gru_lm.count_words(train, "text"), len(rows), 1000)
+    seed = gru_lm.fit(train.limit(0), "text", vocab, "doc_id", seed_docs=0)
+    whole = gru_lm.fit(train, "text", vocab, "doc_id", seed_docs=0)
+    table = lambda flat: gru_lm.Gru(flat).table
+    moved = abs(table(whole) - table(seed)).max(axis=1) > 0
+    assert all(moved[vocab.symbol[f"w{k}"]] for k in range(40))
+
+
 def test_language_model_gradient():
     import numpy as np
 

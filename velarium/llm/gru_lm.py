@@ -5,8 +5,8 @@ buckets of the other words by their last two characters; a class-factored softma
 inside a bucket a word has (c + 1) / (sum of (c + 1) of the bucket's words + 1), the last 1 standing for unseen words. So the model's
 probability of a text is that of its symbols times that of its rarer words given their buckets.
 
-Weights start from truncated backpropagation over a bounded seed sample (`seed_tokens`, a parameter), and are then refined on a fixed
-share of all training documents, partition by partition, and averaged in two levels; that share and all counts grow with the input.
+Weights start from truncated backpropagation over a bounded seed sample (`seed_tokens`, a parameter), and are then refined on
+all training documents, partition by partition, and averaged in two levels.
 Texts of any length are scored in windows with the state carried over, from a zero state at the start of each.
 
 Counts of the `head` most frequent words go to the tasks; those of other words are joined by a shuffle. Null is the empty text (its end
@@ -292,8 +292,8 @@ def _texts(batches: Iterator[pa.RecordBatch], tokens: int, vocab: Vocabulary, co
         yield place, words, symbols
 
 
-def fit(train: DataFrame, text_col: str, vocab: Vocabulary, id_col: str, seed_tokens: int = 300_000, seed_docs: int = 800, epochs: int = 4, share: float = 0.1) -> np.ndarray:
-    """Weights: seeded on a bounded sample, refined on a fixed share of all training documents and averaged."""
+def fit(train: DataFrame, text_col: str, vocab: Vocabulary, id_col: str, seed_tokens: int = 300_000, seed_docs: int = 800, epochs: int = 4) -> np.ndarray:
+    """Weights: seeded on a bounded sample, refined on all training documents and averaged."""
     model = Gru.start(vocab.frequency)
     place = F.pmod(F.xxhash64(F.lit("seed"), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
     sample = train.select(F.col(text_col).alias("t"), place.alias("h")).filter(F.col("h") < int((1 << 30) * min(1.0, seed_docs / max(1, vocab.train_docs))))
@@ -325,8 +325,7 @@ def fit(train: DataFrame, text_col: str, vocab: Vocabulary, id_col: str, seed_to
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    some = train.filter(F.pmod(F.xxhash64(F.lit("refine"), F.col(id_col), F.col(text_col)), F.lit(1000)) < int(1000 * share))
-    parts = some.select(text_col).mapInArrow(refine, "n double, w binary")
+    parts = train.select(text_col).mapInArrow(refine, "n double, w binary")
     groups = max(1, int(train.rdd.getNumPartitions() ** 0.5))
     found = parts.repartition(groups).mapInArrow(average, "n double, w binary").collect()
     if not found:

@@ -470,6 +470,51 @@ def test_language_model_beats_the_base(docs):
     assert found["s"] > found["b"]
 
 
+def naive_score(model, text, counts):
+    """log10 probability of one text, a word at a time in double precision."""
+    import numpy as np
+
+    net, vocab = gru_lm.Gru(model.weights.astype(np.float64)), model.vocab
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, last, total, width = np.zeros(gru_lm.HIDDEN), vocab.end, 0.0, gru_lm.HIDDEN
+    for w in [*re.findall(r"[^\x20\x09-\x0D]+", lower(text)), None]:
+        bucket = None if w is None else zlib.crc32(w[-2:].encode()) % gru_lm.BUCKETS
+        symbol = vocab.end if w is None else vocab.symbol.get(w, vocab.bucket_symbol[bucket])
+        x, a = net.table[last], h @ net.u
+        z, r = sigmoid(x[:width] + a[:width]), sigmoid(x[width : 2 * width] + a[width : 2 * width])
+        n = np.tanh(x[2 * width :] + r * a[2 * width :])
+        h = (1 - z) * h + z * n
+        k, member = divmod(int(symbol), gru_lm.MEMBERS)
+        for logits, pick in ((h @ net.cw + net.cb, k), (h @ net.ww[k] + net.wb[k], member)):
+            total += logits[pick] - np.log(np.exp(logits).sum())
+        if w is not None and w not in vocab.symbol:
+            own = [c for v, c in counts.items() if zlib.crc32(v[-2:].encode()) % gru_lm.BUCKETS == bucket and v not in vocab.symbol]
+            total += np.log((counts.get(w, 0) + 1) / (sum(own) + len(own) + 1))
+        last = symbol
+    return total / np.log(10)
+
+
+@pytest.mark.parametrize("head", [300_000, 2_000])
+def test_language_model_scores_equal_a_naive_recomputation(docs, odd, head):
+    train = docs.filter("doc_id % 3 = 0").unionByName(odd.select("doc_id", "text"), allowMissingColumns=True)
+    model = gru_lm.train(train, head=head, seed_tokens=20_000)
+    counts = {r["word"]: r["c"] for r in model.counts.collect()}
+    texts = docs.filter("doc_id % 40 = 1").unionByName(odd.select("doc_id", "text"), allowMissingColumns=True)
+    found = Counter((r["doc"], round(r["score"], 1)) for r in gru_lm.score_rows(texts, model).collect())
+    for r in texts.collect():
+        naive = naive_score(model, r["text"], counts)
+        key = None if r["doc_id"] is None else str(r["doc_id"])
+        near = [k for k in found if k[0] == key and abs(k[1] - naive) <= 0.06 + 1e-4 * abs(naive)]
+        assert near, (key, naive, [k for k in found if k[0] == key])
+
+
+def test_language_model_merges_partitions_the_same_way_each_time(docs):
+    import numpy as np
+
+    first, second = (gru_lm.train(docs.select("doc_id", "text").repartition(7, "doc_id"), seed_tokens=5_000).weights for _ in range(2))
+    assert np.array_equal(first, second)
+
+
 def test_every_training_document_refines_the_language_model(spark):
     from velarium.shared import ship
 

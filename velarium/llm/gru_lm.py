@@ -5,12 +5,13 @@ buckets of the other words by their last two characters; a class-factored softma
 inside a bucket a word has (c + 1) / (sum of (c + 1) of the bucket's words + 1), the last 1 standing for unseen words. So the model's
 probability of a text is that of its symbols times that of its rarer words given their buckets.
 
-Weights start from truncated backpropagation over a bounded seed sample (`seed_tokens`, a parameter), and are then refined on
-all training documents, partition by partition, and averaged in two levels.
+Weights start from truncated backpropagation over a bounded seed sample (`seed_tokens`, a parameter), and are then refined on all
+training documents, partition by partition, and averaged (see `fit` for what the split of the input changes: the score, never the base columns).
 Texts of any length are scored in windows with the state carried over, from a zero state at the start of each.
 
-Counts of the `head` most frequent words go to the tasks; those of other words are joined by a shuffle. Null is the empty text (its end
-alone). Repeated rows are scored each. With no training documents every base score is 0 and words have the buckets' probability.
+The head, at most `head` words by count, none of them above 100 characters, goes to the tasks; the counts of other words are joined by a
+shuffle. Null is the empty text (its end alone). Repeated rows are scored each. Columns of the input other than id and text are not read, whatever
+their names. With no training documents every base score is 0 and words have the buckets' probability; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velarium.llm.lanes import lanes_of
-from velarium.llm.text_rules import SPACED, fold, lower_ascii, lower_text
-from velarium.shared import cut, ship, stored
+from velarium.llm.text_rules import SPACED_BYTES, fold, grouped, words_of
+from velarium.shared import ship, stored
 
 HIDDEN, CLASSES, MEMBERS, BUCKETS = 32, 32, 32, 128
 SYMBOLS = CLASSES * MEMBERS
@@ -55,34 +58,41 @@ class Gru:
         return model
 
     def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden states (steps, lanes, HIDDEN) and the last one; `fresh` marks where a text starts from zero."""
+        """Hidden states (steps, lanes, HIDDEN) and the last one; `fresh` marks where a text starts from zero.
+
+        Inside, lanes run along the rows of each array, so that every gate is one contiguous block.
+        """
         steps, lanes = inputs.shape
         out = np.empty((steps, lanes, HIDDEN), np.float32)
-        x, starts = self.table[inputs], fresh.any(1)
+        table, u, h = np.ascontiguousarray(self.table.T), np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T)
+        x, starts, both = np.empty((3 * HIDDEN, lanes), np.float32), fresh.any(1), 2 * HIDDEN
         for t in range(steps):
             if starts[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            a = h @ self.u
-            zr = x[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+                h = np.where(fresh[t], np.float32(0), h)
+            np.take(table, inputs[t], axis=1, out=x, mode="clip")
+            a = u @ h
+            zr, an = a[:both], a[both:]
+            zr += x[:both]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = r * a[:, 2 * HIDDEN :]
-            n += x[t, :, 2 * HIDDEN :]
+            z, r = zr[:HIDDEN], zr[HIDDEN:]
+            n = r * an
+            n += x[both:]
             np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, a[:, 2 * HIDDEN :]))
+                keep.append((h, z, r, n, an))
             step = n - h
             step *= z
             step += h
-            h = out[t] = step
-        return out, h
+            h = step
+            out[t] = h.T
+        return out, np.ascontiguousarray(h.T)
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grads: Gru | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of the targets given states (n, HIDDEN); with `grads` also the states' gradient."""
-        order = np.argsort(targets // MEMBERS, kind="stable")
+        order = np.argsort((targets // MEMBERS).astype(np.uint8), kind="stable")
         hs, goal = h[order], targets[order]
         group, member, rows = goal // MEMBERS, goal % MEMBERS, np.arange(len(goal))
         ends = np.searchsorted(group, np.arange(CLASSES + 1))
@@ -131,26 +141,42 @@ class Gru:
                 dh[part] += d @ self.ww[c].T
         out = np.empty(len(targets))
         out[order] = total.astype(np.float64) - np.log(sums.astype(np.float64))
-        if dh is not None:
-            dh[order] = dh.copy()
-        return out, dh
+        if dh is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, dout: np.ndarray, grads: Gru) -> None:
         """Backpropagation through one window; nothing flows further back than its first step."""
         steps, lanes = inputs.shape
+        both, starts = 2 * HIDDEN, fresh.any(1)
         dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        dh = np.zeros((lanes, HIDDEN), np.float32)
+        dh, da = np.zeros((HIDDEN, lanes), np.float32), np.empty((3 * HIDDEN, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
             h, z, r, n, an = kept[t]
-            dh = dh + dout[t]
-            dn = dh * z * (1 - n * n)
-            da = np.concatenate([dh * (n - h) * z * (1 - z), dn * an * r * (1 - r), dn * r], axis=1)
-            dx[t, :, : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = da[:, : 2 * HIDDEN], dn
-            grads.u += h.T @ da
-            dh = dh * (1 - z) + da @ self.u.T
-            if fresh[t].any():
-                dh = np.where(fresh[t][:, None], np.float32(0), dh)
-        order = np.argsort(inputs, axis=None, kind="stable")
+            dh += dout[t].T
+            dn = dh * z
+            dz = n - h
+            dz *= dn
+            da[:HIDDEN] = dz
+            da[:HIDDEN] *= 1 - z
+            slope = n * n
+            np.subtract(1, slope, out=slope)
+            dn *= slope
+            dx[t, :, both:] = dn.T
+            dn *= r
+            da[both:] = dn
+            dn *= an
+            dn *= 1 - r
+            da[HIDDEN:both] = dn
+            dx[t, :, :both] = da[:both].T
+            grads.u += h @ da.T
+            dh *= 1 - z
+            dh += self.u @ da
+            if starts[t]:
+                dh[:, fresh[t]] = 0
+        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
         symbols, first = np.unique(inputs.ravel()[order], return_index=True)
         grads.table[symbols] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
 
@@ -183,12 +209,34 @@ def score_texts(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 512,
     return total
 
 
-def train_texts(model: Gru, texts: list[np.ndarray], end: int, rate: float, epochs: int = 1, lanes: int = 64, window: int = 32) -> int:
-    """Truncated backpropagation with Adam over the sequences, in place; returns the symbols seen."""
+class Adam:
+    """Moments of the gradient for one run of training."""
+
+    def __init__(self) -> None:
+        self.first, self.second, self.step = np.zeros(Gru.SIZE, np.float32), np.zeros(Gru.SIZE, np.float32), 0
+
+    def move(self, model: Gru, g: np.ndarray, rate: float) -> None:
+        norm = float(np.linalg.norm(g))
+        if norm > 1:
+            g /= norm
+        self.step += 1
+        self.first += 0.1 * (g - self.first)
+        g *= g
+        g -= self.second
+        self.second += 0.01 * g
+        model.flat -= (rate / (1 - 0.9**self.step)) * self.first / (np.sqrt(self.second * (1 / (1 - 0.99**self.step))) + 1e-7)
+
+
+def train_texts(model: Gru, texts: list[np.ndarray], end: int, rate: float, epochs: int = 1, lanes: int = 64, window: int = 32, longest: int = 4096, adam: Adam | None = None) -> int:
+    """Truncated backpropagation with Adam over the sequences, in place; returns the symbols seen.
+
+    The state is carried from window to window; a sequence beyond `longest` symbols is learned in parts of that length, each from a zero state.
+    """
     if not texts:
         return 0
-    first, second, step, seen = np.zeros(Gru.SIZE, np.float32), np.zeros(Gru.SIZE, np.float32), 0, 0
-    symbols, owner = lanes_of(texts, max(1, min(lanes, len(texts))))
+    adam, seen = adam or Adam(), 0
+    parts = [t[k : k + longest] for t in texts for k in range(0, len(t), longest)]
+    symbols, owner = lanes_of(parts, max(1, min(lanes, len(parts))))
     before, fresh = _inputs(symbols, owner, end)
     for _ in range(epochs):
         h = np.zeros((symbols.shape[1], HIDDEN), np.float32)
@@ -202,188 +250,231 @@ def train_texts(model: Gru, texts: list[np.ndarray], end: int, rate: float, epoc
             dout = np.zeros_like(states)
             _, dout[flat] = model.log_probs(states[flat], symbols[part].ravel()[flat], grads, np.full(n, 1 / n, np.float32))
             model.backward(before[part], fresh[part], kept, dout.reshape(out.shape), grads)
-            g = grads.flat
-            norm = float(np.linalg.norm(g))
-            if norm > 1:
-                g /= norm
-            step += 1
+            adam.move(model, grads.flat, rate)
             seen += n
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            model.flat -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
     return seen
 
 
+def buckets_of(words: pa.Array) -> np.ndarray:
+    """The bucket of each word: its last two characters, by CRC-32."""
+    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    numbers = np.array([zlib.crc32(e.encode("utf-8")) % BUCKETS for e in ends.dictionary.to_pylist()], dtype=np.int32)
+    return numbers[ends.indices.to_numpy()]
+
+
 @dataclass
 class Vocabulary:
-    """What every task needs of the counts: the head's counts, the symbols, and the buckets' totals. Bounded by `head`."""
+    """What every task needs of the counts: the head's words, their counts and symbols, and the buckets' totals. Bounded by `head`."""
 
-    counts: dict[str, int]
+    words: pa.Array
+    counts: np.ndarray
+    symbol_of: np.ndarray  # of each head word: its own symbol or its bucket's
+    extra: np.ndarray  # log10 of a head word's share of its bucket, 0 where it is a symbol itself
     symbol: dict[str, int]
-    bucket_symbol: list[int]
-    bucket_total: np.ndarray
+    bucket_symbol: np.ndarray
+    bucket_log: np.ndarray  # log10 of the buckets' totals
     frequency: np.ndarray
     end: int
     train_tokens: int
     train_types: int
     train_docs: int
 
-    def bucket(self, word: str) -> int:
-        return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % BUCKETS
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of each word its place in the head (-1: none) and its symbol; of the words outside the head their buckets and themselves."""
+        place = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        outside = place < 0
+        rare = words.filter(pa.array(outside))
+        symbols = self.symbol_of[place] if len(self.symbol_of) else np.zeros(len(place), np.int32)
+        bucket = buckets_of(rare)
+        symbols[outside] = self.bucket_symbol[bucket]
+        return place, symbols, bucket, rare
+
+    def sequences(self, symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The symbols of each text and its end."""
+        ends = np.cumsum(sizes + 1)
+        flat = np.full(int(ends[-1]) if len(ends) else 0, self.end, np.int32)
+        inner = np.ones(len(flat), bool)
+        inner[ends - 1] = False
+        flat[inner] = symbols
+        return np.split(flat, ends[:-1]) if len(ends) else []
+
 
-    def symbols(self, text: str | None) -> tuple[list[str], np.ndarray]:
-        words = SPACED.findall(lower_text(text))
-        known, bucket = self.symbol.get, self.bucket_symbol
-        ids = [s if (s := known(w)) is not None else bucket[zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % BUCKETS] for w in words]
-        ids.append(self.end)
-        return words, np.array(ids, dtype=np.int32)
+def count_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, c) of all training documents, written once; counts are summed in each task before the shuffle."""
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, 0, 16_000_000):
+            found = pc.value_counts(words_of(batch.column(0), SPACED_BYTES)[0])
+            for k in range(0, len(found), 100_000):
+                part = found[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([part.field("values"), part.field("counts")], names=["word", "c"])
 
-def word_rows(docs: DataFrame, text: Column) -> DataFrame:
-    cleaned = F.split(F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x09-\x0D]", " ")), " +")
-    return docs.select(F.explode(cleaned).alias("word")).filter("word <> ''")
+    parts = docs.select(text_col).mapInArrow(tally, "word string, c long")
+    return stored(parts.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
-def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, c) of all training documents, written once."""
-    return stored(word_rows(docs, F.col(text_col)).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "word-counts")
+LONGEST_HEAD_WORD = 100
+
+
+def rung() -> Column:
+    """Steps of a factor of 2^(1/8) in counts: which words make the head hangs on these alone."""
+    return F.floor(F.log2(F.col("c")) * 8).cast("int")
+
+
+def in_head(least: int) -> Column:
+    return (rung() >= least) & (F.length("word") <= LONGEST_HEAD_WORD)
+
+
+def head_rung(counts: DataFrame, head: int) -> int:
+    """The least step of counts from which up there are at most `head` words."""
+    held, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(rung().alias("rung")).count().collect(), key=lambda r: -r["rung"]):
+        held += r["count"]
+        if held > head:
+            break
+        least = r["rung"]
+    return least
 
 
 def vocabulary(counts: DataFrame, n_docs: int, head: int) -> Vocabulary:
     n_symbols = SYMBOLS - BUCKETS - 1
-    top = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
-    short = dict(top[:n_symbols])
+    found = counts.filter(in_head(head_rung(counts, head))).toArrow().sort_by([("c", "descending"), ("word", "ascending")]).combine_chunks()
+    words = pa.array([], pa.string()) if not len(found) else found["word"].chunk(0).cast(pa.string())
+    count = found["c"].to_numpy().astype(np.int64)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     by_bucket = counts.groupBy(F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(BUCKETS)).alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     mass, types = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in by_bucket:
         mass[r["b"]], types[r["b"]] = r["c"], r["v"]
-    for w, c in short.items():
-        b = zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % BUCKETS
-        mass[b] -= c
-        types[b] -= 1
-    ranked = sorted([(c, 0, w) for w, c in short.items()] + [(int(mass[b]), 1, b) for b in range(BUCKETS)] + [(n_docs, 2, 0)], key=lambda x: (-x[0], x[1], str(x[2])))
-    symbol, buckets, end, frequency = {}, [0] * BUCKETS, 0, np.zeros(SYMBOLS)
+    bucket, top = buckets_of(words), words[:n_symbols].to_pylist()
+    np.subtract.at(mass, bucket[: len(top)], count[: len(top)])
+    np.subtract.at(types, bucket[: len(top)], 1)
+    ranked = sorted(
+        [(int(c), 0, w) for w, c in zip(top, count[: len(top)], strict=True)] + [(int(mass[b]), 1, b) for b in range(BUCKETS)] + [(n_docs, 2, 0)], key=lambda x: (-x[0], x[1], str(x[2]))
+    )
+    symbol, bucket_symbol, end, frequency = {}, np.zeros(BUCKETS, np.int32), 0, np.zeros(SYMBOLS)
     for s, (c, kind, what) in enumerate(ranked):
         frequency[s] = c
         if kind == 0:
             symbol[what] = s
         elif kind == 1:
-            buckets[what] = s
+            bucket_symbol[what] = s
         else:
             end = s
-    return Vocabulary(dict(top), symbol, buckets, mass + types + 1, frequency, end, total["n"] + n_docs, total["v"] + (n_docs > 0), n_docs)
-
-
-def _texts(batches: Iterator[pa.RecordBatch], tokens: int, vocab: Vocabulary, column: int = 0) -> Iterator[tuple[list[int], list, list]]:
-    """Groups of rows of about `tokens` symbols: places in the batches, words, symbols."""
-    place, words, symbols, n = [], [], [], 0
-    for b in batches:
-        for row in range(b.num_rows):
-            w, s = vocab.symbols(b.column(column)[row].as_py())
-            place.append([b.column(k)[row].as_py() for k in range(b.num_columns) if k != column])
-            words.append(w)
-            symbols.append(s)
-            n += len(s)
-            if n >= tokens:
-                yield place, words, symbols
-                place, words, symbols, n = [], [], [], 0
-    if place:
-        yield place, words, symbols
-
-
-def fit(train: DataFrame, text_col: str, vocab: Vocabulary, id_col: str, seed_tokens: int = 300_000, seed_docs: int = 800, epochs: int = 4) -> np.ndarray:
-    """Weights: seeded on a bounded sample, refined on all training documents and averaged."""
+    bucket_log = np.log10(mass + types + 1)
+    symbol_of, extra = bucket_symbol[bucket], np.log10(count + 1.0) - bucket_log[bucket]
+    symbol_of[: len(top)], extra[: len(top)] = [symbol[w] for w in top], 0
+    return Vocabulary(words, count, symbol_of, extra, symbol, bucket_symbol, bucket_log, frequency, end, total["n"] + n_docs, total["v"] + (n_docs > 0), n_docs)
+
+
+def fit(train: DataFrame, text_col: str, vocab: Vocabulary, id_col: str, seed_tokens: int = 300_000, seed_docs: int = 800, epochs: int = 4, rate: float = 1e-3) -> np.ndarray:
+    """Weights: seeded on a bounded sample, refined on all training documents and averaged by their symbols.
+
+    Every partition of `train` is one run of training from the seed's weights, so weights and scores hang on how the input is split. With the same split they are the same: partitions
+    are merged in the order of their numbers, in two levels down to one row.
+    """
     model = Gru.start(vocab.frequency)
     place = F.pmod(F.xxhash64(F.lit("seed"), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
-    sample = train.select(F.col(text_col).alias("t"), place.alias("h")).filter(F.col("h") < int((1 << 30) * min(1.0, seed_docs / max(1, vocab.train_docs))))
-    picked, n = [], 0
-    for r in sorted(sample.limit(2 * seed_docs).collect(), key=lambda r: (r["h"], r["t"] or "")):
-        _, s = vocab.symbols(r["t"])
-        picked.append(s)
-        n += len(s)
-        if n >= seed_tokens:
-            break
+    sample = train.select(F.substring(F.col(text_col), 1, 10 * seed_tokens).alias("t"), place.alias("h")).filter(F.col("h") < int((1 << 30) * min(1.0, seed_docs / max(1, vocab.train_docs))))
+    texts = pa.array([r["t"] for r in sorted(sample.limit(2 * seed_docs).collect(), key=lambda r: (r["h"], r["t"] or ""))], pa.string())
+    words, sizes = words_of(texts, SPACED_BYTES)
+    picked = vocab.sequences(vocab.look_up(words)[1], sizes)
+    picked = picked[: int(np.searchsorted(np.cumsum(sizes + 1), seed_tokens)) + 1]
     train_texts(model, picked, vocab.end, 5e-3, epochs)
     train_texts(model, picked, vocab.end, 1e-3, 1)
     shipped = train.sparkSession.sparkContext.broadcast((vocab, model.flat))
+    names, schema = ["part", "n", "w"], "part long, n double, w binary"
+
+    def row(part: int, n: float, w: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.float64()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=names)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, flat = shipped.value
-        own, seen = Gru(flat.copy()), 0
-        for _, _, symbols in _texts(batches, 200_000, vocab):
-            seen += train_texts(own, symbols, vocab.end, 5e-4)
+        own, adam, seen = Gru(flat.copy()), Adam(), 0
+        for batch in grouped(batches, 0, 6_000_000):
+            words, sizes = words_of(batch.column(0), SPACED_BYTES)
+            seen += train_texts(own, vocab.sequences(vocab.look_up(words)[1], sizes), vocab.end, rate, lanes=256, adam=adam)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.float64()), pa.array([own.flat.tobytes()], pa.binary())], names=["n", "w"])
+            yield row(TaskContext.get().partitionId(), seen, own.flat)
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(Gru.SIZE), 0.0
+        total, n, first = np.zeros(Gru.SIZE), 0.0, None
         for b in batches:
-            for seen, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for part, seen, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 total += seen * np.frombuffer(w.as_py(), np.float32)
                 n += seen
+                first = part if first is None else first
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
+            yield row(first, n, total / n)
 
-    parts = train.select(text_col).mapInArrow(refine, "n double, w binary")
+    parts = train.select(text_col).mapInArrow(refine, schema)
     groups = max(1, int(train.rdd.getNumPartitions() ** 0.5))
-    found = parts.repartition(groups).mapInArrow(average, "n double, w binary").collect()
-    if not found:
-        return model.flat
-    n = sum(r["n"] for r in found)
-    return (sum(r["n"] * np.frombuffer(bytes(r["w"]), np.float32).astype(np.float64) for r in found) / n).astype(np.float32)
+    merged = parts.repartition(groups, F.floor(F.col("part") / groups)).sortWithinPartitions("part").mapInArrow(average, schema)
+    found = merged.repartition(1).sortWithinPartitions("part").mapInArrow(average, schema).first()
+    return model.flat if found is None else np.frombuffer(bytes(found["w"]), np.float32)
+
+
+@dataclass
+class LanguageModel:
+    """A trained model: the counts (word, c) as a table, what tasks need of them, and the weights."""
+
+    counts: DataFrame
+    head_rung: int
+    vocab: Vocabulary
+    weights: np.ndarray
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = 300_000, **options) -> LanguageModel:
+    """The model of all of `docs`."""
+    ship(docs.sparkSession)
+    counts = count_words(docs, text_col)
+    vocab = vocabulary(counts, docs.count(), head)
+    return LanguageModel(counts, head_rung(counts, head), vocab, fit(docs, text_col, vocab, id_col, **options))
 
 
 SCORED = "row long, doc string, n_tokens long, known long, base double, score double, rare array<string>"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, head: int = 100_000) -> DataFrame:
-    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    ship(spark)
-    train = docs.filter(fold(F.col(id_col), modulus) != held_out)
-    counts = count_words(train, text_col)
-    vocab = vocabulary(counts, train.count(), head)
-    weights = fit(train, text_col, vocab, id_col)
-    shipped = spark.sparkContext.broadcast((vocab, weights))
+def score_rows(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc (the id as text), n_tokens, n_known, base_score, score."""
+    ship(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast((model.vocab, model.weights))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, flat = shipped.value
-        model, count_of = Gru(flat), vocab.counts.get
-        floor = np.log10(vocab.train_tokens + vocab.train_types + 1)
-        bucket_log = np.log10(vocab.bucket_total).tolist()
-        for place, words, symbols in _texts(batches, 1_000_000, vocab):
-            sums = score_texts(model, symbols, vocab.end) / np.log(10)
-            rows = []
-            for (row, doc), ws, total in zip(place, words, sums.tolist(), strict=True):
-                have = [count_of(w, 0) for w in ws]
-                rare = [w for w, c in zip(ws, have, strict=True) if not c]
-                logs = np.log10(np.array(have, dtype=np.float64) + 1)
-                outside = [k for k, w in enumerate(ws) if w not in vocab.symbol]
-                total += float(logs[outside].sum()) - sum(bucket_log[vocab.bucket(ws[k])] for k in outside)
-                known = len(ws) - len(rare) + (vocab.train_docs > 0)
-                base = float(logs.sum()) + np.log10(vocab.train_docs + 1) - (len(ws) + 1) * floor
-                rows.append((row, doc, len(ws) + 1, known, base, total, rare))
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc", "n_tokens", "known", "base", "score", "rare"])
+        own, logs = Gru(flat), np.log10(vocab.counts + 1.0)
+        floor, end = np.log10(vocab.train_tokens + vocab.train_types + 1), np.log10(vocab.train_docs + 1)
+        for batch in grouped(batches, 0, 6_000_000):
+            words, sizes = words_of(batch.column(0), SPACED_BYTES)
+            place, symbols, bucket, rare = vocab.look_up(words)
+            n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            inside = place >= 0
+            at, of = place[inside], owner[inside]
+            base = np.bincount(of, logs[at], n) + end - (sizes + 1) * floor
+            total = score_texts(own, vocab.sequences(symbols, sizes), vocab.end) / np.log(10)
+            total += np.bincount(of, vocab.extra[at], n) - np.bincount(owner[~inside], vocab.bucket_log[bucket], n)
+            known = np.bincount(of, minlength=n) + (vocab.train_docs > 0)
+            ends = np.r_[0, np.cumsum(np.bincount(owner[~inside], minlength=n))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), rare)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(2), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), lists],
+                names=["row", "doc", "n_tokens", "known", "base", "score", "rare"],
+            )
 
     rows = docs.select(F.col(text_col), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc"))
     table = stored(rows.mapInArrow(scored, SCORED), "lm-scores")
     # words outside the head: their counts come by a join, summed for each row
     seen = table.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = cut(counts.orderBy(F.desc("c"), "word").limit(head)).agg(F.min("c")).first()[0]
-    tail = counts.filter(F.col("c") <= F.lit(top if top is not None else 0))
+    tail = model.counts.filter(~in_head(model.head_rung))
     more = seen.join(tail, "word").groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
-    out = table.drop("rare").join(more, "row", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
+    out, logs = table.drop("rare").join(more, "row", "left"), F.coalesce("logs", F.lit(0.0))
+    return out.select("doc", "n_tokens", (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_known"), (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, head: int = 300_000) -> DataFrame:
+    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score; the model learns from all rows of the other folds."""
+    model = train(docs.filter(fold(F.col(id_col), modulus) != held_out), id_col, text_col, head)
     ident = F.col("doc").cast(docs.schema[id_col].dataType)
-    return out.select(
-        ident.alias(id_col),
-        (fold(ident, modulus) == held_out).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_known"),
-        F.lit(int(vocab.train_tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + logs).alias("base_score"),
-        (F.col("score") + logs).alias("score"),
+    return score_rows(docs, model, id_col, text_col).select(
+        ident.alias(id_col), (fold(ident, modulus) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.vocab.train_tokens)).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -6,7 +6,7 @@ inside a bucket a word has (c + 1) / (sum of (c + 1) of the bucket's words + 1),
 probability of a text is that of its symbols times that of its rarer words given their buckets.
 
 Weights start from truncated backpropagation over a bounded seed sample (`seed_tokens`, a parameter), and are then refined on all
-training documents, partition by partition, and averaged (see `fit` for what the split of the input changes: the score, never the base columns).
+training documents, partition by partition, and averaged (see `fit_encoded` for what the split of the input changes: the score, never the base columns).
 Texts of any length are scored in windows with the state carried over, from a zero state at the start of each.
 
 The head, at most `head` words by count, none of them above 100 characters, goes to the tasks; the counts of other words are joined by a
@@ -60,125 +60,129 @@ class Gru:
     def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hidden states (steps, lanes, HIDDEN) and the last one; `fresh` marks where a text starts from zero.
 
-        Inside, lanes run along the rows of each array, so that every gate is one contiguous block.
+        With s(x) = x / (1 + |x|): update and reset gates are (1 + s) / 2, the candidate is s. In memory the steps and lanes of one component lie
+        together, here and in the other methods, so that every gate is one contiguous block.
         """
         steps, lanes = inputs.shape
-        out = np.empty((steps, lanes, HIDDEN), np.float32)
+        both, one, half = 2 * HIDDEN, np.float32(1), np.float32(0.5)
+        out = np.empty((HIDDEN, steps, lanes), np.float32)
         table, u, h = np.ascontiguousarray(self.table.T), np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T)
-        x, starts, both = np.empty((3 * HIDDEN, lanes), np.float32), fresh.any(1), 2 * HIDDEN
+        x, q, starts = np.empty((3 * HIDDEN, lanes), np.float32), np.empty((3 * HIDDEN, lanes), np.float32), fresh.any(1)
         for t in range(steps):
             if starts[t]:
                 h = np.where(fresh[t], np.float32(0), h)
             np.take(table, inputs[t], axis=1, out=x, mode="clip")
             a = u @ h
-            zr, an = a[:both], a[both:]
+            if keep is not None:
+                q = np.empty_like(a)
+            zr, an, qg, qn = a[:both], a[both:], q[:both], q[both:]
             zr += x[:both]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
+            np.abs(zr, out=qg)
+            qg += one
+            np.divide(one, qg, out=qg)
+            zr *= qg
+            zr *= half
+            zr += half
             z, r = zr[:HIDDEN], zr[HIDDEN:]
             n = r * an
             n += x[both:]
-            np.tanh(n, out=n)
+            np.abs(n, out=qn)
+            qn += one
+            np.divide(one, qn, out=qn)
+            n *= qn
             if keep is not None:
-                keep.append((h, z, r, n, an))
+                keep.append((h, z, r, n, an, q))
             step = n - h
             step *= z
             step += h
-            h = step
-            out[t] = h.T
-        return out, np.ascontiguousarray(h.T)
+            h = out[:, t] = step
+        return out.transpose(1, 2, 0), np.ascontiguousarray(h.T)
 
-    def log_probs(self, h: np.ndarray, targets: np.ndarray, grads: Gru | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probabilities of the targets given states (n, HIDDEN); with `grads` also the states' gradient."""
+    def log_probs(self, h: np.ndarray, targets: np.ndarray, grads: Gru | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probabilities of the targets given states (n, HIDDEN); with `grads` also the states' gradient, each target counting `weight`."""
         order = np.argsort((targets // MEMBERS).astype(np.uint8), kind="stable")
-        hs, goal = h[order], targets[order]
+        goal = targets[order]
+        hs = np.empty((HIDDEN + 1, len(order)), np.float32)
+        np.take(h.T, order, axis=1, out=hs[:HIDDEN], mode="clip")
+        hs[HIDDEN] = 1  # the last row carries the biases
         group, member, rows = goal // MEMBERS, goal % MEMBERS, np.arange(len(goal))
         ends = np.searchsorted(group, np.arange(CLASSES + 1))
         ones = np.ones(MEMBERS, np.float32)
+        weights = [np.c_[self.cw.T, self.cb]] + [np.c_[self.ww[c].T, self.wb[c]] for c in range(CLASSES)]
         # states lie in (-1, 1), so this bounds every logit; below it, exponentials and their products need no shift
         far = max(np.abs(self.cw).sum(0).max() + np.abs(self.cb).max(), np.abs(self.ww).sum(1).max() + np.abs(self.wb).max()) > 40
+        total, sums = np.zeros(len(goal), np.float32), np.ones(len(goal), np.float32)
+        dh = None if grads is None else np.empty((HIDDEN, len(goal)), np.float32)
 
-        def softmax(logits: np.ndarray, pick: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The picked logits and the sums; the logits become exponentials."""
+        def softmax(k: int, part: slice, pick: np.ndarray, gw: np.ndarray | None, gb: np.ndarray | None) -> None:
+            """Add to the targets' logits and multiply the sums of exponentials for softmax k over `part`; the same for gradients."""
+            x, at = hs[:, part], rows[: len(pick)]
+            e = weights[k] @ x
             if far:
-                logits -= logits.max(1, keepdims=True)
-            picked = logits[at, pick]
-            np.exp(logits, out=logits)
-            return picked, logits @ ones
-
-        def slope(e: np.ndarray, s: np.ndarray, pick: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
-            e /= s[:, None]
-            e[at, pick] -= 1
-            e *= w[:, None]
-            return e
-
-        e = hs @ self.cw
-        e += self.cb
-        total, sums = softmax(e, group, rows)
-        dh = None
-        if grads is not None:
-            ws = weight[order]
-            d = slope(e, sums, group, rows, ws)
-            grads.cw += hs.T @ d
-            grads.cb += d.sum(0)
-            dh = d @ self.cw.T
+                e -= e.max(0)
+            total[part] += e[pick, at]
+            np.exp(e, out=e)
+            s = ones @ e
+            sums[part] *= s
+            if gw is not None:
+                e *= np.float32(weight) / s
+                e[pick, at] -= np.float32(weight)
+                d = e @ x.T
+                gw += d[:, :HIDDEN].T
+                gb += d[:, HIDDEN]
+                if k == 0:
+                    np.matmul(weights[k][:, :HIDDEN].T, e, out=dh)
+                else:
+                    dh[:, part] += weights[k][:, :HIDDEN].T @ e
+
+        g = grads
+        softmax(0, slice(0, len(goal)), group, g and g.cw, g and g.cb)
         for c in range(CLASSES):
             part = slice(ends[c], ends[c + 1])
-            hc, pick, at = hs[part], member[part], rows[: ends[c + 1] - ends[c]]
-            if not len(hc):
-                continue
-            e = hc @ self.ww[c]
-            e += self.wb[c]
-            picked, s = softmax(e, pick, at)
-            total[part] += picked
-            sums[part] *= s
-            if grads is not None:
-                d = slope(e, s, pick, at, ws[part])
-                grads.ww[c] += hc.T @ d
-                grads.wb[c] += d.sum(0)
-                dh[part] += d @ self.ww[c].T
+            if ends[c] < ends[c + 1]:
+                softmax(c + 1, part, member[part], g and g.ww[c], g and g.wb[c])
         out = np.empty(len(targets))
         out[order] = total.astype(np.float64) - np.log(sums.astype(np.float64))
         if dh is None:
             return out, None
-        back = np.empty_like(dh)
-        back[order] = dh
-        return out, back
+        back = np.empty(len(order), order.dtype)
+        back[order] = rows
+        return out, dh.take(back, axis=1).T
 
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, dout: np.ndarray, grads: Gru) -> None:
         """Backpropagation through one window; nothing flows further back than its first step."""
         steps, lanes = inputs.shape
         both, starts = 2 * HIDDEN, fresh.any(1)
-        dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        given, u = dout.transpose(2, 0, 1), np.ascontiguousarray(self.u)
+        dx = np.empty((3 * HIDDEN, steps, lanes), np.float32)
         dh, da = np.zeros((HIDDEN, lanes), np.float32), np.empty((3 * HIDDEN, lanes), np.float32)
+        gu, one, half = np.zeros((3 * HIDDEN, HIDDEN), np.float32), np.float32(1), np.float32(0.5)
         for t in range(steps - 1, -1, -1):
-            h, z, r, n, an = kept[t]
-            dh += dout[t].T
+            h, z, r, n, an, q = kept[t]
+            dh += given[:, t]
+            q *= q  # the slope of s
             dn = dh * z
-            dz = n - h
-            dz *= dn
-            da[:HIDDEN] = dz
-            da[:HIDDEN] *= 1 - z
-            slope = n * n
-            np.subtract(1, slope, out=slope)
-            dn *= slope
-            dx[t, :, both:] = dn.T
-            dn *= r
-            da[both:] = dn
-            dn *= an
-            dn *= 1 - r
-            da[HIDDEN:both] = dn
-            dx[t, :, :both] = da[:both].T
-            grads.u += h @ da.T
-            dh *= 1 - z
-            dh += self.u @ da
+            dz, dr, dn_r = da[:HIDDEN], da[HIDDEN:both], da[both:]
+            np.subtract(n, h, out=dz)
+            dz *= dh
+            dn *= q[both:]
+            np.multiply(dn, r, out=dn_r)
+            np.multiply(dn, an, out=dr)
+            da[:both] *= q[:both]
+            da[:both] *= half
+            rest = one - z
+            dx[:both, t] = da[:both]
+            dx[both:, t] = dn
+            gu += da @ h.T
+            dh *= rest
+            dh += u @ da
             if starts[t]:
                 dh[:, fresh[t]] = 0
-        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
-        symbols, first = np.unique(inputs.ravel()[order], return_index=True)
-        grads.table[symbols] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        grads.u += gu.T
+        flat = inputs.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        symbols, first = np.unique(flat[order], return_index=True)
+        grads.table[symbols] += np.add.reduceat(dx.reshape(3 * HIDDEN, -1).take(order, axis=1), first, axis=1).T
 
 
 def _inputs(symbols: np.ndarray, owner: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +195,7 @@ def _inputs(symbols: np.ndarray, owner: np.ndarray, end: int) -> tuple[np.ndarra
     return before, fresh
 
 
-def score_texts(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 512, window: int = 64) -> np.ndarray:
+def score_texts(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 500, window: int = 64) -> np.ndarray:
     """Natural log probability of each symbol sequence."""
     symbols, owner = lanes_of(texts, max(1, min(lanes, len(texts))))
     before, fresh = _inputs(symbols, owner, end)
@@ -203,9 +207,11 @@ def score_texts(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 512,
             keep = np.flatnonzero(live)
             symbols, owner, before, fresh, h = symbols[:, keep], owner[:, keep], before[:, keep], fresh[:, keep], h[keep]
         out, h = model.states(before[part], fresh[part], h)
-        real = owner[part] >= 0
-        found, _ = model.log_probs(out[real], symbols[part][real])
-        total += np.bincount(owner[part][real], found, len(texts))
+        real = np.flatnonzero(owner[part] >= 0)
+        states, targets, of = out.reshape(-1, HIDDEN), symbols[part].ravel(), owner[part].ravel()
+        if len(real) < len(of):
+            states, targets, of = states[real], targets[real], of[real]
+        total += np.bincount(of, model.log_probs(states, targets)[0], len(texts))
     return total
 
 
@@ -244,11 +250,13 @@ def train_texts(model: Gru, texts: list[np.ndarray], end: int, rate: float, epoc
             part = slice(t, t + window)
             kept, grads = [], Gru(np.zeros(Gru.SIZE, np.float32))
             out, h = model.states(before[part], fresh[part], h, kept)
-            flat = (owner[part] >= 0).ravel()
-            n = int(flat.sum())
-            states = out.reshape(-1, HIDDEN)
-            dout = np.zeros_like(states)
-            _, dout[flat] = model.log_probs(states[flat], symbols[part].ravel()[flat], grads, np.full(n, 1 / n, np.float32))
+            real = np.flatnonzero(owner[part] >= 0)
+            n, states, targets = len(real), out.reshape(-1, HIDDEN), symbols[part].ravel()
+            if n == len(targets):
+                _, dout = model.log_probs(states, targets, grads, 1 / n)
+            else:
+                dout = np.zeros((HIDDEN, len(targets)), np.float32).T
+                _, dout[real] = model.log_probs(states[real], targets[real], grads, 1 / n)
             model.backward(before[part], fresh[part], kept, dout.reshape(out.shape), grads)
             adam.move(model, grads.flat, rate)
             seen += n
@@ -289,14 +297,14 @@ class Vocabulary:
         symbols[outside] = self.bucket_symbol[bucket]
         return place, symbols, bucket, rare
 
-    def sequences(self, symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """The symbols of each text and its end."""
+    def sequences(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The symbols of texts end to end, each text's followed by the end symbol."""
         ends = np.cumsum(sizes + 1)
         flat = np.full(int(ends[-1]) if len(ends) else 0, self.end, np.int32)
         inner = np.ones(len(flat), bool)
         inner[ends - 1] = False
         flat[inner] = symbols
-        return np.split(flat, ends[:-1]) if len(ends) else []
+        return flat
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -367,33 +375,79 @@ def vocabulary(counts: DataFrame, n_docs: int, head: int) -> Vocabulary:
     return Vocabulary(words, count, symbol_of, extra, symbol, bucket_symbol, bucket_log, frequency, end, total["n"] + n_docs, total["v"] + (n_docs > 0), n_docs)
 
 
-def fit(train: DataFrame, text_col: str, vocab: Vocabulary, id_col: str, seed_tokens: int = 300_000, seed_docs: int = 800, epochs: int = 4, rate: float = 1e-3) -> np.ndarray:
-    """Weights: seeded on a bounded sample, refined on all training documents and averaged by their symbols.
+ENCODED = "row long, doc string, place long, n_tokens long, known long, base double, extra double, rare array<string>, symbols binary"
 
-    Every partition of `train` is one run of training from the seed's weights, so weights and scores hang on how the input is split. With the same split they are the same: partitions
-    are merged in the order of their numbers, in two levels down to one row.
+
+def encoded(docs: DataFrame, text_col: str, vocab: Vocabulary, id_col: str) -> DataFrame:
+    """One row per input row, written once: what the counts of the head say of its words, its words outside the head, and its symbols (two bytes each).
+
+    `extra` is the log10 share of the words in their buckets, as far as the head goes; `place` draws the seed.
     """
-    model = Gru.start(vocab.frequency)
+    ship(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shipped.value
+        logs = np.log10(vocab.counts + 1.0)
+        floor, end = np.log10(vocab.train_tokens + vocab.train_types + 1), np.log10(vocab.train_docs + 1)
+        for batch in grouped(batches, 0, 6_000_000):
+            words, sizes = words_of(batch.column(0), SPACED_BYTES)
+            place, symbols, bucket, rare = vocab.look_up(words)
+            n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            inside = place >= 0
+            at, of, beyond = place[inside], owner[inside], owner[~inside]
+            base = np.bincount(of, logs[at], n) + end - (sizes + 1) * floor
+            extra = np.bincount(of, vocab.extra[at], n) - np.bincount(beyond, vocab.bucket_log[bucket], n)
+            known = np.bincount(of, minlength=n) + (vocab.train_docs > 0)
+            ends = np.r_[0, np.cumsum(np.bincount(beyond, minlength=n))].astype(np.int32)
+            flat = vocab.sequences(symbols, sizes).astype("<u2")
+            cuts = np.r_[0, 2 * np.cumsum(sizes + 1)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k) for k in (1, 2, 3)),
+                    pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(extra, pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(ends), rare),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(flat)]),
+                ],
+                names=["row", "doc", "place", "n_tokens", "known", "base", "extra", "rare", "symbols"],
+            )
+
     place = F.pmod(F.xxhash64(F.lit("seed"), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
-    sample = train.select(F.substring(F.col(text_col), 1, 10 * seed_tokens).alias("t"), place.alias("h")).filter(F.col("h") < int((1 << 30) * min(1.0, seed_docs / max(1, vocab.train_docs))))
-    texts = pa.array([r["t"] for r in sorted(sample.limit(2 * seed_docs).collect(), key=lambda r: (r["h"], r["t"] or ""))], pa.string())
-    words, sizes = words_of(texts, SPACED_BYTES)
-    picked = vocab.sequences(vocab.look_up(words)[1], sizes)
-    picked = picked[: int(np.searchsorted(np.cumsum(sizes + 1), seed_tokens)) + 1]
+    rows = docs.select(F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc"), place.alias("place"))
+    return stored(rows.mapInArrow(run, ENCODED), "lm-symbols")
+
+
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b.as_buffer(), "<u2").astype(np.int32) for b in column]
+
+
+def fit_encoded(rows: DataFrame, vocab: Vocabulary, seed_tokens: int = 300_000, seed_docs: int = 800, epochs: int = 4, rate: float = 1e-3) -> np.ndarray:
+    """Weights from rows of `encoded`: seeded on a bounded sample, refined on all of them and averaged by their symbols.
+
+    Every partition is one run of training from the seed's weights, so weights and scores hang on how the rows are split. With the same split they are the same: partitions
+    are merged in the order of their numbers, in two levels down to one row.
+    """
+    model, spark = Gru.start(vocab.frequency), rows.sparkSession
+    sample = rows.filter(F.col("place") < int((1 << 30) * min(1.0, seed_docs / max(1, vocab.train_docs)))).select("place", F.substring("symbols", 1, 2 * seed_tokens).alias("symbols"))
+    drawn = sorted((r["place"], bytes(r["symbols"])) for r in sample.limit(2 * seed_docs).collect())
+    picked, n = [], 0
+    for _, s in drawn:
+        picked.append(np.frombuffer(s, "<u2").astype(np.int32))
+        n += len(picked[-1])
+        if n >= seed_tokens:
+            break
     train_texts(model, picked, vocab.end, 5e-3, epochs)
     train_texts(model, picked, vocab.end, 1e-3, 1)
-    shipped = train.sparkSession.sparkContext.broadcast((vocab, model.flat))
+    shipped, end = spark.sparkContext.broadcast(model.flat), vocab.end
     names, schema = ["part", "n", "w"], "part long, n double, w binary"
 
     def row(part: int, n: float, w: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.float64()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=names)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, flat = shipped.value
-        own, adam, seen = Gru(flat.copy()), Adam(), 0
-        for batch in grouped(batches, 0, 6_000_000):
-            words, sizes = words_of(batch.column(0), SPACED_BYTES)
-            seen += train_texts(own, vocab.sequences(vocab.look_up(words)[1], sizes), vocab.end, rate, lanes=256, adam=adam)
+        own, adam, seen = Gru(shipped.value.copy()), Adam(), 0
+        for batch in grouped(batches, 0, 2_000_000):
+            seen += train_texts(own, _sequences(batch.column(0)), end, rate, lanes=500, adam=adam)
         if seen:
             yield row(TaskContext.get().partitionId(), seen, own.flat)
 
@@ -407,13 +461,18 @@ def fit(train: DataFrame, text_col: str, vocab: Vocabulary, id_col: str, seed_to
         if n:
             yield row(first, n, total / n)
 
-    parts = train.select(text_col).mapInArrow(refine, schema)
-    groups = max(1, int(train.rdd.getNumPartitions() ** 0.5))
+    parts = rows.select("symbols").mapInArrow(refine, schema)
+    groups = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
     merged = parts.repartition(groups, F.floor(F.col("part") / groups)).sortWithinPartitions("part").mapInArrow(average, schema)
     found = merged.repartition(1).sortWithinPartitions("part").mapInArrow(average, schema).first()
     return model.flat if found is None else np.frombuffer(bytes(found["w"]), np.float32)
 
 
+def fit(train: DataFrame, text_col: str, vocab: Vocabulary, id_col: str, **options) -> np.ndarray:
+    """Weights from documents; see `fit_encoded`."""
+    return fit_encoded(encoded(train, text_col, vocab, id_col), vocab, **options)
+
+
 @dataclass
 class LanguageModel:
     """A trained model: the counts (word, c) as a table, what tasks need of them, and the weights."""
@@ -426,55 +485,49 @@ class LanguageModel:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = 300_000, **options) -> LanguageModel:
     """The model of all of `docs`."""
+    counts, rung, vocab = counted(docs, text_col, head)
+    return LanguageModel(counts, rung, vocab, fit(docs, text_col, vocab, id_col, **options))
+
+
+def counted(docs: DataFrame, text_col: str, head: int) -> tuple[DataFrame, int, Vocabulary]:
     ship(docs.sparkSession)
     counts = count_words(docs, text_col)
-    vocab = vocabulary(counts, docs.count(), head)
-    return LanguageModel(counts, head_rung(counts, head), vocab, fit(docs, text_col, vocab, id_col, **options))
+    return counts, head_rung(counts, head), vocabulary(counts, docs.count(), head)
 
 
-SCORED = "row long, doc string, n_tokens long, known long, base double, score double, rare array<string>"
+SCORED = "row long, doc string, n_tokens long, known long, base double, score double"
 
 
-def score_rows(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc (the id as text), n_tokens, n_known, base_score, score."""
-    ship(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast((model.vocab, model.weights))
+def score_encoded(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """One row per row of `encoded`: doc (the id as text), n_tokens, n_known, base_score, score."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model.weights)
+    end = model.vocab.end
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, flat = shipped.value
-        own, logs = Gru(flat), np.log10(vocab.counts + 1.0)
-        floor, end = np.log10(vocab.train_tokens + vocab.train_types + 1), np.log10(vocab.train_docs + 1)
-        for batch in grouped(batches, 0, 6_000_000):
-            words, sizes = words_of(batch.column(0), SPACED_BYTES)
-            place, symbols, bucket, rare = vocab.look_up(words)
-            n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-            inside = place >= 0
-            at, of = place[inside], owner[inside]
-            base = np.bincount(of, logs[at], n) + end - (sizes + 1) * floor
-            total = score_texts(own, vocab.sequences(symbols, sizes), vocab.end) / np.log(10)
-            total += np.bincount(of, vocab.extra[at], n) - np.bincount(owner[~inside], vocab.bucket_log[bucket], n)
-            known = np.bincount(of, minlength=n) + (vocab.train_docs > 0)
-            ends = np.r_[0, np.cumsum(np.bincount(owner[~inside], minlength=n))].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), rare)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), lists],
-                names=["row", "doc", "n_tokens", "known", "base", "score", "rare"],
-            )
+        own = Gru(shipped.value)
+        for batch in grouped(batches, 6, 2_000_000):
+            total = score_texts(own, _sequences(batch.column(6)), end) / np.log(10) + batch.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(total, pa.float64())], names=["row", "doc", "n_tokens", "known", "base", "score"])
 
-    rows = docs.select(F.col(text_col), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc"))
-    table = stored(rows.mapInArrow(scored, SCORED), "lm-scores")
     # words outside the head: their counts come by a join, summed for each row
-    seen = table.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
+    seen = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
     tail = model.counts.filter(~in_head(model.head_rung))
     more = seen.join(tail, "word").groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
-    out, logs = table.drop("rare").join(more, "row", "left"), F.coalesce("logs", F.lit(0.0))
+    out, logs = rows.select("row", "doc", "n_tokens", "known", "base", "extra", "symbols").mapInArrow(scored, SCORED).join(more, "row", "left"), F.coalesce("logs", F.lit(0.0))
     return out.select("doc", "n_tokens", (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_known"), (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))
 
 
+def score_rows(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`score_encoded` of documents."""
+    return score_encoded(encoded(docs, text_col, model.vocab, id_col), model)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, head: int = 300_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score; the model learns from all rows of the other folds."""
-    model = train(docs.filter(fold(F.col(id_col), modulus) != held_out), id_col, text_col, head)
+    counts, rung, vocab = counted(docs.filter(fold(F.col(id_col), modulus) != held_out), text_col, head)
+    rows = encoded(docs, text_col, vocab, id_col)
+    model = LanguageModel(counts, rung, vocab, fit_encoded(rows.filter(fold(F.col("doc"), modulus) != held_out), vocab))
     ident = F.col("doc").cast(docs.schema[id_col].dataType)
-    return score_rows(docs, model, id_col, text_col).select(
-        ident.alias(id_col), (fold(ident, modulus) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.vocab.train_tokens)).cast("long").alias("train_tokens"), "base_score", "score"
+    return score_encoded(rows, model).select(
+        ident.alias(id_col), (fold(F.col("doc"), modulus) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(int(vocab.train_tokens)).cast("long").alias("train_tokens"), "base_score", "score"
     )

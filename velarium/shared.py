@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,12 +31,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir; a local one of our own only where it is unset and the master is local."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), "velarium-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(at)
+    return at
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it is deleted when the application ends."""
+    at = f"{shared_dir(spark)}/velarium/{spark.sparkContext.applicationId}"
+    if at not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN.add(at)
     return at
 
 
@@ -45,9 +61,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table below the shared folder as Parquet and read it back."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/velarium/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    at = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -1,22 +1,31 @@
 """SimHash near-deduplication by fuzzy hashing with the binary Golay code.
 
 A fingerprint's 64 bits make three segments of 21, 21 and 22 bits, padded to the 23 bits of the perfect Golay code, in
-which every word lies within three bits of exactly one codeword. If two fingerprints differ in at most three bits, then two of
-the three segments hold at most one error each (the second largest of three counts that sum to three is one at most). A
-word and its neighbours at one bit decode to at most six codewords, so a fingerprint is stored under the codeword indices
-of each pair of segments (three keys) and looked up under every pair of neighbouring indices; two linked fingerprints
-always meet under one key. Candidates are verified by the bit count of their XOR.
+which every word lies within three bits of exactly one codeword. A word and its neighbours at one bit decode to at most some six
+codewords, its near indices. If two fingerprints differ in at most three bits, the segments' errors fall in one of two ways:
+
+* no segment holds more than one: each segment's index is near the other's. One side goes under the near indices of the first two
+  segments and its own of the third, the other under its own of the first two and the near ones of the third (36 bits);
+* one segment holds two or three: of the other two one is equal and the other within one bit. Both go under the equal segment's bits, one side with
+  its own index of the other segment, the other side with the near ones (33 or 34 bits), for each choice of the two segments.
+
+So linked fingerprints always meet under a key, and a key is long enough that few others do. Candidates are verified by the bit count of their XOR.
+Where more than `bucket` fingerprints are stored under one key, their pairs are not formed. Those fingerprints are put to every point of the
+Hamming space within two bits of them instead, and at each point linked to the least fingerprint within one bit of it: those are true links, two fingerprints
+within three bits share such a point, and a point has at most 2,081 fingerprints around it. The links then are fewer, their components the same.
 
 Copies share a fingerprint, so keys are made for distinct fingerprints alone, and documents follow by their fingerprint.
 Components of the links come from alternating star contraction in Spark.
 
-A null or blank text has no shingles and fingerprint zero, linked like any other; a text of one or two words is one shingle.
-Null ids never become a component's id unless the component has no other. Empty tables give empty results.
+A null or blank text has no shingles and fingerprint zero, linked like any other; a text of one or two words is one shingle; texts of any length are
+read whole. Repeated rows each get their component. Null ids never become a component's id unless the component has no other. Columns of the input
+other than id and text are not read by `near_duplicates` and are kept by `deduplicate`, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +36,8 @@ from velarium.llm.components import components
 from velarium.shared import cut, ship, stored
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: The segment that is equal and the one within a bit, where the third holds the other errors.
+EQUAL_NEAR = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 #: Generator polynomial of the [23, 12, 7] Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 
@@ -106,37 +116,56 @@ class Golay:
         return [np.r_[own, row[k]] for own, row, k in zip(all_of[:, 0], rest, keep, strict=True)]
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = Golay()
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             part = batch.slice(k, 2000)
-            prints = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            u = prints.view(np.uint64)
-            near = [code.near(((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int32), n) for at, n in SEGMENTS]
-            stored_keys, probes, sizes = [], [], []
-            for r in range(len(prints)):
-                mine = []
-                for p, (i, j) in enumerate(PAIRS):
-                    both = (p << 24) + (near[i][r][:, None].astype(np.int64) << 12) + near[j][r][None, :]
-                    mine.append(both.ravel())
-                    stored_keys.append(both[0, 0])
-                one = np.concatenate(mine)
-                probes.append(one)
-                sizes.append(len(one))
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(prints) + 1, 3, dtype=np.int32)), pa.array(np.array(stored_keys, dtype=np.int64))),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(probes) if probes else np.zeros(0, dtype=np.int64))),
-                ],
-                names=["fp", "stored", "probes"],
-            )
-
-
-def links(prints: DataFrame, most: int = 3) -> DataFrame:
-    """Pairs a < b of the distinct values of column fp that differ in at most `most` (up to 3) bits."""
+            u = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            words = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+            near = [[x.astype(np.int64) for x in code.near(w.astype(np.int32), n)] for w, (_, n) in zip(words, SEGMENTS, strict=True)]
+            stored_keys, probes = [], []
+            for r in range(len(u)):
+                n0, n1, n2 = near[0][r], near[1][r], near[2][r]
+                held = [(n0[0] << 24) + (n1[0] << 12) + n2]
+                asked = [((n0[:, None] << 24) + (n1[None, :] << 12) + n2[0]).ravel()]
+                for tag, (same, close) in enumerate(EQUAL_NEAR, 1):
+                    keys = (tag << 40) + (words[same][r] << 12) + near[close][r]
+                    held.append(keys[:1])
+                    asked.append(keys)
+                stored_keys.append(np.concatenate(held))
+                probes.append(np.concatenate(asked))
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(stored_keys), _lists(probes)], names=["fp", "stored", "probes"])
+
+
+def _ball_links(prints: DataFrame, most: int) -> DataFrame:
+    """True links (a, b) of the fingerprints fp whose components are those of all their links, by the points around each."""
+    inner, outer = most // 2, most - most // 2
+    masks = sorted((sum(1 << b for b in bits) for size in range(outer + 1) for bits in combinations(range(64), size)), key=int.bit_count)
+    flips, close = np.array(masks, dtype=np.uint64), np.array([m.bit_count() <= inner for m in masks])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 50):
+                fp = batch.column(0).slice(k, 50).to_numpy(zero_copy_only=False).astype(np.int64)
+                points = (fp.view(np.uint64)[:, None] ^ flips[None, :]).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.repeat(fp, len(flips))), pa.array(np.tile(close, len(fp)))], names=["point", "fp", "close"])
+
+    points = prints.select("fp").mapInArrow(around, "point long, fp long, close boolean")
+    least = points.filter("close").groupBy("point").agg(F.min("fp").alias("least"))
+    return points.join(least, "point").filter("fp <> least").select(F.least("fp", "least").alias("a"), F.greatest("fp", "least").alias("b")).distinct()
+
+
+def links(prints: DataFrame, most: int = 3, bucket: int = 2000) -> DataFrame:
+    """Pairs a < b of the distinct values of column fp that differ in at most `most` (up to 3) bits.
+
+    All of them, unless a key has more than `bucket` fingerprints: of those as many links as leave the components the same.
+    """
     if not 0 <= most <= 3:
         raise ValueError("the keys are complete for up to 3 differing bits")
     ship(prints.sparkSession)
@@ -144,13 +173,20 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     left = keyed.select(F.col("fp").alias("a"), F.explode("probes").alias("key"))
     right = keyed.select(F.col("fp").alias("b"), F.explode("stored").alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    return left.join(right, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    hot = cut(right.groupBy("key").count().filter(F.col("count") > bucket).select("key"))
+    crowded = not hot.isEmpty()
+    few = right.join(hot, "key", "left_anti") if crowded else right
+    found = left.join(few, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    if not crowded:
+        return found
+    dense = left.withColumnRenamed("a", "fp").unionByName(right.withColumnRenamed("b", "fp")).join(hot, "key", "left_semi").select("fp").distinct()
+    return found.unionByName(_ball_links(cut(dense), most)).distinct()
 
 
-def groups(prints: DataFrame, most: int = 3) -> DataFrame:
+def groups(prints: DataFrame, most: int = 3, bucket: int = 2000) -> DataFrame:
     """Of a table (id, fp), one row per distinct fingerprint: fp, component_id (smallest id reachable)."""
     firsts = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    joined = components(cut(links(firsts, most)))
+    joined = components(cut(links(firsts, most, bucket)))
     tied = firsts.join(joined.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first")
     roots = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = tied.join(roots, "root").select("fp", "component_id")

@@ -69,6 +69,16 @@ def test_exact_dedup(odd, support):
     assert Counter(lower(r["text"]) for r in kept.collect()) == Counter({lower(t): 1 for _, t in ODD})
 
 
+def test_exact_dedup_of_one_row_repeated(spark):
+    rows = [(7, "Same")] * 900 + [(3, "same")] * 100 + [(i, f"text {i}") for i in range(2000)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    for support in (0.001, 0.9):
+        found = exact_dedup.annotate(frame, support=support)
+        assert sorted(map(tuple, found.collect()), key=str) == brute_exact(rows)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        assert exact_dedup.deduplicate(frame, support=support).count() == 2001
+
+
 def test_exact_dedup_of_a_hot_group(spark):
     rows = [(i, "same" if i % 3 == 0 else f"text {i % 400}") for i in range(3000)]
     found = exact_dedup.annotate(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -146,6 +156,28 @@ def test_golay_keys_are_complete(spark):
     assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & full).bit_count() <= 3}
 
 
+def test_golay_keys_in_crowded_buckets(spark):
+    """Balls of close fingerprints: with few stored under a key the links are fewer, the components the same."""
+    rng, prints = random.Random(9), set()
+    for centre in (0, rng.getrandbits(64), rng.getrandbits(64)):
+        for _ in range(250):
+            g = centre
+            for b in rng.sample(range(64), rng.randint(0, 5)):
+                g ^= 1 << b
+            prints.add(g)
+    wanted = brute_components(prints)
+    sign = lambda f: f - (1 << 64) if f >> 63 else f
+    frame = spark.createDataFrame([(k, sign(f)) for k, f in enumerate(sorted(prints))], "id long, fp long")
+    least = {}
+    for k, f in enumerate(sorted(prints)):
+        least.setdefault(wanted[f], k)
+    for bucket in (0, 20, 10_000):
+        found = {r["fp"]: r["component_id"] for r in simhash.groups(frame, bucket=bucket).collect()}
+        assert found == {sign(f): least[wanted[f]] for f in prints}, bucket
+        true = simhash.links(frame, bucket=bucket).filter("bit_count(a ^ b) > 3 OR a >= b").count()
+        assert true == 0
+
+
 def test_golay_decodes_three_errors():
     import numpy as np
 
@@ -186,13 +218,14 @@ def brute_contamination(rows, items, size=10):
     return sorted(out, key=str)
 
 
+CONTRACT = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 ITEMS = [(1, COPIED), (2, "One two"), (20, "two"), (3, None), (4, "  "), (1, COPIED), (5, "nothing like it")]
 
 
 @pytest.mark.parametrize("block_words", [500_000, 2])
 def test_decontamination(spark, odd, block_words):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = decontaminate.contamination(odd, items, block_words=block_words)
+    found = decontaminate.contamination(odd, items, block_words=block_words).select(*CONTRACT)
     assert sorted(map(tuple, found.collect()), key=str) == brute_contamination(ODD, ITEMS)
     clean = decontaminate.decontaminate(odd, items, block_words=block_words)
     assert clean.columns == odd.columns
@@ -201,11 +234,52 @@ def test_decontamination(spark, odd, block_words):
 
 def test_decontamination_of_documents(spark, docs):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
-    found = decontaminate.contamination(docs, items).collect()
+    found = decontaminate.contamination(docs, items).select(*CONTRACT).collect()
     assert sorted(map(tuple, found), key=str) == brute_contamination([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
     assert any(r["contaminated"] for r in found)
 
 
+def brute_near(rows, items, size=10, span=20):
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    out = []
+    for i, t in rows:
+        words, names = words_of(t), set()
+        stretches = [set(words[k : k + span]) for k in range(max(1, len(words) - span + 1))] if words else []
+        for name, text in items:
+            w = words_of(text)
+            windows = [set(w[s : s + size]) for s in range(max(0, len(w) - size) + 1)] if w else []
+            if name is not None and any(v <= s for v in windows for s in stretches):
+                names.add(str(name))
+        out.append((i, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+SHUFFLED = " ".join(reversed(COPIED.split()))
+
+
+@pytest.mark.parametrize("block_words", [500_000, 2])
+def test_proximity_matches_of_the_query(spark, odd, block_words):
+    rows = [r for r in ODD if len(r[1] or "") < 20_000] + [(20, SHUFFLED), (21, SHUFFLED.replace(" ", " x ")), (22, SHUFFLED.replace(" ", " x y ")), (23, "a a b"), (24, COPIED + " " + "x " * 30 + SHUFFLED)]
+    items = [*ITEMS, (30, "b a"), (31, SHUFFLED)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    found = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).select("doc_id", "n_near", "near_sha256").collect()
+    assert sorted(map(tuple, found), key=str) == brute_near(rows, items)
+
+
+def test_blocks_ask_the_same_stored_index(spark, docs, monkeypatch):
+    built = []
+    build = decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda d: built.append(build(d)) or built[-1])
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    found = decontaminate.contamination(docs, items, block_words=300)
+    whole = decontaminate.contamination(docs, items)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert len(built) == 2
+    words = built[0].select(F.explode("terms").alias("w")).distinct().count()
+    every = {w for r in docs.collect() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r["text"]))}
+    assert words == len(every)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x b y a"), (2, "a " + "z " * 30 + "b"), (3, "a")], SCHEMA)
     found = decontaminate.proximity(docs, spark.createDataFrame([(7, "a b")], "item_id long, text string"), slop=3).collect()
@@ -300,6 +374,56 @@ def test_licenses_equal_brute_force(docs):
             assert max(len(have & set(license_scan.shingles(words_of(t)))) / len(set(license_scan.shingles(words_of(t)))) for n, t in license_scan.TEMPLATES if n == name) >= 0.8
 
 
+def brute_licenses(templates, words, least=0.8):
+    """The same passages, looked for over every place of the text that holds a shingle of the template."""
+    tables, out = license_scan.Templates(templates), []
+    for k, own in enumerate(tables.sets):
+        size = min(5, tables.words[k])
+        there = {i: t for i in range(len(words) - size + 1) if (t := tuple(words[i : i + size])) in own}
+        out += [(tables.names[k], *p) for p in tables.passages(k, [there[i] for i in sorted(there)], sorted(there), least)]
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def altered(rng, words, share):
+    out = []
+    for w in words:
+        out += [] if (x := rng.random()) < share / 3 else [w, "added"] if x < 2 * share / 3 else ["other"] if x < share else [w]
+    return out
+
+
+def test_licenses_altered_or_whole_equal_brute_force(spark):
+    rng, rows = random.Random(6), []
+    everything = license_scan.NOTICES + license_scan.WHOLE
+    words_of = lambda t: license_scan.ALNUM.findall(lower(t))
+    for k in range(300):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += rng.choices("the of a this software license permission is and".split(), k=rng.randint(0, 40))
+            words += altered(rng, words_of(rng.choice(everything)[1]), rng.choice([0, 0.01, 0.03, 0.1]))
+        rows.append((k, " ".join(words)))
+    found = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    wanted = {k: brute_licenses(everything, t.split()) for k, t in rows}
+    assert sum(map(len, wanted.values())) > 400
+    key = lambda ms: sorted((a, b, c, round(d, 9)) for a, b, c, d in ms)
+    assert {k: key(v) for k, v in found.items()} == {k: key(v) for k, v in wanted.items()}
+
+
+def test_licenses_of_odd_rows(odd):
+    found = license_scan.licenses(odd)
+    counts = Counter((r["doc_id"], r["n_words"], r["n_matches"]) for r in found.collect())
+    assert counts == Counter((i, len(license_scan.ALNUM.findall(lower(t))), 0) for i, t in ODD)
+    assert license_scan.licenses(odd, templates=[("own", COPIED)]).filter("n_matches = 1").count() == 5
+    assert license_scan.licenses(odd, templates=[]).filter("n_matches > 0").count() == 0
+
+
+def test_many_templates_of_one_class():
+    rng = random.Random(8)
+    texts = [(f"T{k}", " ".join(f"w{rng.randint(0, 400)}" for _ in range(20))) for k in range(60)]
+    tables = license_scan.Templates(texts)
+    words = [w for _, t in texts for w in t.split()]
+    assert tables.scan(words) == [(name, 20 * k, 20 * k + 20, 1.0) for k, (name, _) in enumerate(texts)]
+
+
 @pytest.mark.parametrize("between", ["", "x", "some other words", "x " * 40])
 @pytest.mark.parametrize("copies", [1, 2, 3, 50])
 def test_repeated_licenses_are_each_found(between, copies):
@@ -475,14 +599,14 @@ def naive_score(model, text, counts):
     import numpy as np
 
     net, vocab = gru_lm.Gru(model.weights.astype(np.float64)), model.vocab
-    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    soft = lambda x: x / (1 + abs(x))
     h, last, total, width = np.zeros(gru_lm.HIDDEN), vocab.end, 0.0, gru_lm.HIDDEN
     for w in [*re.findall(r"[^\x20\x09-\x0D]+", lower(text)), None]:
         bucket = None if w is None else zlib.crc32(w[-2:].encode()) % gru_lm.BUCKETS
         symbol = vocab.end if w is None else vocab.symbol.get(w, vocab.bucket_symbol[bucket])
         x, a = net.table[last], h @ net.u
-        z, r = sigmoid(x[:width] + a[:width]), sigmoid(x[width : 2 * width] + a[width : 2 * width])
-        n = np.tanh(x[2 * width :] + r * a[2 * width :])
+        z, r = (1 + soft(x[:width] + a[:width])) / 2, (1 + soft(x[width : 2 * width] + a[width : 2 * width])) / 2
+        n = soft(x[2 * width :] + r * a[2 * width :])
         h = (1 - z) * h + z * n
         k, member = divmod(int(symbol), gru_lm.MEMBERS)
         for logits, pick in ((h @ net.cw + net.cb, k), (h @ net.ww[k] + net.wb[k], member)):
@@ -542,7 +666,7 @@ def test_language_model_gradient():
         kept = []
         out, _ = m.states(before, fresh, np.zeros((3, gru_lm.HIDDEN), np.float32), kept)
         states = out.reshape(-1, gru_lm.HIDDEN)
-        logs, d = m.log_probs(states, symbols.ravel(), grads, np.ones(len(states), np.float32))
+        logs, d = m.log_probs(states, symbols.ravel(), grads)
         if grads is not None:
             m.backward(before, fresh, kept, d.reshape(out.shape), grads)
         return -logs.sum()

@@ -1,4 +1,4 @@
-"""LM scoring by a gated recurrent language model, trained here in numpy.
+"""LM scoring by a gated recurrent language model (a minimal gated unit), trained here in numpy.
 
 Words are counted over all training documents in Spark. The model's symbols are the most frequent words, the end of a text, and
 buckets of the other words by their last two characters; a class-factored softmax (class, then member) gives a symbol's probability, and
@@ -36,9 +36,12 @@ SYMBOLS = CLASSES * MEMBERS
 
 
 class Gru:
-    """Weights as one flat vector with named views: `table` gives the gates' input part of each symbol."""
+    """A minimal gated recurrent unit and its output layer: weights as one flat vector with named views.
 
-    SHAPES = {"table": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "cw": (HIDDEN, CLASSES), "cb": (CLASSES,), "ww": (CLASSES, HIDDEN, MEMBERS), "wb": (CLASSES, MEMBERS)}
+    `table` gives the input part of gate and candidate of each symbol; `cw` and `ww` hold a row for each class and member, the last column the bias.
+    """
+
+    SHAPES = {"table": (SYMBOLS, 2 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "cw": (CLASSES, HIDDEN + 1), "ww": (CLASSES, MEMBERS, HIDDEN + 1)}
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def __init__(self, flat: np.ndarray) -> None:
@@ -53,46 +56,36 @@ class Gru:
         """Small random weights; output biases from the symbols' frequencies."""
         model = cls((np.random.default_rng(seed).normal(size=cls.SIZE) * 0.08).astype(np.float32))
         share = (frequency + 0.1).reshape(CLASSES, MEMBERS)
-        model.cb[:] = np.log(share.sum(1) / share.sum())
-        model.wb[:] = np.log(share / share.sum(1, keepdims=True))
+        model.cw[:, HIDDEN] = np.log(share.sum(1) / share.sum())
+        model.ww[:, :, HIDDEN] = np.log(share / share.sum(1, keepdims=True))
         return model
 
     def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hidden states (steps, lanes, HIDDEN) and the last one; `fresh` marks where a text starts from zero.
 
-        With s(x) = x / (1 + |x|): update and reset gates are (1 + s) / 2, the candidate is s. In memory the steps and lanes of one component lie
-        together, here and in the other methods, so that every gate is one contiguous block.
+        With s(x) = x / (1 + |x|): the gate is (1 + s) / 2, the candidate is s, and the state moves from what it was to the candidate by the gate's share. In memory the steps
+        and lanes of one component lie together, here and in the other methods, so that gate and candidate are contiguous blocks.
         """
         steps, lanes = inputs.shape
-        both, one, half = 2 * HIDDEN, np.float32(1), np.float32(0.5)
+        one, half = np.float32(1), np.float32(0.5)
         out = np.empty((HIDDEN, steps, lanes), np.float32)
         table, u, h = np.ascontiguousarray(self.table.T), np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T)
-        x, q, starts = np.empty((3 * HIDDEN, lanes), np.float32), np.empty((3 * HIDDEN, lanes), np.float32), fresh.any(1)
+        x, q, starts = np.empty((2 * HIDDEN, lanes), np.float32), np.empty((2 * HIDDEN, lanes), np.float32), fresh.any(1)
         for t in range(steps):
             if starts[t]:
                 h = np.where(fresh[t], np.float32(0), h)
             np.take(table, inputs[t], axis=1, out=x, mode="clip")
             a = u @ h
+            a += x
+            np.abs(a, out=q)
+            q += one
+            a /= q
             if keep is not None:
-                q = np.empty_like(a)
-            zr, an, qg, qn = a[:both], a[both:], q[:both], q[both:]
-            zr += x[:both]
-            np.abs(zr, out=qg)
-            qg += one
-            np.divide(one, qg, out=qg)
-            zr *= qg
-            zr *= half
-            zr += half
-            z, r = zr[:HIDDEN], zr[HIDDEN:]
-            n = r * an
-            n += x[both:]
-            np.abs(n, out=qn)
-            qn += one
-            np.divide(one, qn, out=qn)
-            n *= qn
-            if keep is not None:
-                keep.append((h, z, r, n, an, q))
-            step = n - h
+                keep.append((h, a))
+            z = q[:HIDDEN]
+            np.multiply(a[:HIDDEN], half, out=z)
+            z += half
+            step = a[HIDDEN:] - h
             step *= z
             step += h
             h = out[:, t] = step
@@ -107,17 +100,16 @@ class Gru:
         hs[HIDDEN] = 1  # the last row carries the biases
         group, member, rows = goal // MEMBERS, goal % MEMBERS, np.arange(len(goal))
         ends = np.searchsorted(group, np.arange(CLASSES + 1))
-        ones = np.ones(MEMBERS, np.float32)
-        weights = [np.c_[self.cw.T, self.cb]] + [np.c_[self.ww[c].T, self.wb[c]] for c in range(CLASSES)]
+        ones, weight = np.ones(MEMBERS, np.float32), np.float32(weight)
         # states lie in (-1, 1), so this bounds every logit; below it, exponentials and their products need no shift
-        far = max(np.abs(self.cw).sum(0).max() + np.abs(self.cb).max(), np.abs(self.ww).sum(1).max() + np.abs(self.wb).max()) > 40
+        far = max(np.abs(self.cw).sum(-1).max(), np.abs(self.ww).sum(-1).max()) > 40
         total, sums = np.zeros(len(goal), np.float32), np.ones(len(goal), np.float32)
         dh = None if grads is None else np.empty((HIDDEN, len(goal)), np.float32)
 
-        def softmax(k: int, part: slice, pick: np.ndarray, gw: np.ndarray | None, gb: np.ndarray | None) -> None:
-            """Add to the targets' logits and multiply the sums of exponentials for softmax k over `part`; the same for gradients."""
+        def softmax(w: np.ndarray, part: slice, pick: np.ndarray, gw: np.ndarray | None, first: bool) -> None:
+            """Add to the targets' logits and multiply the sums of exponentials for one softmax over `part`; the same for gradients."""
             x, at = hs[:, part], rows[: len(pick)]
-            e = weights[k] @ x
+            e = w @ x
             if far:
                 e -= e.max(0)
             total[part] += e[pick, at]
@@ -125,22 +117,19 @@ class Gru:
             s = ones @ e
             sums[part] *= s
             if gw is not None:
-                e *= np.float32(weight) / s
-                e[pick, at] -= np.float32(weight)
-                d = e @ x.T
-                gw += d[:, :HIDDEN].T
-                gb += d[:, HIDDEN]
-                if k == 0:
-                    np.matmul(weights[k][:, :HIDDEN].T, e, out=dh)
+                e *= weight / s
+                e[pick, at] -= weight
+                gw += e @ x.T
+                if first:
+                    np.matmul(w[:, :HIDDEN].T, e, out=dh)
                 else:
-                    dh[:, part] += weights[k][:, :HIDDEN].T @ e
+                    dh[:, part] += w[:, :HIDDEN].T @ e
 
-        g = grads
-        softmax(0, slice(0, len(goal)), group, g and g.cw, g and g.cb)
+        softmax(self.cw, slice(0, len(goal)), group, grads and grads.cw, True)
         for c in range(CLASSES):
             part = slice(ends[c], ends[c + 1])
             if ends[c] < ends[c + 1]:
-                softmax(c + 1, part, member[part], g and g.ww[c], g and g.wb[c])
+                softmax(self.ww[c], part, member[part], grads and grads.ww[c], False)
         out = np.empty(len(targets))
         out[order] = total.astype(np.float64) - np.log(sums.astype(np.float64))
         if dh is None:
@@ -152,29 +141,28 @@ class Gru:
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, dout: np.ndarray, grads: Gru) -> None:
         """Backpropagation through one window; nothing flows further back than its first step."""
         steps, lanes = inputs.shape
-        both, starts = 2 * HIDDEN, fresh.any(1)
+        starts = fresh.any(1)
         given, u = dout.transpose(2, 0, 1), np.ascontiguousarray(self.u)
-        dx = np.empty((3 * HIDDEN, steps, lanes), np.float32)
-        dh, da = np.zeros((HIDDEN, lanes), np.float32), np.empty((3 * HIDDEN, lanes), np.float32)
-        gu, one, half = np.zeros((3 * HIDDEN, HIDDEN), np.float32), np.float32(1), np.float32(0.5)
+        dx = np.empty((2 * HIDDEN, steps, lanes), np.float32)
+        dh, da = np.zeros((HIDDEN, lanes), np.float32), np.empty((2 * HIDDEN, lanes), np.float32)
+        gu, one, half, slope, z = np.zeros((2 * HIDDEN, HIDDEN), np.float32), np.float32(1), np.float32(0.5), np.empty((2 * HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            h, z, r, n, an, q = kept[t]
+            h, a = kept[t]
             dh += given[:, t]
-            q *= q  # the slope of s
-            dn = dh * z
-            dz, dr, dn_r = da[:HIDDEN], da[HIDDEN:both], da[both:]
-            np.subtract(n, h, out=dz)
+            np.abs(a, out=slope)
+            np.subtract(one, slope, out=slope)
+            slope *= slope
+            slope[:HIDDEN] *= half
+            np.multiply(a[:HIDDEN], half, out=z)
+            z += half
+            dz, dn = da[:HIDDEN], da[HIDDEN:]
+            np.subtract(a[HIDDEN:], h, out=dz)
             dz *= dh
-            dn *= q[both:]
-            np.multiply(dn, r, out=dn_r)
-            np.multiply(dn, an, out=dr)
-            da[:both] *= q[:both]
-            da[:both] *= half
-            rest = one - z
-            dx[:both, t] = da[:both]
-            dx[both:, t] = dn
+            np.multiply(dh, z, out=dn)
+            dh -= dn
+            da *= slope
+            dx[:, t] = da
             gu += da @ h.T
-            dh *= rest
             dh += u @ da
             if starts[t]:
                 dh[:, fresh[t]] = 0
@@ -182,7 +170,7 @@ class Gru:
         flat = inputs.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         symbols, first = np.unique(flat[order], return_index=True)
-        grads.table[symbols] += np.add.reduceat(dx.reshape(3 * HIDDEN, -1).take(order, axis=1), first, axis=1).T
+        grads.table[symbols] += np.add.reduceat(dx.reshape(2 * HIDDEN, -1).take(order, axis=1), first, axis=1).T
 
 
 def _inputs(symbols: np.ndarray, owner: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +183,7 @@ def _inputs(symbols: np.ndarray, owner: np.ndarray, end: int) -> tuple[np.ndarra
     return before, fresh
 
 
-def score_texts(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 500, window: int = 64) -> np.ndarray:
+def score_texts(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 256, window: int = 64) -> np.ndarray:
     """Natural log probability of each symbol sequence."""
     symbols, owner = lanes_of(texts, max(1, min(lanes, len(texts))))
     before, fresh = _inputs(symbols, owner, end)
@@ -447,7 +435,7 @@ def fit_encoded(rows: DataFrame, vocab: Vocabulary, seed_tokens: int = 300_000,
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, adam, seen = Gru(shipped.value.copy()), Adam(), 0
         for batch in grouped(batches, 0, 2_000_000):
-            seen += train_texts(own, _sequences(batch.column(0)), end, rate, lanes=500, adam=adam)
+            seen += train_texts(own, _sequences(batch.column(0)), end, rate, lanes=256, adam=adam)
         if seen:
             yield row(TaskContext.get().partitionId(), seen, own.flat)
 

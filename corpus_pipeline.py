@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of `documents`. `run` writes
 each stage's rows in the shared folder and reads them again as the next stage's documents.
+
+Null and empty texts are documents like any other: the classifier scores them, all of them are one exact copy (the largest id stays, null ids last), they hold no
+window and give no ids. Texts of any length are read whole. Rows that repeat both id and text are judged each by the first and the fourth stage, and one of them stays after the
+second. Columns beside those of `documents` are kept by all stages but the last, whatever their names. Empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +42,97 @@ def ngrams(c: Column, n: int = 3) -> Column:
     return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def plain_letters(s: str) -> str:
+    """Lower case without accents: marks that normal form D parts from their letters go, and so do the strokes of STROKED."""
+    import unicodedata
+
+    s = s.lower()
+    if s.isascii():
+        return s
+    return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).translate(_STROKED)
+
+
+#: Letters with strokes or ligatures, which no normal form takes apart, and what stands for them (fixed values).
+STROKED = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "ħ": "h", "ı": "i", "þ": "th", "ŧ": "t"}
+_STROKED = str.maketrans(STROKED)
+
+
 def without_accents(c: Column) -> Column:
-    """Letters of Latin-1 and Latin Extended-A without their accents."""
-    return F.translate(c, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+    """Lower-case letters without their accents."""
+    ship(SparkSession.active())
+
+    @F.arrow_udf("string")
+    def of(x: pa.Array) -> pa.Array:
+        return pa.array([None if (v := s.as_py()) is None else plain_letters(v) for s in x], pa.string())
+
+    return of(c)
+
+
+def _vowel(w: str, i: int) -> bool:
+    return w[i] in "aeiou" or (w[i] == "y" and i > 0 and not _vowel(w, i - 1))
+
+
+def _measure(w: str) -> int:
+    """How often a run of vowels is followed by a run of consonants."""
+    kinds = [_vowel(w, i) for i in range(len(w))]
+    return sum(a and not b for a, b in zip(kinds, kinds[1:], strict=False))
+
+
+def _holds_vowel(w: str) -> bool:
+    return any(_vowel(w, i) for i in range(len(w)))
+
+
+def _short_end(w: str) -> bool:
+    """Consonant, vowel, consonant at the end, the last one no w, x or y."""
+    n = len(w)
+    return n >= 3 and not _vowel(w, n - 3) and _vowel(w, n - 2) and not _vowel(w, n - 1) and w[-1] not in "wxy"
+
+
+#: Suffixes of the Porter algorithm's steps 2, 3 and 4, longest first where one ends another (fixed values).
+STEP_2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble".split()
+STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()
+STEP_4 = "ement ment ance ence able ible ant ent ion al er ic ou ism ate iti ous ive ize".split()
+
+
+def porter(w: str) -> str:
+    """The stem of a lower-case English word by the Porter algorithm (1980); words of up to two letters and words beyond ASCII letters stay."""
+    if len(w) <= 2 or not (w.isascii() and w.isalpha()):
+        return w
+    # plurals, -ed and -ing
+    if w.endswith("sses") or w.endswith("ies"):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        cut = next((w[: -len(e)] for e in ("ed", "ing") if w.endswith(e) and _holds_vowel(w[: -len(e)])), None)
+        if cut is not None:
+            w = cut
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif len(w) >= 2 and w[-1] == w[-2] and not _vowel(w, len(w) - 1) and w[-1] not in "lsz":
+                w = w[:-1]
+            elif _measure(w) == 1 and _short_end(w):
+                w += "e"
+    if w.endswith("y") and _holds_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for step in (STEP_2, STEP_3):
+        hit = max((rule.split(":") for rule in step if w.endswith(rule.split(":")[0])), key=lambda r: len(r[0]), default=None)
+        if hit and _measure(w[: -len(hit[0])]) > 0:
+            w = w[: -len(hit[0])] + hit[1]
+    last = max((e for e in STEP_4 if w.endswith(e)), key=len, default=None)
+    if last:
+        rest = w[: -len(last)]
+        if _measure(rest) > 1 and (last != "ion" or rest.endswith(("s", "t"))):
+            w = rest
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short_end(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
 def stem(word: str) -> str:
-    """A light suffix stripper for English: plurals, -ed, -ing, -ly, final e."""
+    """A light suffix stripper for English: plurals, -ed, -ing, -ly, final e. `porter` is the full algorithm."""
     w = word
     for suffix, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if w.endswith(suffix) and len(w) - len(suffix) >= 2:
@@ -72,6 +158,47 @@ def stems(c: Column) -> Column:
     return of(c)
 
 
+#: Runs of letters, marks and digits of any script.
+WORD = re.compile(r"[^\W_]+")
+
+
+def analyse(text: str) -> list[str]:
+    """The terms of a text: words of any script in lower case, without accents, stemmed; no stop words go."""
+    return [porter(w) for w in WORD.findall(plain_letters(text))]
+
+
+def analysed(c: Column) -> Column:
+    """`analyse` as a column of arrays, a batch at a time; a worker remembers the words of a batch."""
+    ship(SparkSession.active())
+
+    @F.arrow_udf("array<string>")
+    def of(x: pa.Array) -> pa.Array:
+        memory: dict[str, str] = {}
+
+        def one(text: str) -> list[str]:
+            return [memory.get(w) or memory.setdefault(w, porter(w)) for w in WORD.findall(plain_letters(text))]
+
+        return pa.array([None if (v := s.as_py()) is None else one(v) for s in x], pa.list_(pa.string()))
+
+    return of(c)
+
+
+def spoken_alike(c: Column) -> Column:
+    """Text of images with look-alikes written one way: `rn` as m, 0 as o, and 1 as l, the first of each list of LOOK_ALIKES."""
+    out = F.lower(c)
+    for written in sorted(LOOK_ALIKES, key=lambda w: (-len(w), w)):
+        out = F.replace(out, F.lit(written), F.lit(LOOK_ALIKES[written][0]))
+    return out
+
+
+def alike_variants(term: str) -> list[str]:
+    """All readings of a term of an image's text under LOOK_ALIKES, the term itself first."""
+    out = [term]
+    for written, readings in LOOK_ALIKES.items():
+        out += [t.replace(written, r) for t in list(out) if written in t for r in readings]
+    return list(dict.fromkeys(out))
+
+
 def snippet(c: Column, needle: str, around: int = 40) -> Column:
     """What stands around the first case-insensitive hit, with ellipses where text is cut; null without a hit."""
     at = F.instr(F.lower(c), needle.lower())

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from velarium.functions import vector as V
+from velarium.operators.components import components
 from velarium.shared import cut, ship
 
 
@@ -16,37 +22,62 @@ def either_way(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def _levels(steps: DataFrame, seeds: DataFrame, depth: int | None) -> Iterator[DataFrame]:
+    """(node, hops) level by level, breadth first, until nothing is new or `depth` is reached; one checkpoint a level."""
+    level = seen = cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
+    yield level
+    hops = 0
+    while depth is None or hops < depth:
+        hops += 1
+        fresh = steps.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        level = cut(fresh.withColumn("hops", F.lit(hops)))
+        if level.isEmpty():
+            return
+        seen = seen.unionByName(level) if hops % 20 else cut(seen.unionByName(level))
+        yield level
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int = 2, directed: bool = False) -> DataFrame:
     """(node, hops) of everything within `depth` steps of the seeds (node); breadth first, each node once at its least distance.
 
-    One join and one anti-join a step. Seen nodes are checkpointed in the shared folder, so the plan of a step does not hold the earlier ones.
+    One join, one anti-join and one checkpoint in the shared folder a step, so the plan of a step does not hold the earlier ones.
     """
     steps = edges.select("src", "dst") if directed else either_way(edges)
-    seen = cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
-    for hop in range(1, depth + 1):
-        front = seen.filter(F.col("hops") == hop - 1).withColumnRenamed("node", "src")
-        fresh = steps.join(front, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = cut(seen.unionByName(fresh.withColumn("hops", F.lit(hop))))
-    return seen
+    return reduce(DataFrame.unionByName, _levels(steps, seeds, depth))
 
 
-def lineage(edges: DataFrame, roots: DataFrame, distinct: bool = False, levels: int = 50) -> DataFrame:
+def lineage(edges: DataFrame, roots: DataFrame, distinct: bool = False, levels: int | None = None) -> DataFrame:
     """Edges (parent, child) whose parent is reachable from the roots (node), each once, with the parent's depth; a child of n parents appears n times.
 
-    `distinct` gives each child once at its least depth.
+    It goes on until nothing is new; where `levels` is given and more than that many levels are there, it is an error. `distinct` gives each child once at its least depth.
     """
     spots = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-    seen = cut(roots.select("node").distinct().withColumn("hops", F.lit(0)))
-    for hop in range(1, levels + 1):
-        front = seen.filter(F.col("hops") == hop - 1).withColumnRenamed("node", "src")
-        fresh = cut(spots.join(front, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
-        if fresh.isEmpty():
-            break
-        seen = cut(seen.unionByName(fresh))
-    found = edges.join(seen.withColumnRenamed("node", "parent"), "parent").select("parent", "child", (F.col("hops") + 1).alias("depth"))
+    seen = []
+    for level in _levels(spots, roots, None):
+        seen.append(level)
+        if levels is not None and len(seen) > levels + 1:
+            raise ValueError(f"the lineage has more than {levels} levels")
+    found = edges.join(reduce(DataFrame.unionByName, seen).withColumnRenamed("node", "parent"), "parent").select("parent", "child", (F.col("hops") + 1).alias("depth"))
     return found.groupBy("child").agg(F.min("depth").alias("depth")) if distinct else found
 
 
+def traversal(edges: DataFrame, start: str, depth: int = 2) -> DataFrame:
+    """(node, path_length, edge_type, weight) of the nodes 1 to `depth` steps from `start` either way, each once: breadth first, by the least edge type, weight and origin.
+
+    `edges` has src, dst, edge_type and weight; a path's length counts its nodes.
+    """
+    cols = ["edge_type", "weight"]
+    steps = edges.select("src", "dst", *cols).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols))
+    spark = edges.sparkSession
+    levels = [spark.range(1).select(F.lit(start).alias("node"), F.lit(1).alias("path_length"), F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("double").alias("weight"))]
+    for n in range(2, depth + 2):
+        seen = reduce(DataFrame.unionByName, levels).select("node")
+        via = steps.join(levels[-1].select(F.col("node").alias("src")), "src").join(seen.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        best = via.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct(F.coalesce("edge_type", F.lit("link")).alias("edge_type"), F.col("weight").cast("double").alias("weight"), "src")).alias("e"))
+        levels.append(cut(best.select("node", F.lit(n).alias("path_length"), "e.edge_type", "e.weight")))
+    return reduce(DataFrame.unionByName, levels[1:])
+
+
 def seed_expansion(edges: DataFrame, seeds: DataFrame, points: DataFrame, query: list[float], hops: int = 2, k: int = 50) -> DataFrame:
     """Nodes 1 to `hops` steps from the seeds by cosine with the query; distinct first, then the limit. Null vectors rank last."""
     near = reachable(edges, seeds, hops).filter("hops > 0")
@@ -148,7 +179,7 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(q))
 
 
-# algorithms over one group at a time
+# entity resolution
 
 
 def average_linkage(distance: np.ndarray, most: float) -> np.ndarray:
@@ -157,10 +188,12 @@ def average_linkage(distance: np.ndarray, most: float) -> np.ndarray:
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     size, label = np.ones(n), np.arange(n)
+    nearest = d.min(1) if n else d
     while n > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] <= most:
+        i = int(np.argmin(nearest))
+        if not nearest[i] <= most:
             break
+        j = int(np.argmin(d[i]))
         i, j = min(i, j), max(i, j)
         merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = merged, merged
@@ -168,30 +201,103 @@ def average_linkage(distance: np.ndarray, most: float) -> np.ndarray:
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         label[label == label[j]] = label[i]
+        nearest = d.min(1)
     return np.unique(label, return_inverse=True)[1]
 
 
-def resolved_entities(points: DataFrame, by: str, key: str, vector: str, similarity: float = 0.75) -> DataFrame:
-    """(by, key, cluster): average-linkage clusters of a group's vectors by cosine. A group is one scope of the graph (one video) and fits a task."""
+def _unit(rows: list) -> np.ndarray:
+    x = np.stack([np.asarray(v, float) for v in rows])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _sparse_unit(*sides: list) -> list[np.ndarray]:
+    """Maps of term to weight as unit rows over the terms that any of them has."""
+    terms = {t: k for k, t in enumerate(sorted({t for rows in sides for r in rows for t, _ in r or ()}))}
+    out = []
+    for rows in sides:
+        x = np.zeros((len(rows), max(1, len(terms))))
+        for k, r in enumerate(rows):
+            for t, w in r or ():
+                x[k, terms[t]] = w
+        out.append(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+    return out
+
+
+def similar_pairs(points: DataFrame, by: str, key: str, vector: str, least: float, sparse: str | None = None, weights: tuple[float, float] = (0.9, 0.1), block: int = 500) -> DataFrame:
+    """(by, a, b, similarity) of all pairs a < b of a group whose similarity is `least` or more: cosine, or 0.9 of the dense and 0.1 of the sparse cosine.
+
+    Rows of a group are dealt to blocks of about `block` rows; every pair of blocks is one matrix product in a task, so a task holds two blocks however long the group is.
+    `sparse` is an array of (term, weight) structs.
+    """
+    ship(points.sparkSession)
+    kind = points.schema
+    cols = [vector] + ([sparse] if sparse else [])
+    sizes = points.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = points.join(sizes, by).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    blocks = dealt.groupBy(by, "_block", "_blocks").agg(F.array_sort(F.collect_list(F.struct(key, *cols))).alias("rows"))
+    left = blocks.withColumn("_other", F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)))
+    pairs = left.join(blocks.select(F.col(by).alias("_by"), F.col("_block").alias("_other_block"), F.col("rows").alias("others")), (F.col(by) == F.col("_by")) & (F.col("_other") == F.col("_other_block")))
+    schema = f"{by} {kind[by].dataType.simpleString()}, a {kind[key].dataType.simpleString()}, b {kind[key].dataType.simpleString()}, similarity double"
+
+    kinds = [to_arrow_type(kind[by].dataType), *[to_arrow_type(kind[key].dataType)] * 2, pa.float64()]
+
+    def product(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for row in frame.to_pylist():
+                one, two = row["rows"], row["others"]
+                s = _unit([r[vector] for r in one]) @ _unit([r[vector] for r in two]).T
+                if sparse:
+                    x, y = _sparse_unit([[tuple(p.values()) for p in r[sparse] or ()] for r in one], [[tuple(p.values()) for p in r[sparse] or ()] for r in two])
+                    s = weights[0] * s + weights[1] * (x @ y.T)
+                i, j = np.nonzero(s >= least)
+                found = [(one[a][key], two[b][key], float(s[a, b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+                found = [(min(a, b), max(a, b), v) for a, b, v in found if (a < b if row["_block"] == row["_other"] else a != b)]
+                columns = [[row[by]] * len(found), *([f[k] for f in found] for k in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[by, "a", "b", "similarity"])
+
+    return pairs.select(by, "_block", "_other", "rows", "others").mapInArrow(product, schema)
+
+
+def resolved_entities(points: DataFrame, by: str, key: str, vector: str, similarity: float = 0.75, sparse: str | None = None, weights: tuple[float, float] = (0.9, 0.1), most: int = 10_000) -> DataFrame:
+    """(by, key, cluster): average-linkage clusters of a group's points, cut at a similarity; clusters are numbered within a group by their least key.
+
+    Clusters merge at an average similarity of at least the cut, so some pair between them has it: clusters lie within the components of the pairs at or above it. Those
+    pairs come from `similar_pairs`, components from joins, and only a component's own matrix is made in a task. A component of over `most` points is an error.
+    """
     ship(points.sparkSession)
     kind = points.schema
+    cols = [vector] + ([sparse] if sparse else [])
+    node = F.xxhash64(F.col(by), F.col(key))
+    # a hair below the cut, as a mean may reach it by rounding
+    links = similar_pairs(points, by, key, vector, similarity - 1e-9, sparse, weights)
+    edges = links.select(F.xxhash64(F.col(by), F.col("a")).alias("a"), F.xxhash64(F.col(by), F.col("b")).alias("b"))
+    parts = components(cut(edges)).withColumnRenamed("node", "_node")
+    tagged = points.select(by, key, *cols, node.alias("_node")).join(parts, "_node", "left").withColumn("_part", F.coalesce("root", "_node"))
+    schema = f"{by} {kind[by].dataType.simpleString()}, {key} {kind[key].dataType.simpleString()}, least {kind[key].dataType.simpleString()}"
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > most:
+            raise ValueError(f"a component of {len(rows)} points: raise the similarity or `most`")
         rows = rows.sort_values(key)
-        x = np.stack(rows[vector].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        found = average_linkage(np.clip(1 - x @ x.T, 0, 2), 1 - similarity)
-        return pd.DataFrame({by: rows[by].to_numpy(), key: rows[key].to_numpy(), "cluster": found})
+        x = _unit(list(rows[vector]))
+        s = x @ x.T
+        if sparse:
+            (y,) = _sparse_unit([[tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in (r if r is not None else ())] for r in rows[sparse]])
+            s = weights[0] * s + weights[1] * (y @ y.T)
+        found = average_linkage(np.clip(1 - s, 0, 2), 1 - similarity)
+        keys = rows[key].to_numpy()
+        first = {c: keys[found == c].min() for c in set(found)}
+        return pd.DataFrame({by: rows[by].to_numpy(), key: keys, "least": [first[c] for c in found]})
 
-    schema = f"{by} {kind[by].dataType.simpleString()}, {key} {kind[key].dataType.simpleString()}, cluster long"
-    return points.select(by, key, vector).groupBy(by).applyInPandas(cluster, schema)
+    found = tagged.groupBy(by, "_part").applyInPandas(cluster, schema)
+    return found.select(by, key, (F.dense_rank().over(Window.partitionBy(by).orderBy("least")) - 1).cast("long").alias("cluster"))
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community) by weighted label propagation over undirected edges (a, b, weight), synchronous with halves taking turns.
+    """(node, community, settled) by weighted label propagation over undirected edges (a, b, weight), synchronous with halves taking turns.
 
     Each round is one join and two aggregations over all edges in Spark, without a driver-side graph: a node of the round's half takes the label
-    of greatest weight among its neighbours, ties to its own label and then the least. A partition is not claimed to equal another implementation's.
+    of greatest weight among its neighbours, ties to its own label and then the least. `settled` says whether two rounds in a row changed nothing within `rounds`.
     """
     both = cut(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
@@ -207,36 +313,123 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         still = still + 1 if not moved else 0
         if still == 2:
             break
-    return labels
+    return labels.withColumn("settled", F.lit(still == 2))
+
+
+def _moved(both: DataFrame, degree: DataFrame, labels: DataFrame, total: float, half: Column) -> DataFrame:
+    """Labels after the nodes of one half have gone to the neighbouring community of greatest gain in modularity, if that is a gain."""
+    named = labels.select(F.col("node").alias("a"), F.col("community").alias("mine")).join(degree, "a")
+    mass = named.groupBy("mine").agg(F.sum("k").alias("mass"))
+    near = both.filter("a <> b").join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
+    options = near.join(named, "a").join(mass.withColumnRenamed("mine", "community"), "community")
+    own = F.col("community") == F.col("mine")
+    gain = F.col("w") - F.col("k") * (F.col("mass") - F.when(own, F.col("k")).otherwise(0.0)) / total
+    scored = options.select("a", "community", "mine", F.round(gain, 9).alias("gain"), own.alias("own"), "k")
+    stay = F.max(F.when(F.col("own"), F.col("gain")))
+    best = scored.groupBy("a").agg(F.max(F.struct("gain", (-F.col("community")).alias("c"))).alias("best"), stay.alias("stay"), F.first("mine").alias("mine"), F.first("k").alias("k"))
+    # alone in its community a node gives up nothing but its own mass; without a neighbour there its edges inside are none
+    home = best.join(mass, "mine").withColumn("stay", F.coalesce("stay", -F.col("k") * (F.col("mass") - F.col("k")) / total))
+    goes = home.filter(F.col("best.gain") > F.col("stay") + 1e-9).select(F.col("a").alias("node"), (-F.col("best.c")).alias("to"))
+    return labels.join(goes, "node", "left").select("node", F.when(half & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("community")).alias("community"))
+
+
+def _quality(both: DataFrame, labels: DataFrame, total: float) -> float:
+    ends = both.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    own = F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0))
+    r = ends.groupBy("ca").agg(F.sum("weight").alias("k"), own.alias("w")).agg(F.sum("w").alias("w"), F.sum(F.col("k") * F.col("k")).alias("s")).first()
+    return (r["w"] or 0.0) / total - (r["s"] or 0.0) / total**2
+
+
+def modular_communities(edges: DataFrame, rounds: int = 12, levels: int = 10) -> DataFrame:
+    """(node, community) of undirected edges (a, b, weight) with nodes as longs, by moves that raise modularity, level by level.
+
+    On each level halves of the nodes take turns to move; a turn that doesn't raise the partition's modularity is undone, and two such end the level. Then communities
+    become nodes (edges inside them loops), until a level gains nothing. So modularity never falls below that of single nodes; the least node names a community. It is a
+    distributed form of local moving and aggregation; it is not claimed to give the partition of another implementation. Each turn is joins and aggregations, checkpointed.
+    """
+    flat = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    both = cut(flat.unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    total = both.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("t")).first()["t"]
+    whole = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    if not total:
+        return whole
+    for _ in range(levels):
+        labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
+        start = best = _quality(both, labels, total)
+        degree, failed = cut(both.groupBy("a").agg(F.sum("weight").alias("k"))), 0
+        for r in range(rounds):
+            tried = cut(_moved(both, degree, labels, total, F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2))
+            q = _quality(both, tried, total)
+            if q > best + 1e-9:
+                labels, best, failed = tried, q, 0
+            else:
+                failed += 1
+                if failed == 2:
+                    break
+        if best <= start + 1e-9:
+            break
+        whole = cut(whole.join(labels.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
+        up = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+        both = cut(both.join(up("a"), "a").join(up("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
+    names = whole.groupBy("community").agg(F.min("node").alias("least"))
+    return whole.join(names, "community").select("node", F.col("least").alias("community"))
 
 
-def walks(edges: DataFrame, per_node: int = 10, length: int = 80, weighted: bool = False, seed: int = 42) -> DataFrame:
-    """(walk, node ids in order) of first-order random walks from every node, a step at a time as joins.
+def walks(edges: DataFrame, per_node: int = 10, length: int = 80, weighted: bool = False, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
+    """(walk, node ids in order) of random walks from every node, a step at a time as joins.
 
-    A walk at a node takes the neighbour whose cumulative share holds its hash draw; draws depend on (seed, walk, step) alone. A walk at a node without
-    neighbours ends. Without weights the shares are even, so the draw gives the neighbour's number and a step joins one row a walk.
+    A node's neighbours share [0, 1) by weight, evenly without weights; [0, 1) is cut in as many equal cells as the node has neighbours, and a draw is joined with the neighbours that
+    reach into its cell, two rows on average however many neighbours there are. With p or q a step is second-order: the bias (1/p back to the node before, 1 to its neighbours,
+    1/q elsewhere) decides which of a number of proposals is the first to be taken, and walks without one propose again, which gives exactly the biased distribution.
+    Draws depend on (seed, walk, step, try) alone. A walk at a node without neighbours ends.
     """
     both = either_way(edges) if "weight" not in edges.columns else edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     order, whole = Window.partitionBy("src").orderBy("dst"), Window.partitionBy("src")
-    if weighted:
-        steps = both.groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("w"))
-        bounds = cut(steps.select("src", "dst", (F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(whole)).alias("hi"), F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("w").over(whole), F.lit(0.0)).alias("lo")))
-        degrees = bounds.select("src").distinct().withColumn("degree", F.lit(0))
-    else:
-        numbered = both.select("src", "dst").distinct().select("src", "dst", (F.row_number().over(order) - 1).alias("pick"), F.count(F.lit(1)).over(whole).alias("degree"))
-        degrees = cut(numbered.groupBy("src").agg(F.first("degree").alias("degree")))
-        # every neighbour is a node with neighbours of its own, as edges go either way
-        bounds = cut(numbered.drop("degree").join(degrees.withColumnRenamed("src", "dst"), "dst"))
-    now = degrees.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select(F.concat_ws(":", "src", "k").alias("walk"), F.array("src").alias("path"), F.col("src").alias("at"), "degree")
+    merged = both.groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("w")) if weighted else both.select("src", "dst").distinct().withColumn("w", F.lit(1.0))
+    shares = merged.select("src", "dst", F.count(F.lit(1)).over(whole).alias("degree"), (F.sum("w").over(order) / F.sum("w").over(whole)).alias("hi"), F.row_number().over(order).alias("_n"))
+    shares = shares.withColumn("hi", F.when(F.col("_n") == F.col("degree"), 1.0).otherwise(F.col("hi")))
+    shares = shares.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
+    degrees = cut(shares.groupBy("src").agg(F.first("degree").alias("degree")))
+    last = F.least(F.floor(F.col("hi") * F.col("degree")), F.col("degree") - 1)
+    cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * F.col("degree")), F.greatest(last, F.floor(F.col("lo") * F.col("degree")))))).drop("degree", "_n")
+    # every neighbour is a node with neighbours of its own, as edges go either way
+    cells = cut(cells.join(degrees.withColumnRenamed("src", "dst"), "dst"))
+    second = p != 1.0 or q != 1.0
+    known = merged.select(F.col("src").alias("before"), "dst", F.lit(True).alias("near"))
+    known = cut(known) if second else known
+    top, least = max(1 / p, 1.0, 1 / q), min(1 / p, 1.0, 1 / q)
+    proposals = min(64, round(3 * top / least)) if second else 1
+    now = degrees.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
+    now = now.select(F.concat_ws(":", "src", "k").alias("walk"), F.array("src").alias("path"), F.col("src").alias("at"), F.lit(None).cast(edges.schema["src"].dataType).alias("before"), "degree")
+    draw = lambda *salt: F.pmod(F.xxhash64(F.lit(seed), "walk", *salt), F.lit(1 << 30)) / float(1 << 30)
+
+    def proposed(state: DataFrame, *salt: Column) -> DataFrame:
+        """Each walk's draw as a neighbour (dst, and its degree as next_degree)."""
+        drawn = state.withColumn("draw", draw(*salt)).withColumn("cell", F.floor(F.col("draw") * F.col("degree")))
+        hit = (F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi"))
+        return drawn.join(cells.withColumnsRenamed({"src": "at", "degree": "next_degree"}), ["at", "cell"]).filter(hit)
+
+    def stepped(chosen: DataFrame) -> DataFrame:
+        return chosen.select("walk", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at"), F.col("at").alias("before"), F.col("next_degree").alias("degree"))
+
     for step in range(1, length):
-        draw = F.pmod(F.xxhash64(F.lit(seed), "walk", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
-        if weighted:
-            moved = now.withColumn("draw", draw).join(bounds.withColumnRenamed("src", "at"), "at").filter((F.col("draw") >= F.col("lo")) & ((F.col("draw") < F.col("hi")) | (F.col("hi") >= 1.0)))
-            moved = moved.withColumn("degree", F.lit(0))
+        if not second:
+            now = stepped(proposed(now, F.lit(step)))
         else:
-            drawn = now.select("walk", "path", "at", F.floor(draw * F.col("degree")).cast("int").alias("pick"))
-            moved = drawn.join(bounds.withColumnRenamed("src", "at"), ["at", "pick"])
-        now = moved.select("walk", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at"), "degree")
+            waiting, done, tries = now, [], 0
+            while True:
+                each = waiting.withColumn("try", F.explode(F.sequence(F.lit(tries), F.lit(tries + proposals - 1))))
+                judged = proposed(each, F.lit(step), F.col("try")).join(known, ["before", "dst"], "left")
+                bias = F.when(F.col("before").isNull(), top).when(F.col("dst") == F.col("before"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+                taken = judged.filter(draw(F.lit("take"), F.lit(step), F.col("try")) * top < bias)
+                first = taken.groupBy("walk").agg(F.min_by(F.struct("dst", "next_degree"), "try").alias("x"))
+                found = cut(waiting.join(first, "walk", "left").withColumns({"dst": F.col("x.dst"), "next_degree": F.col("x.next_degree")}).drop("x"))
+                done.append(stepped(found.filter("dst IS NOT NULL")))
+                waiting = found.filter("dst IS NULL").drop("dst", "next_degree")
+                tries += proposals
+                if waiting.isEmpty():
+                    break
+            now = reduce(DataFrame.unionByName, done)
         if step % 10 == 0:
             now = cut(now)
     return now.select("walk", "path")

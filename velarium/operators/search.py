@@ -1,20 +1,23 @@
 """Vector, text and fused search. Every ranking ends with the key, so results are total orders.
 
-Query vectors, terms and weights are arguments, so what is broadcast is bounded by the query. Postings come from one explode of the text
-column; the document frequency pass combines map-side, and only rows of query terms reach the score aggregation.
+Query vectors, terms and weights are arguments, so what is broadcast is bounded by the query. A text search reads the text once and goes on with the
+occurrences of the query's terms.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velarium.functions import text as T
 from velarium.functions import vector as V
 from velarium.operators.scope import above, in_scope, top
+from velarium.shared import cut, own_dir
 
 K1, B = 1.2, 0.75
 RRF_K, ABSENT_RANK, DEPTH = 60, 101, 50
@@ -54,30 +57,45 @@ def sparse_topk(postings: DataFrame, query: dict[str, float], k: int = 10, key:
 # BM25
 
 
-def bm25(docs: DataFrame, query_terms: list[str], key: str = "doc_id", field: str = "text", terms=None) -> DataFrame:
+Analyzer = Callable[[Column], Column]
+
+
+def held_terms(docs: DataFrame, wanted: list[str], key: str, field: str, analyzer: Analyzer | None = None) -> DataFrame:
+    """(key, dl, held) of every document with text: its length in terms and its occurrences of the wanted terms. One pass over the text, kept in the shared folder."""
+    # beyond an explode no filter or projection is pushed that would split the text again
+    split = docs.filter(F.col(field).isNotNull()).select(F.col(key), F.explode(F.array((analyzer or T.terms)(F.col(field)))).alias("terms"))
+    return cut(split.select(key, F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(*wanted)).alias("held")))
+
+
+def bm25(docs: DataFrame, query_terms: list[str], key: str = "doc_id", field: str = "text", terms: Analyzer | None = None) -> DataFrame:
     """(key, score) of the documents that hold a query term.
 
-    `terms` maps the field to an array of terms (lower-case letters and digits by default). Length and frequencies of the few query terms are
-    taken in the projection that reads the text, so no posting of another term is made or shuffled.
+    `terms` maps the field to an array of terms (lower-case letters and digits by default). Only occurrences of the query's terms leave the pass over the text; document
+    frequencies are at most one row a term, and the score of a document is a projection. Nothing is shuffled but the frequencies.
     """
     wanted = sorted(set(query_terms))
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    split = (terms or T.terms)(F.col(field))
-    split_docs = docs.select(F.col(key), split.alias("terms")).filter(F.col("terms").isNotNull())
-    held = split_docs.select(key, F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(*wanted)).alias("held"))
-    counted = held.select(key, "dl", F.transform(F.array(*map(F.lit, wanted)), lambda w: F.size(F.filter("held", lambda t: t == w))).alias("tf"))
-    df = F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(wanted))])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))
-    every = counted.join(F.broadcast(stats))  # one row
-    idf = F.transform("df", lambda d: F.log(1.0 + (F.col("n") - d + 0.5) / (d + 0.5)))
-    part = F.zip_with("tf", idf, lambda tf, w: w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    # every hit scores above zero; the filter needs the statistics, so it isn't pushed to where the text would be split again
-    return every.select(key, F.aggregate(part, F.lit(0.0), lambda a, x: a + x).alias("score")).filter(F.col("score") > 0)
+    held = held_terms(docs, wanted, key, field, terms)
+    tf = F.transform(F.array_distinct("held"), lambda w: F.struct(w.alias("term"), F.size(F.filter("held", lambda t: t == w)).alias("tf")))
+    hits = held.filter(F.size("held") > 0).select(key, "dl", tf.alias("tf"))
+    df = hits.select(F.explode("tf.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).join(F.broadcast(df.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))))
+    every = hits.join(F.broadcast(stats))  # one row
 
+    def part(x: Column) -> Column:
+        d = F.element_at("df", x["term"])
+        idf = F.log(1.0 + (F.col("n") - d + 0.5) / (d + 0.5))
+        return idf * x["tf"] * (K1 + 1) / (x["tf"] + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", field: str = "text", least: float | None = None, **scope) -> DataFrame:
-    return top(above(bm25(in_scope(docs, **scope), query_words(query), key, field), least), k, key)
+    # in order of the terms, so that a sum does not hang on where they stand in the text
+    ordered = F.array_sort("tf")
+    return every.select(key, F.aggregate(ordered, F.lit(0.0), lambda s, x: s + part(x)).alias("score"))
+
+
+def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", field: str = "text", least: float | None = None, stem: bool = False, **scope) -> DataFrame:
+    words, analyzer = analysed_query(query, stem)
+    return top(above(bm25(in_scope(docs, **scope), words, key, field, analyzer), least), k, key)
 
 
 def query_words(query: str) -> list[str]:
@@ -86,29 +104,44 @@ def query_words(query: str) -> list[str]:
     return re.findall("[a-z0-9]+", query.lower())
 
 
+def analysed_query(query: str, stem: bool) -> tuple[list[str], Analyzer | None]:
+    """The words of a query and the analyzer of its fields: lower-case without accents and stemmed, or plain ASCII terms."""
+    return (T.analyse(query), T.analysed) if stem else (query_words(query), None)
+
+
 def best_field(docs: DataFrame, query: str, fields: dict[str, float], k: int = 10, key: str = "doc_id", require_match: bool = True) -> DataFrame:
     """The greatest of the boosted BM25 scores of several fields; without `require_match` other documents pad the result at zero."""
-    scored = [bm25(docs, query_words(query), key, f).select(key, (F.col("score") * boost).alias("score")) for f, boost in fields.items()]
-    best = reduce(DataFrame.unionByName, scored).groupBy(key).agg(F.max("score").alias("score"))
+    best = _best_of_fields(docs, dict.fromkeys(fields, query_words(query)), fields, key)
     if not require_match:
         best = docs.select(key).join(best, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
     return top(best, k, key)
 
 
+def _best_of_fields(docs: DataFrame, words: dict[str, list[str]], boosts: dict[str, float], key: str) -> DataFrame:
+    scored = [bm25(docs, words[f], key, f).select(key, (F.col("score") * boost).alias("score")) for f, boost in boosts.items()]
+    return reduce(DataFrame.unionByName, scored).groupBy(key).agg(F.max("score").alias("score"))
+
+
 def automatic_edits(term: str) -> int:
     """Edits allowed for a term: none up to two characters, one up to five, two beyond."""
     return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
 
 
 def fuzzy_terms(docs: DataFrame, query: str, field: str = "text", most: int = 50) -> DataFrame:
-    """(term, edits) of the vocabulary within the allowed edits of a query term: the `most` nearest of each, ties by term."""
-    vocabulary = docs.select(F.explode(T.terms(F.col(field))).alias("term")).distinct()
-    out = []
-    for q in sorted(set(query_words(query))):
-        n = automatic_edits(q)
-        near = vocabulary.filter(F.length("term").between(len(q) - n, len(q) + n)).withColumn("edits", F.levenshtein("term", F.lit(q), n))
-        out.append(near.filter(F.col("edits") >= 0).orderBy("edits", "term").limit(most))
-    return reduce(DataFrame.unionByName, out).groupBy("term").agg(F.min("edits").alias("edits"))
+    """(term, edits) of the vocabulary within the allowed edits of a query term: the `most` nearest of each, ties by term.
+
+    One pass over the text makes the vocabulary, of terms of fitting length alone; each is held against all words of the query in a projection.
+    """
+    words = sorted(set(query_words(query)))
+    if not words:
+        return docs.select(F.lit("").alias("term"), F.lit(0).alias("edits")).limit(0)
+    allowed = {w: automatic_edits(w) for w in words}
+    shortest, longest = min(len(w) - n for w, n in allowed.items()), max(len(w) + n for w, n in allowed.items())
+    vocabulary = docs.select(F.explode(T.terms(F.col(field))).alias("term")).filter(F.length("term").between(shortest, longest)).distinct()
+    edits = F.array(*[F.struct(F.lit(w).alias("word"), F.levenshtein("term", F.lit(w), n).alias("edits")) for w, n in allowed.items()])
+    near = vocabulary.select("term", F.explode(F.filter(edits, lambda x: x["edits"] >= 0)).alias("x")).select("term", "x.word", "x.edits")
+    place = F.row_number().over(Window.partitionBy("word").orderBy("edits", "term"))
+    return near.withColumn("place", place).filter(F.col("place") <= most).groupBy("term").agg(F.min("edits").alias("edits"))
 
 
 def bm25_fuzzy(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", field: str = "text", most: int = 50) -> DataFrame:
@@ -117,6 +150,27 @@ def bm25_fuzzy(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", fi
     return top(bm25(docs, words, key, field), k, key)
 
 
+def text_search(docs: DataFrame, query: str, fields: dict[str, float], k: int = 10, key: str = "doc_id", fuzzy: bool = True, marked: str | None = None, size: int = 200, pieces: int = 3, most: int = 50, **scope) -> DataFrame:
+    """Text of images as one search: any term of the query, fuzzy by its length, the best of the boosted fields; (key, score, highlights).
+
+    `highlights` are pieces of the field `marked` that hold a term of the expansion, with the terms in marks. Ties go by key.
+    """
+    docs = in_scope(docs, **scope)
+    words = {f: [r["term"] for r in fuzzy_terms(docs, query, f, most).collect()] if fuzzy else query_words(query) for f in fields}
+    best = top(_best_of_fields(docs, words, fields, key), k, key)
+    if marked is None:
+        return best
+    # at most k rows meet their text
+    own = docs.join(F.broadcast(best), key)
+    shown = T.fragments(F.coalesce(F.col(marked), F.lit("")), words[marked], size, pieces) if words[marked] else F.array().cast("array<string>")
+    return top(own.select(key, "score", shown.alias("highlights")), k, key)
+
+
+def text_of_video(docs: DataFrame, video: str, video_id, order: str, limit: int = 1000, **scope) -> DataFrame:
+    """All text rows of a video in frame order, with score 0."""
+    return in_scope(docs, **{video: video_id}, **scope).withColumn("score", F.lit(0.0)).orderBy(order).limit(limit)
+
+
 # fusion
 
 
@@ -170,20 +224,38 @@ def bucket_label(score: Column) -> Column:
 def statistics(hits: DataFrame, group_by: str, key: str = "vec_id", score: str = "score") -> DataFrame:
     """Count, rounded mean and best item by a column, by `score_bucket`, or over everything as `Unknown`."""
     label = bucket_label(F.col(score)) if group_by == "score_bucket" else F.col(group_by).cast("string") if group_by in hits.columns else F.lit("Unknown")
-    best = F.max(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k")))
-    grouped = hits.groupBy(label.alias("group")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 3).alias("mean_score"), best.alias("best"))
-    return grouped.select("group", "n", "mean_score", (-F.col("best.k")).alias("best_key"))
+    best = F.min_by(key, F.struct(F.col(score).isNull(), -F.col(score), key))
+    return hits.groupBy(label.alias("group")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 3).alias("mean_score"), best.alias("best_key"))
 
 
-def cells_topk(points: DataFrame, query: list[float], k: int = 10, probes: int = 10, cells: int | None = None, key: str = "vec_id", vector: str = "embedding", seed: int = 1) -> DataFrame:
-    """Approximate top k: k-means cells, of which the nearest are searched. Exact when every cell is probed."""
+def fit_cells(points: DataFrame, folder: str, cells: int | None = None, key: str = "vec_id", vector: str = "embedding", seed: int = 1, sample: int = 100_000) -> list[list[float]]:
+    """Write all points by k-means cell of their direction, one folder a cell, and give the centres. The centres are fitted on at most about `sample` points."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = points.count()
     cells = cells or max(1, math.isqrt(n))
-    normal = points.withColumn("features", array_to_vector(V.normalised(F.col(vector))))
-    model = KMeans(k=cells, seed=seed, maxIter=40).fit(normal)
+    normal = points.withColumn("_features", array_to_vector(V.normalised(F.col(vector))))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30))
+    some = normal.filter(place < int((1 << 30) * min(1.0, sample / max(1, n))))
+    model = KMeans(k=cells, seed=seed, maxIter=40, featuresCol="_features", predictionCol="cell").fit(some)
+    model.transform(normal).drop("_features").write.partitionBy("cell").parquet(folder)
+    return [list(map(float, c)) for c in model.clusterCenters()]
+
+
+def search_cells(spark: SparkSession, folder: str, centres: list[list[float]], query: list[float], k: int = 10, probes: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest points in the `probes` cells whose centres are nearest: only their files are read. Exact when every cell is probed."""
     length = math.sqrt(sum(x * x for x in query)) or 1.0
-    near = sorted(range(len(model.clusterCenters())), key=lambda c: (sum((a / length - b) ** 2 for a, b in zip(query, model.clusterCenters()[c], strict=True)), c))[: min(probes, cells)]
-    return dense_topk(model.transform(normal).filter(F.col("prediction").isin(*near)), query, k, key, vector)
+    near = sorted(range(len(centres)), key=lambda c: (sum((a / length - b) ** 2 for a, b in zip(query, centres[c], strict=True)), c))[:probes]
+    return dense_topk(spark.read.parquet(folder).filter(F.col("cell").isin(*near)), query, k, key, vector)
+
+
+def cells_topk(points: DataFrame, query: list[float], k: int = 10, probes: int = 10, cells: int | None = None, key: str = "vec_id", vector: str = "embedding", seed: int = 1) -> DataFrame:
+    """`fit_cells` and `search_cells` at once, for a table that is asked but once."""
+    folder = f"{own_dir(points.sparkSession)}/cells-{uuid.uuid4().hex}"
+    return search_cells(points.sparkSession, folder, fit_cells(points, folder, cells, key, vector, seed), query, k, probes, key, vector)
+
+
+def stale_cells(fitted: int, now: int) -> bool:
+    """Whether an index over `fitted` points is to be made anew over `now`: from 100 points on, when they have doubled."""
+    return now >= 100 and now >= 2 * fitted

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from velarium.functions.timecode import overlaps
+from velarium.shared import ship
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: str, bucket: float, start: str = "start_sec", end: str = "end_sec", prefix: str = "r_") -> DataFrame:
@@ -79,19 +84,28 @@ def shots(frames: DataFrame, by: str, index: str, boundary: Column) -> DataFrame
 def resetting_groups(rows: DataFrame, by: str, order: list[str], amount: str, least: float, carry: list[str]) -> DataFrame:
     """Number rows by cumulative groups: a group closes with the row that brings its sum to `least`; the rest is a group as well.
 
-    The fold over a group's sorted array stays in the JVM. A group is one timeline, as in the reference data model; its rows are carried as narrow structs.
+    Timelines are dealt by their key and sorted in the shuffle; one pass goes over the sorted rows with a sum and a number as its state, so a timeline may be of any length.
     """
-    sorted_rows = F.array_sort(F.collect_list(F.struct(*order, F.col(amount).cast("double").alias("_a"), *[c for c in carry if c not in order])))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        total = acc["s"] + x["_a"]
-        closed = total >= least
-        return F.struct((acc["g"] + closed.cast("int")).alias("g"), F.when(closed, F.lit(0.0)).otherwise(total).alias("s"), F.array_append(acc["out"], acc["g"]).alias("out"))
-
-    folded = rows.groupBy(by).agg(sorted_rows.alias("rows")).select(by, "rows", F.aggregate("rows", start, step)["out"].alias("groups"))
-    each = folded.select(by, F.explode(F.arrays_zip("rows", "groups")).alias("x"))
-    return each.select(by, F.col("x.groups").alias("segment"), F.col("x.rows._a").alias(amount), *[F.col(f"x.rows.{c}").alias(c) for c in dict.fromkeys([*order, *carry])])
+    ship(rows.sparkSession)
+    kept = list(dict.fromkeys([*order, *carry]))
+    narrow = rows.select(by, F.col(amount).cast("double").alias(amount), *[c for c in kept if c not in (by, amount)])
+    out = StructType([StructField("segment", IntegerType()), *narrow.schema.fields])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total, segment, begun = None, 0.0, 0, False
+        for batch in batches:
+            numbers = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or key != group:
+                    group, total, segment, begun = key, 0.0, 0, True
+                numbers.append(segment)
+                total += x or 0.0
+                if total >= least:
+                    total, segment = 0.0, segment + 1
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *batch.columns], names=["segment", *batch.schema.names])
+
+    found = narrow.repartition(by).sortWithinPartitions(by, *order).mapInArrow(number, out)
+    return found.select(by, "segment", amount, *[c for c in kept if c not in (by, amount)])
 
 
 def merged_segments(grouped: DataFrame, by: str, start: str, end: str, text: str | None = None, order: str | None = None) -> DataFrame:
@@ -134,3 +148,14 @@ def runs_merged(rows: DataFrame, by: str, order: list[str], kinds: list[str], te
     numbered = rows.withColumn("_new", F.when(same & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("run", F.sum("_new").over(w))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_t")))), lambda x: x["_t"]), "")
     return numbered.groupBy(by, "run", *kinds).agg(F.count(F.lit(1)).alias("n"), joined.alias("text"))
+
+
+def batch_of_range(rows: DataFrame, index: str, first_batch: int, last_batch: int, size: int) -> DataFrame:
+    """Rows of the batches first to last, [first * size, (last + 1) * size) of a dense index; a range beyond the rows ends with them."""
+    return rows.filter((F.col(index) >= first_batch * size) & (F.col(index) < (last_batch + 1) * size))
+
+
+def ranges_joined(ranges: DataFrame, rows: DataFrame, index: str, size: int) -> DataFrame:
+    """Each range (from_batch, to_batch, ...) with its rows: the ranges' batches are an equi-join on the rows' batch number."""
+    spread = ranges.withColumn("_batch", F.explode(F.sequence("from_batch", "to_batch")))
+    return spread.join(rows.withColumn("_batch", F.floor(F.col(index) / size).cast(ranges.schema["from_batch"].dataType)), "_batch").drop("_batch")

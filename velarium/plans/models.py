@@ -4,23 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 Encoder = Callable[[Column], Column]
 
 
 def hashed_encoder(size: int = 64) -> Encoder:
-    """Term hashing to a unit vector: component h(term) mod size counts with the sign of another hash bit. JVM only."""
+    """Term hashing to a unit vector: a term counts 1 or -1, by a hash bit, in the component of its hash mod size. Terms are hashed in the JVM; a batch of texts is summed at once."""
     from velarium.functions.text import terms
     from velarium.functions.vector import normalised
 
-    def encode(text: Column) -> Column:
-        hashed = F.transform(terms(text), lambda t: F.xxhash64(t))
-        slots = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(hashed, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(size)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-        return normalised(slots)
+    @F.arrow_udf("array<double>")
+    def summed(hashes: pa.Array) -> pa.Array:
+        hashes = pc.fill_null(hashes, pa.scalar([], hashes.type))
+        counts = pc.list_value_length(hashes).to_numpy(zero_copy_only=False)
+        flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = np.zeros((len(hashes), size))
+        np.add.at(sums, (np.repeat(np.arange(len(hashes)), counts), flat % size), np.where((flat >> 32) & 1, -1.0, 1.0))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(hashes) + 1, size, dtype=np.int32)), pa.array(sums.ravel()))
 
-    return encode
+    return lambda text: normalised(summed(F.transform(terms(text), lambda t: F.xxhash64(t))))
 
 
 def with_vectors(rows: DataFrame, text: str, encoder: Encoder, vector: str = "embedding") -> DataFrame:
@@ -34,3 +43,19 @@ def fan_out(queries: list[str], search: Callable[[str], DataFrame], key: str) ->
 
     every = reduce(DataFrame.unionByName, [search(q).select(key, "score") for q in dict.fromkeys(queries)])
     return every.groupBy(key).agg(F.max("score").alias("score"))
+
+
+def in_batches(rows: DataFrame, column: str, call: Callable[[list], list], kind: str, out: str, size: int = 32) -> DataFrame:
+    """Rows with a model's answer, `size` values a call; a call that fails gives nulls for its values and the others go on."""
+
+    def run(values: pa.Array) -> pa.Array:
+        found: list = []
+        for k in range(0, len(values), size):
+            part = values.slice(k, size).to_pylist()
+            try:
+                found += call(part)
+            except Exception:  # noqa: BLE001
+                found += [None] * len(part)
+        return pa.array(found, to_arrow_type(_parse_datatype_string(kind)))
+
+    return rows.withColumn(out, F.arrow_udf(run, kind)(F.col(column)))

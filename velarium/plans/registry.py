@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import inspect
+import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -33,26 +35,50 @@ class Registry:
 
 
 class Results:
-    """Cached result sets of one session by handle; all arguments count, so different searches never share one."""
+    """Result sets of one session by handle; all arguments count, so different searches never share one. A result older than `seconds` is made anew."""
 
-    def __init__(self) -> None:
-        self.held: dict[str, DataFrame] = {}
+    def __init__(self, seconds: float = 1800.0, now: Callable[[], float] = time.monotonic) -> None:
+        self.seconds, self.now = seconds, now
+        self.held: dict[str, tuple[float, DataFrame]] = {}
 
     def put(self, tool: str, args: dict, rows: DataFrame) -> str:
         h = handle(tool, args)
-        if h not in self.held:
-            self.held[h] = rows.cache()
+        if h not in self.held or self.now() - self.held[h][0] > self.seconds:
+            self.drop(h)
+            self.held[h] = (self.now(), rows.cache())
         return h
 
     def get(self, h: str) -> DataFrame:
-        if h not in self.held:
+        if h not in self.held or self.now() - self.held[h][0] > self.seconds:
+            self.drop(h)
             raise KeyError(f"no result {h}")
-        return self.held[h]
+        return self.held[h][1]
+
+    def accept(self, h: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A result through a filter of the caller's."""
+        return keep(self.get(h))
+
+    def drop(self, h: str) -> None:
+        if h in self.held:
+            self.held.pop(h)[1].unpersist()
 
     def clear(self) -> None:
-        for df in self.held.values():
-            df.unpersist()
-        self.held = {}
+        for h in list(self.held):
+            self.drop(h)
+
+
+def ready(done: set[str], stages: dict[str, list[str]] | None = None) -> list[str]:
+    """Stages not done whose stages before are all done, in their order."""
+    graph = STAGES if stages is None else stages
+    return [s for s, waits in graph.items() if s not in done and all(w in done for w in waits)]
+
+
+def stage_settings(name: str, text: str) -> dict:
+    """The settings of a stage from a JSON object of stages; an unknown name lists those there are."""
+    known = json.loads(text)
+    if name not in known:
+        raise KeyError(f"no stage {name}; there are {', '.join(sorted(known))}")
+    return known[name]
 
 
 #: Pipeline stages in order, each with the stages it waits for (fixed values).

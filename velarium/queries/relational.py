@@ -52,10 +52,10 @@ def upsert_latest(t):
     return store.upsert(old, rows.filter("event_id % 2 = 1"), ["user_id"], "event_id")
 
 
-@book.query("SELECT coalesce(l.doc_id, p.doc_id) AS doc_id, CASE WHEN p.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN l.toxic = 0 WHEN p.doc_id IS NOT NULL THEN true ELSE l.toxic = 1 END AS selected FROM labels l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 5 = 0) p ON l.doc_id = p.doc_id")
+@book.query("SELECT coalesce(l.doc_id, p.doc_id) AS doc_id, CASE WHEN p.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN l.toxic = 0 WHEN p.doc_id IS NOT NULL THEN true ELSE l.toxic = 1 END AS selected FROM labels l FULL JOIN (SELECT doc_id FROM documents WHERE n_chars > 2000) p ON l.doc_id = p.doc_id")
 def toggle_upsert(t):
     old = t("labels").select("doc_id", (F.col("toxic") == 1).alias("selected"))
-    return store.toggled(old, t("documents").filter("doc_id % 5 = 0").select("doc_id"), ["doc_id"])
+    return store.toggled(old, t("documents").filter("n_chars > 2000").select("doc_id"), ["doc_id"])
 
 
 @book.query("SELECT d.doc_id, coalesce(max(quality), -1)::int AS quality, coalesce(max(toxic), 0)::int AS toxic FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY d.doc_id")
@@ -122,9 +122,9 @@ def scoped_keys(t):
     return t("customer").select("c_custkey", key.alias("key"), text.truncated(text.first_truthy(F.col("c_name")), 10).alias("label"))
 
 
-@book.query("SELECT s_suppkey AS login, c.c_custkey AS user_id, c.c_custkey IS NULL AS is_new FROM supplier LEFT JOIN customer c ON c.c_custkey = s_suppkey AND s_suppkey % 2 = 0")
+@book.query("SELECT s_suppkey AS login, c.c_custkey AS user_id, c.c_custkey IS NULL AS is_new FROM supplier LEFT JOIN customer c ON c.c_custkey = s_suppkey AND c.c_acctbal > 2000")
 def login_matching(t):
-    users = t("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("login_id"), F.col("c_custkey").alias("user_id"), F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("email"))
+    users = t("customer").filter("c_acctbal > 2000").select(F.col("c_custkey").alias("login_id"), F.col("c_custkey").alias("user_id"), F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("email"))
     logins = t("supplier").select(F.col("s_suppkey").alias("login_id"), F.lit("x").alias("email"))
     return store.matched_users(users, logins).select(F.col("login_id").alias("login"), "user_id", "is_new")
 

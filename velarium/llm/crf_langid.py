@@ -3,16 +3,20 @@
 A word's emission scores sum the weights of its affixes, character n-grams and lexicon marks; learned transitions join neighbouring
 words. Forward-backward gives each word's posterior; a text's language has the greatest mean posterior over its words.
 
-The fit takes at most `per_language` texts of each of the `most_languages` commonest languages of the training fold (chosen by hash) and
-`most_words` words, which the languages share evenly (what one doesn't need goes to the others); these bounds are parameters. Training sequences are spliced from pieces of those texts, so that switches are seen.
-All words of whole texts are labelled. Language, source and id are never inputs of a prediction.
-
-A text that is null or has no letter is `und` with score 0, as is every text if no language was learned. Ties go to the language that sorts first.
+Every language of the training fold is learned. The fit takes at most about `per_language` texts of each (chosen by hash), of each at most `piece_chars` characters from a place
+chosen by hash, and `most_words` words, which the languages share evenly (what one doesn't need goes to the others); these bounds are parameters. Training sequences are spliced
+from pieces of those texts, so that switches are seen. The model holds 32,768 weights a language, at the driver and in each task.
+All words of whole texts are labelled, however long. Language, source and id are never inputs of a prediction.
+
+Words are runs of letters (Unicode's category L); numerals of any kind and marks part words. A text that is null or has no letter is `und` with score 0, as is every
+text if no language was learned, for instance from an empty table. Ties go to the language that sorts first. Repeated rows, and rows with a null id, are each reported;
+equal texts get equal answers up to rounding. Columns of the input other than id, text and language are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,22 +24,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velarium.llm.lanes import lanes_of
 from velarium.llm.text_rules import fold
 from velarium.shared import ship
 
-#: Runs of letters.
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> re.Pattern:
+    """Runs of letters: word characters but the underscore and what is alphanumeric without being a letter."""
+    others, start = [], None
+    for c in range(sys.maxunicode + 2):
+        other = c <= sys.maxunicode and (x := chr(c)).isalnum() and not x.isalpha()
+        if other and start is None:
+            start = c
+        elif not other and start is not None:
+            others.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(r"[^\W_" + "".join(others) + "]+")
+
+
+LETTERS = _letters()
 WIDTH = 1 << 15
 #: Distinct words whose emissions one worker remembers before it starts anew.
 REMEMBERED = 300_000
 
 
 def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Feature numbers of a word: affixes, boundary-marked 1-, 2- and 3-grams, and the lexicon's languages, hashed."""
+    """Feature numbers of a word: affixes, boundary-marked 2- and 3-grams, and the lexicon's languages, hashed."""
     crc = zlib.crc32
     b = word.encode("utf-8", "surrogatepass")
     marked = b"<" + b + b">"
@@ -113,7 +131,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 5, length: int = 48, epochs: i
     lexicon: dict[str, int] = {}
     for w in {w for c in seen for w, k in c.items() if k >= 5}:
         share = np.array([c[w] / max(1, c.total()) for c in seen])
-        lexicon[w] = int(sum(1 << min(k, 30) for k in range(n) if share[k] > 0.5 * share.max()))
+        lexicon[w] = sum(1 << k for k in range(n) if share[k] > 0.5 * share.max())
     crf = Crf(languages, np.zeros((WIDTH, n), np.float32), np.zeros((n, n), np.float32), lexicon)
     if n < 2 or not pieces:
         return crf
@@ -186,16 +204,18 @@ class Labeller:
         return owner.T.ravel(), p.transpose(1, 0, 2).reshape(-1, p.shape[2])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2, per_language: int = 150, most_languages: int = 100) -> Crf:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2, per_language: int = 150, piece_chars: int = 20_000) -> Crf:
     learn = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(
         F.col("l").isNotNull() & F.col("t").isNotNull() & (fold(F.col("i"), modulus) != held_out)
     )
-    counts = learn.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    # a row a language: the tasks of a prediction hold far more of each
+    counts = learn.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     place = F.pmod(F.xxhash64(F.lit("crf"), F.col("i"), F.col("t")), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("l") == r["l"]) & (place < int((1 << 30) * min(1.0, per_language / r["count"]))))
-    sample = learn.filter(wanted).select("t", "l", place.alias("h")).limit(2 * per_language * max(1, len(counts))).collect()
+    drawn = learn.join(F.broadcast(counts), "l").withColumn("h", place).filter(F.col("h") < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")))
+    # a language may be drawn more often than it should; the first by place stay
+    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).filter(F.col("k") <= 2 * per_language)
+    start = 1 + F.pmod(F.col("h"), F.greatest(F.length("t") - piece_chars, F.lit(0)) + 1).cast("int")
+    sample = first.select(F.substring("t", start, F.lit(piece_chars)).alias("t"), "l", "h").collect()
     return fit([(r["t"], r["l"]) for r in sorted(sample, key=lambda r: (r["h"], r["l"], r["t"]))])
 
 

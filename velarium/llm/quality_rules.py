@@ -4,9 +4,11 @@ Boosted shallow trees are grown over text statistics of labelled documents; ever
 rule. A logistic model over the rules is fitted with an L1 penalty, so that few keep a weight, and the rules that do are compiled
 into Spark column expressions: scoring is a projection, without Python.
 
-The fit takes at most `most_rows` labelled rows, those of the smallest XXH64 of the id; the bound is a parameter. Statistics and
-scores use whole texts of all documents. Null counts as the empty text, which has all statistics zero and a score like any other.
-Rows with a null label are not learned from; with no labels, or labels of one class, every score is that class's share (0.5 without any).
+The fit takes at most `most_rows` labelled rows, those of the smallest XXH64 of the id, ties by id and label; the bound is a parameter. Statistics and
+scores use whole texts of all documents, however long. Null counts as the empty text, which is one empty word on one empty line and has a score like any other.
+Rows with a null label or id are not learned from; of repeated documents with a label each is learned from; with no labels, or labels of one class, every score is that class's
+share (0.5 without any), as for an empty table of documents. Repeated rows, and rows with a null id, are each scored. Other columns of the input are kept, whatever their names, but
+for one called like the score's column, which the score replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations

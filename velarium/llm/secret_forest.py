@@ -6,7 +6,8 @@ characters, digits, vowels, dictionary coverage, whether it looks like a path or
 beside the run and never taken from it, so a candidate can be the word before or after of the next. The forest is trained on labelled findings: those given, or
 `labelled_findings`, which makes them from stated rules at a fixed number of rows.
 
-Null and blank texts have no candidates. Equal findings of a text are each reported, in order. Empty tables give empty results.
+Null and blank texts have no candidates; texts of any length are scanned whole. Equal findings of a text are each reported, in order, and so are those of repeated rows and of
+rows with a null id. Columns of the input other than id and text are not read, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     from velarium.session import make_session
 
     at = tmp_path_factory.mktemp("spark")
-    session = make_session("local[8]", 8, **{"spark.checkpoint.dir": str(at / "shared"), "spark.local.dir": str(at / "local"), "spark.sql.warehouse.dir": str(at / "warehouse"), "spark.driver.memory": "6g"})
+    session = make_session(f"local[{os.environ.get('TEST_CORES', '8')}]", 8, **{"spark.checkpoint.dir": str(at / "shared"), "spark.local.dir": str(at / "local"), "spark.sql.warehouse.dir": str(at / "warehouse"), "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

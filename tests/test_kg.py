@@ -97,11 +97,11 @@ def test_modular_communities_find_cliques(spark):
     assert all(c == min(n for n in found if found[n] == c) for c in found.values())
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_modular_communities_are_no_worse_than_single_nodes(spark, seed):
+@pytest.mark.parametrize(("seed", "levels"), [(1, 1), (3, 10)])
+def test_modular_communities_are_no_worse_than_single_nodes(spark, seed, levels):
     rng = random.Random(seed)
     edges = list({(a, b): (a, b, rng.random()) for a, b in (sorted(rng.sample(range(30), 2)) for _ in range(80))}.values())
-    found = {r["node"]: r["community"] for r in G.modular_communities(spark.createDataFrame(edges, "a long, b long, weight double")).collect()}
+    found = {r["node"]: r["community"] for r in G.modular_communities(spark.createDataFrame(edges, "a long, b long, weight double"), levels=levels).collect()}
     nodes = {n for e in edges for n in e[:2]}
     assert set(found) == nodes
     q = brute_modularity(edges, found)

@@ -237,7 +237,7 @@ def first_truthy(*columns: Column) -> Column:
 
 def numbered_lines(c: Column) -> Column:
     """The lines of a list, without blank ones and those that start with `#`."""
-    return F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
 
 
 def titled(c: Column) -> Column:

@@ -101,10 +101,11 @@ def json_kind(text: Column) -> Column:
 
 
 def parsed_answer(text: Column, schema: str) -> Column:
-    """A model's answer as a struct: code fences go, text that doesn't fit is null."""
+    """A model's answer as a struct: code fences go, text that is no JSON is null."""
     from velarium.functions.text import unfenced_json
 
-    return F.from_json(unfenced_json(text), schema)
+    plain = unfenced_json(text)
+    return F.when(F.try_parse_json(plain).isNotNull(), F.from_json(plain, schema))
 
 
 def first_answer(tries: list[Column], schema: str) -> Column:

@@ -18,7 +18,6 @@ Encoder = Callable[[Column], Column]
 def hashed_encoder(size: int = 64) -> Encoder:
     """Term hashing to a unit vector: a term counts 1 or -1, by a hash bit, in the component of its hash mod size. Terms are hashed in the JVM; a batch of texts is summed at once."""
     from velarium.functions.text import terms
-    from velarium.functions.vector import normalised
 
     @F.arrow_udf("array<double>")
     def summed(hashes: pa.Array) -> pa.Array:
@@ -27,9 +26,11 @@ def hashed_encoder(size: int = 64) -> Encoder:
         flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         sums = np.zeros((len(hashes), size))
         np.add.at(sums, (np.repeat(np.arange(len(hashes)), counts), flat % size), np.where((flat >> 32) & 1, -1.0, 1.0))
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        sums /= np.where(length > 0, length, 1)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(hashes) + 1, size, dtype=np.int32)), pa.array(sums.ravel()))
 
-    return lambda text: normalised(summed(F.transform(terms(text), lambda t: F.xxhash64(t))))
+    return lambda text: summed(F.transform(terms(text), lambda t: F.xxhash64(t)))
 
 
 def with_vectors(rows: DataFrame, text: str, encoder: Encoder, vector: str = "embedding") -> DataFrame:
@@ -48,6 +49,8 @@ def fan_out(queries: list[str], search: Callable[[str], DataFrame], key: str) ->
 def in_batches(rows: DataFrame, column: str, call: Callable[[list], list], kind: str, out: str, size: int = 32) -> DataFrame:
     """Rows with a model's answer, `size` values a call; a call that fails gives nulls for its values and the others go on."""
 
+    answer = to_arrow_type(_parse_datatype_string(kind))
+
     def run(values: pa.Array) -> pa.Array:
         found: list = []
         for k in range(0, len(values), size):
@@ -56,6 +59,6 @@ def in_batches(rows: DataFrame, column: str, call: Callable[[list], list], kind:
                 found += call(part)
             except Exception:  # noqa: BLE001
                 found += [None] * len(part)
-        return pa.array(found, to_arrow_type(_parse_datatype_string(kind)))
+        return pa.array(found, answer)
 
     return rows.withColumn(out, F.arrow_udf(run, kind)(F.col(column)))

@@ -31,7 +31,9 @@ def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
 def evaluation_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON file that holds a list, an object with `records`, or one record."""
     whole = spark.read.text(path, wholetext=True)
-    lists = F.coalesce(F.from_json("value", f"array<struct<{RECORD}>>"), F.from_json("value", f"struct<records:array<struct<{RECORD}>>>")["records"], F.array(F.from_json("value", f"struct<{RECORD}>")))
+    inner = F.get_json_object("value", "$.records")
+    many, one = f"array<struct<{RECORD}>>", F.array(F.from_json("value", f"struct<{RECORD}>"))
+    lists = F.when(inner.isNotNull(), F.from_json(inner, many)).when(F.trim("value").startswith("["), F.from_json("value", many)).otherwise(one)
     return whole.select(F.explode(lists).alias("r")).select("r.*").filter(F.col("inputs").isNotNull())
 
 

@@ -127,6 +127,15 @@ def test_text_slots(spark):
     assert (parts["bucket"], parts["object"]) == ("b", "o/p")
 
 
+def test_required_values_keep_their_type(spark):
+    from velarium.operators.scope import list_argument, required
+
+    assert value(spark, required(F.lit(3), "x")) == 3 and value(spark, required(F.lit("a"), "x")) == "a"
+    with pytest.raises(Exception, match="missing x"):
+        value(spark, required(F.lit(None).cast("int"), "x"))
+    assert list_argument('["a"]') == ["a"] and list_argument("no") is None and list_argument({}) is None
+
+
 def test_fan_out_keeps_the_best_score(spark):
     rows = {"a": [(1, 0.5), (2, 0.1)], "b": [(1, 0.7)]}
     found = models.fan_out(["a", "b", "a"], lambda q: spark.createDataFrame(rows[q], "k int, score double"), "k")

@@ -36,7 +36,7 @@ def above(df: DataFrame, least: float | None, score: str = "score") -> DataFrame
 
 def required(c: Column, name: str) -> Column:
     """The value, or an error where it is null."""
-    return F.coalesce(c, F.raise_error(F.lit(f"missing {name}")).cast("string"))
+    return F.coalesce(c, F.raise_error(F.lit(f"missing {name}")))
 
 
 def top(df: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:

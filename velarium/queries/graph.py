@@ -127,21 +127,21 @@ def _events_of_customers(t):
 
 @book.query(f"""WITH {_EV.replace('o_custkey % 97 AS grp', 'o_custkey AS grp')}, l AS (SELECT a.grp, a.o AS a, b.o AS b, b.k - a.k AS gap, round(list_cosine_similarity(a.v, b.v), 4) AS s, len(list_intersect(a.members, b.members)) AS shared, len(list_distinct(list_concat(a.members, b.members))) AS u
     FROM p a JOIN p b ON a.grp = b.grp AND b.k > a.k)
-    SELECT grp, a, b, s AS similarity, shared::int AS shared, CASE WHEN gap = 1 THEN 'NEXT_EVENT' WHEN s >= 0.2 THEN 'SEMANTIC' ELSE 'ENTITY_OVERLAP' END AS edge_type
+    SELECT grp, a, b, s + 0.0 AS similarity, shared::int AS shared, CASE WHEN gap = 1 THEN 'NEXT_EVENT' WHEN s >= 0.2 THEN 'SEMANTIC' ELSE 'ENTITY_OVERLAP' END AS edge_type
     FROM l WHERE gap = 1 OR s >= 0.2 OR round(shared::double / u, 4) >= 0.3""")
 def event_link_all_pairs(t):
     """All pairs of a customer's orders, without a window."""
     pairs = G.event_pairs(_events_of_customers(t), "grp", "idx", "o", "embedding", "members")
-    return G.linked(pairs, 0.2, 0.3).select("grp", "a", "b", "similarity", "shared", "edge_type")
+    return G.linked(pairs, 0.2, 0.3).select("grp", "a", "b", (F.col("similarity") + 0.0).alias("similarity"), "shared", "edge_type")
 
 
 @book.query(f"""WITH {_EV.replace('ORDER BY tm, o', 'ORDER BY year(tm) * 12 + month(tm)')}, l AS (SELECT a.grp, a.o AS a, b.o AS b, round(list_cosine_similarity(a.v, b.v), 4) AS s, round(len(list_intersect(a.members, b.members))::double / len(list_distinct(list_concat(a.members, b.members))), 4) AS j
     FROM p a, (VALUES (1), (2)) x(d) JOIN p b ON b.grp = a.grp AND b.k = a.k + x.d)
-    SELECT grp, a, b, s AS similarity, CASE WHEN s >= 0.25 THEN 'SEMANTIC' ELSE 'ENTITY_OVERLAP' END AS edge_type FROM l WHERE s >= 0.25 OR j >= 0.3""")
+    SELECT grp, a, b, s + 0.0 AS similarity, CASE WHEN s >= 0.25 THEN 'SEMANTIC' ELSE 'ENTITY_OVERLAP' END AS edge_type FROM l WHERE s >= 0.25 OR j >= 0.3""")
 def micro_link_passes(t):
     """Links between events of different months at most two apart: similarity first, then shared members. Events of one month are never linked."""
     events = _events(t, F.col("o_custkey") % 97, F.year("at") * 12 + F.month("at"))
-    return G.linked(G.event_pairs(events, "grp", "idx", "o", "embedding", "members", window=2), 0.25, 0.3, following=False).select("grp", "a", "b", "similarity", "edge_type")
+    return G.linked(G.event_pairs(events, "grp", "idx", "o", "embedding", "members", window=2), 0.25, 0.3, following=False).select("grp", "a", "b", (F.col("similarity") + 0.0).alias("similarity"), "edge_type")
 
 
 @book.query(f"""WITH {_EV}, l AS (SELECT a.grp, a.o AS a, b.o AS b, b.k - a.k AS gap, round(list_cosine_similarity(a.v, b.v), 4) AS s, round(len(list_intersect(a.members, b.members))::double / len(list_distinct(list_concat(a.members, b.members))), 4) AS j

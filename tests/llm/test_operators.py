@@ -699,6 +699,7 @@ def test_words_are_runs_of_letters(spark):
 
     for c in map(chr, [*range(0x3000), *range(0x1D400, 0x1D800), 0x2167, 0x2460, 0x3007, 0x4E00]):
         assert bool(crf_langid.LETTERS.fullmatch(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+        assert "".join(crf_langid.words_of(f"a {c}")) == "a" + "".join(x for x in c.lower() if unicodedata.category(x).startswith("L")), hex(ord(c))
     crf = crf_langid.fit([("the cat and the dog are here", "en"), ("der hund und die katze sind hier", "de")] * 30)
     rows = [(1, "\u00bd \u00b2 \u2167 12 _"), (2, "the\u00b2cat"), (3, "the cat"), (3, "the cat")]
     found = crf_langid.predict(spark.createDataFrame(rows, SCHEMA), crf).collect()

@@ -33,11 +33,11 @@ from velarium.shared import ship
 
 
 
-def _letters() -> re.Pattern:
-    """Runs of letters: word characters but the underscore and what is alphanumeric without being a letter."""
+def _letters(last: int) -> re.Pattern:
+    """Runs of letters: word characters but the underscore and what is alphanumeric, up to the character `last`, without being a letter."""
     others, start = [], None
-    for c in range(sys.maxunicode + 2):
-        other = c <= sys.maxunicode and (x := chr(c)).isalnum() and not x.isalpha()
+    for c in range(last + 2):
+        other = c <= last and (x := chr(c)).isalnum() and not x.isalpha()
         if other and start is None:
             start = c
         elif not other and start is not None:
@@ -46,7 +46,17 @@ def _letters() -> re.Pattern:
     return re.compile(r"[^\W_" + "".join(others) + "]+")
 
 
-LETTERS = _letters()
+LETTERS, LETTERS_BELOW_ASTRAL = _letters(sys.maxunicode), _letters(0xFFFF)
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case. The pattern for texts without characters above U+FFFF is the faster one, as its class is a bitmap."""
+    low = (text or "").lower()
+    if low.isascii() or len(low.encode("utf-16-le", "surrogatepass")) == 2 * len(low):
+        return LETTERS_BELOW_ASTRAL.findall(low)
+    return LETTERS.findall(low)
+
+
 WIDTH = 1 << 15
 #: Distinct words whose emissions one worker remembers before it starts anew.
 REMEMBERED = 300_000
@@ -116,7 +126,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 5, length: int = 48, epochs: i
     number = {lang: k for k, lang in enumerate(languages)}
     n = len(languages)
     pieces, seen = [], [Counter() for _ in languages]
-    split = [(LETTERS.findall(text.lower()), number[lang]) for text, lang in texts]
+    split = [(words_of(text), number[lang]) for text, lang in texts]
     for words, own in split:
         seen[own].update(words)
     left = word_budgets([c.total() for c in seen], most_words)
@@ -224,7 +234,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], words: int = 500_000) -> Iterato
     for b in batches:
         for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             keys.append(k)
-            texts.append(LETTERS.findall((t.as_py() or "").lower()))
+            texts.append(words_of(t.as_py()))
             n += len(texts[-1])
             if n >= words:
                 yield keys, texts

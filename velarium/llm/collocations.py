@@ -57,7 +57,7 @@ class Words:
         new = np.ones(len(starts), bool)
         new[1:] = (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])
         begins = np.flatnonzero(new)
-        stops = np.r_[begins[1:], len(starts)].astype(np.int64)
+        stops = np.append(begins, len(starts))[1:]
         self.left = np.repeat(stops, stops - begins) - np.arange(len(starts))
         coded = self.words.dictionary_encode()
         self.code, self.types = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from velarium.llm.text_rules import grouped
 from velarium.shared import ship, stored
 
-LONGEST, ROWS, STRIPE, STRETCH, BATCH = 4, 2, 1 << 20, 1 << 19, 6_000_000
+LONGEST, ROWS, STRIPE, STRETCH, BATCH = 4, 2, 1 << 20, 1 << 17, 3_000_000
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Lower-cased, all that parts words a space; and what kind each byte is: part of a word, blank, end of a piece.
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else 32 if c in _BREAKS or c == 9 else c for c in range(256))
@@ -154,7 +154,7 @@ def _reached(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, per_cell: int = 8, cells: tuple[int, int] = (1 << 20, 1 << 26), sketches: int | None = None) -> DataFrame:
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, per_cell: int = 8, cells: tuple[int, int] = (1 << 20, 1 << 25), sketches: int | None = None) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of 1 to 4 words with f >= least, and of each language a row with words = 0 and f all its word occurrences."""
     spark = docs.sparkSession
     ship(spark)

@@ -86,39 +86,6 @@ def test_node_embeddings_hold_every_node(spark):
 # communities
 
 
-def test_modular_communities_find_cliques(spark):
-    edges = cliques([6, 5, 7, 4])
-    found = {r["node"]: r["community"] for r in G.modular_communities(spark.createDataFrame(edges, "a long, b long, weight double")).collect()}
-    groups, start = [], 0
-    for n in (6, 5, 7, 4):
-        groups.append(set(range(start, start + n)))
-        start += n
-    assert {frozenset(n for n in found if found[n] == c) for c in set(found.values())} == {frozenset(g) for g in groups}
-    assert all(c == min(n for n in found if found[n] == c) for c in found.values())
-
-
-@pytest.mark.parametrize(("seed", "levels"), [(1, 1), (3, 10)])
-def test_modular_communities_are_no_worse_than_single_nodes(spark, seed, levels):
-    rng = random.Random(seed)
-    edges = list({(a, b): (a, b, rng.random()) for a, b in (sorted(rng.sample(range(30), 2)) for _ in range(80))}.values())
-    found = {r["node"]: r["community"] for r in G.modular_communities(spark.createDataFrame(edges, "a long, b long, weight double"), levels=levels).collect()}
-    nodes = {n for e in edges for n in e[:2]}
-    assert set(found) == nodes
-    q = brute_modularity(edges, found)
-    assert q >= brute_modularity(edges, {n: n for n in nodes}) and q >= 0 and q > 0.15
-
-
-def test_communities_of_nations_beat_their_regions(spark):
-    from velarium.queries.graph import _nations
-    from velarium.sources.tables import table
-
-    t = lambda name: table(spark, SMALL, name)
-    edges = [tuple(r) for r in _nations(t).collect()]
-    found = {r["node"]: r["community"] for r in QUERIES["modular_communities"](spark, SMALL).collect()}
-    region = {r["n_nationkey"]: r["n_regionkey"] for r in t("nation").collect()}
-    assert brute_modularity(edges, found) >= max(brute_modularity(edges, region), 0.0)
-
-
 def test_label_propagation_says_whether_it_settled(spark):
     edges = spark.createDataFrame(cliques([4, 4]), "a long, b long, weight double")
     settled = G.communities(edges, 30).collect()

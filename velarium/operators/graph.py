@@ -316,65 +316,6 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return labels.withColumn("settled", F.lit(still == 2))
 
 
-def _moved(both: DataFrame, degree: DataFrame, labels: DataFrame, total: float, half: Column) -> DataFrame:
-    """Labels after the nodes of one half have gone to the neighbouring community of greatest gain in modularity, if that is a gain."""
-    named = labels.select(F.col("node").alias("a"), F.col("community").alias("mine")).join(degree, "a")
-    mass = named.groupBy("mine").agg(F.sum("k").alias("mass"))
-    near = both.filter("a <> b").join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-    options = near.join(named, "a").join(mass.withColumnRenamed("mine", "community"), "community")
-    own = F.col("community") == F.col("mine")
-    gain = F.col("w") - F.col("k") * (F.col("mass") - F.when(own, F.col("k")).otherwise(0.0)) / total
-    scored = options.select("a", "community", "mine", F.round(gain, 9).alias("gain"), own.alias("own"), "k")
-    stay = F.max(F.when(F.col("own"), F.col("gain")))
-    best = scored.groupBy("a").agg(F.max(F.struct("gain", (-F.col("community")).alias("c"))).alias("best"), stay.alias("stay"), F.first("mine").alias("mine"), F.first("k").alias("k"))
-    # alone in its community a node gives up nothing but its own mass; without a neighbour there its edges inside are none
-    home = best.join(mass, "mine").withColumn("stay", F.coalesce("stay", -F.col("k") * (F.col("mass") - F.col("k")) / total))
-    goes = home.filter(F.col("best.gain") > F.col("stay") + 1e-9).select(F.col("a").alias("node"), (-F.col("best.c")).alias("to"))
-    return labels.join(goes, "node", "left").select("node", F.when(half & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("community")).alias("community"))
-
-
-def _quality(both: DataFrame, labels: DataFrame, total: float) -> float:
-    ends = both.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
-    own = F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0))
-    r = ends.groupBy("ca").agg(F.sum("weight").alias("k"), own.alias("w")).agg(F.sum("w").alias("w"), F.sum(F.col("k") * F.col("k")).alias("s")).first()
-    return (r["w"] or 0.0) / total - (r["s"] or 0.0) / total**2
-
-
-def modular_communities(edges: DataFrame, rounds: int = 12, levels: int = 10) -> DataFrame:
-    """(node, community) of undirected edges (a, b, weight) with nodes as longs, by moves that raise modularity, level by level.
-
-    On each level halves of the nodes take turns to move; a turn that doesn't raise the partition's modularity is undone, and two such end the level. Then communities
-    become nodes (edges inside them loops), until a level gains nothing. So modularity never falls below that of single nodes; the least node names a community. It is a
-    distributed form of local moving and aggregation; it is not claimed to give the partition of another implementation. Each turn is joins and aggregations, checkpointed.
-    """
-    flat = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
-    both = cut(flat.unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
-    total = both.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("t")).first()["t"]
-    whole = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
-    if not total:
-        return whole
-    for _ in range(levels):
-        labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-        start = best = _quality(both, labels, total)
-        degree, failed = cut(both.groupBy("a").agg(F.sum("weight").alias("k"))), 0
-        for r in range(rounds):
-            tried = cut(_moved(both, degree, labels, total, F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2))
-            q = _quality(both, tried, total)
-            if q > best + 1e-9:
-                labels, best, failed = tried, q, 0
-            else:
-                failed += 1
-                if failed == 2:
-                    break
-        if best <= start + 1e-9:
-            break
-        whole = cut(whole.join(labels.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
-        up = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
-        both = cut(both.join(up("a"), "a").join(up("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
-    names = whole.groupBy("community").agg(F.min("node").alias("least"))
-    return whole.join(names, "community").select("node", F.col("least").alias("community"))
-
-
 def walks(edges: DataFrame, per_node: int = 10, length: int = 80, weighted: bool = False, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
     """(walk, node ids in order) of random walks from every node, a step at a time as joins.
 

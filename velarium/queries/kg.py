@@ -363,20 +363,19 @@ def kg_community_texts(t):
 
 @book.query()
 def modular_communities(t):
-    """Communities of trading nations by moves that raise modularity; the test holds their modularity to single nodes and to regions."""
-    from velarium.queries.graph import _nations
+    """Leiden communities of the whole graph of parts and suppliers; the tests hold modularity to sequential runs and each community to being connected."""
+    from velarium.operators.communities import leiden
+    from velarium.queries.graph import _edges
 
-    edges = _nations(t).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "weight")
-    return G.modular_communities(edges)
+    return leiden(G.simplified(_edges(t)))
 
 
 @book.query()
 def biased_walks(t):
-    """Second-order walks with p = 0.5 and q = 2 over the weighted graph of trading nations; each step is an edge (tested)."""
-    from velarium.queries.graph import _nations
+    """Second-order walks with p = 0.5 and q = 2 over the whole weighted graph of parts and suppliers; each step is an edge (tested)."""
+    from velarium.queries.graph import _edges
 
-    edges = _nations(t).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
-    return G.walks(edges, 3, 10, weighted=True, p=0.5, q=2.0)
+    return G.walks(_edges(t), 3, 10, weighted=True, p=0.5, q=2.0)
 
 
 @book.query("""

@@ -38,15 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), "velarium-checkpoints")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
     return at
 
 
 def own_dir(spark: SparkSession) -> str:
-    """This application's folder below the shared one; it is deleted when the application ends."""
+    """This application's folder below the shared one, for tables, checkpoints and the state of streams; it is deleted when the application ends."""
     at = f"{shared_dir(spark)}/velarium/{spark.sparkContext.applicationId}"
     if at not in _OWN:
+        spark.sparkContext.setCheckpointDir(f"{at}/checkpoints")
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(path)
@@ -57,7 +56,7 @@ def own_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow table by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
+    own_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

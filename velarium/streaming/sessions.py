@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.shared import shared_dir
+from velarium.shared import own_dir
 
 
 def event_stream(spark: SparkSession, path: str, schema, names: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -56,7 +56,7 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str =
     """
     import uuid
 
-    at = f"{shared_dir(spark)}/velarium/stream-{name}-{uuid.uuid4().hex}"
+    at = f"{own_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{at}-state").trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", at).start()

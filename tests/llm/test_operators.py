@@ -769,9 +769,9 @@ def naive_score(model, text, counts):
     for w in [*re.findall(r"[^\x20\x09-\x0D]+", lower(text)), None]:
         bucket = None if w is None else zlib.crc32(w[-2:].encode()) % gru_lm.BUCKETS
         symbol = vocab.end if w is None else vocab.symbol.get(w, vocab.bucket_symbol[bucket])
-        a = net.table[last] + h @ net.u
-        z = (1 + soft(a[:width])) / 2
-        h = (1 - z) * h + z * soft(a[width:])
+        a, x = net.u @ h, net.table[last]
+        z, r = (1 + soft(x[:width] + a[:width])) / 2, (1 + soft(x[width : 2 * width] + a[width : 2 * width])) / 2
+        h = (1 - z) * h + z * soft(x[2 * width :] + r * a[2 * width :])
         k, member = divmod(int(symbol), gru_lm.MEMBERS)
         for w_out, pick in ((net.cw, k), (net.ww[k], member)):
             logits = w_out[:, :width] @ h + w_out[:, width]
@@ -857,6 +857,6 @@ def test_language_model_gradient():
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES])
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{SMALL}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []

@@ -1,4 +1,4 @@
-"""LM scoring by a gated recurrent language model (a minimal gated unit), trained here in numpy.
+"""LM scoring by a gated recurrent language model (update and reset gates), trained here in numpy.
 
 Words are counted over all training documents in Spark. The model's symbols are the most frequent words, the end of a text, and
 buckets of the other words by their last two characters; a class-factored softmax (class, then member) gives a symbol's probability, and
@@ -36,12 +36,13 @@ SYMBOLS = CLASSES * MEMBERS
 
 
 class Gru:
-    """A minimal gated recurrent unit and its output layer: weights as one flat vector with named views.
+    """A gated recurrent unit and its output layer: weights as one flat vector with named views.
 
-    `table` gives the input part of gate and candidate of each symbol; `cw` and `ww` hold a row for each class and member, the last column the bias.
+    `inputs` gives the input part of update gate, reset gate and candidate, a column for each symbol (`table` is a view with rows for symbols), `u` the part of the state before; `cw` and `ww` hold a
+    row for each class and member, the last column the bias.
     """
 
-    SHAPES = {"table": (SYMBOLS, 2 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "cw": (CLASSES, HIDDEN + 1), "ww": (CLASSES, MEMBERS, HIDDEN + 1)}
+    SHAPES = {"inputs": (3 * HIDDEN, SYMBOLS), "u": (3 * HIDDEN, HIDDEN), "cw": (CLASSES, HIDDEN + 1), "ww": (CLASSES, MEMBERS, HIDDEN + 1)}
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def __init__(self, flat: np.ndarray) -> None:
@@ -50,6 +51,7 @@ class Gru:
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        self.table = self.inputs.T
 
     @classmethod
     def start(cls, frequency: np.ndarray, seed: int = 11) -> Gru:
@@ -63,30 +65,34 @@ class Gru:
     def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hidden states (steps, lanes, HIDDEN) and the last one; `fresh` marks where a text starts from zero.
 
-        With s(x) = x / (1 + |x|): the gate is (1 + s) / 2, the candidate is s, and the state moves from what it was to the candidate by the gate's share. In memory the steps
-        and lanes of one component lie together, here and in the other methods, so that gate and candidate are contiguous blocks.
+        With s(x) = x / (1 + |x|): gates are (1 + s) / 2, the candidate is s of its input part and the reset gate's share of the state's part, and the state moves to the candidate by the update gate's
+        share. In memory the steps and lanes of one component lie together, here and in the other methods, so that gates and candidate are contiguous blocks.
         """
         steps, lanes = inputs.shape
-        one, half = np.float32(1), np.float32(0.5)
-        out = np.empty((HIDDEN, steps, lanes), np.float32)
-        table, u, h = np.ascontiguousarray(self.table.T), np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T)
-        x, q, starts = np.empty((2 * HIDDEN, lanes), np.float32), np.empty((2 * HIDDEN, lanes), np.float32), fresh.any(1)
+        both, one, half = 2 * HIDDEN, np.float32(1), np.float32(0.5)
+        out, h = np.empty((HIDDEN, steps, lanes), np.float32), np.ascontiguousarray(h.T)
+        x, q, w, starts = np.empty((3 * HIDDEN, lanes), np.float32), np.empty((both, lanes), np.float32), np.empty((both, lanes), np.float32), fresh.any(1)
         for t in range(steps):
             if starts[t]:
                 h = np.where(fresh[t], np.float32(0), h)
-            np.take(table, inputs[t], axis=1, out=x, mode="clip")
-            a = u @ h
-            a += x
-            np.abs(a, out=q)
+            np.take(self.inputs, inputs[t], axis=1, out=x, mode="clip")
+            a = self.u @ h
+            g, own = a[:both], a[both:]
+            g += x[:both]
+            np.abs(g, out=q)
             q += one
-            a /= q
+            g /= q
+            np.multiply(g, half, out=w)
+            w += half
+            n = w[HIDDEN:] * own
+            n += x[both:]
+            np.abs(n, out=q[:HIDDEN])
+            q[:HIDDEN] += one
+            n /= q[:HIDDEN]
             if keep is not None:
-                keep.append((h, a))
-            z = q[:HIDDEN]
-            np.multiply(a[:HIDDEN], half, out=z)
-            z += half
-            step = a[HIDDEN:] - h
-            step *= z
+                keep.append((h, a, n))
+            step = n - h
+            step *= w[:HIDDEN]
             step += h
             h = out[:, t] = step
         return out.transpose(1, 2, 0), np.ascontiguousarray(h.T)
@@ -141,36 +147,43 @@ class Gru:
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, dout: np.ndarray, grads: Gru) -> None:
         """Backpropagation through one window; nothing flows further back than its first step."""
         steps, lanes = inputs.shape
-        starts = fresh.any(1)
-        given, u = dout.transpose(2, 0, 1), np.ascontiguousarray(self.u)
-        dx = np.empty((2 * HIDDEN, steps, lanes), np.float32)
-        dh, da = np.zeros((HIDDEN, lanes), np.float32), np.empty((2 * HIDDEN, lanes), np.float32)
-        gu, one, half, slope, z = np.zeros((2 * HIDDEN, HIDDEN), np.float32), np.float32(1), np.float32(0.5), np.empty((2 * HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
+        starts, both, one, half = fresh.any(1), 2 * HIDDEN, np.float32(1), np.float32(0.5)
+        given, back = dout.transpose(2, 0, 1), np.ascontiguousarray(self.u.T)
+        dx = np.empty((3 * HIDDEN, steps, lanes), np.float32)
+        dh, da = np.zeros((HIDDEN, lanes), np.float32), np.empty((3 * HIDDEN, lanes), np.float32)
+        slope, w, dn = np.empty((both, lanes), np.float32), np.empty((both, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            h, a = kept[t]
+            h, a, n = kept[t]
+            g, own = a[:both], a[both:]
             dh += given[:, t]
-            np.abs(a, out=slope)
+            np.multiply(g, half, out=w)
+            w += half
+            np.multiply(dh, w[:HIDDEN], out=dn)
+            np.subtract(n, h, out=da[:HIDDEN])
+            da[:HIDDEN] *= dh
+            dh -= dn
+            s = slope[:HIDDEN]
+            np.abs(n, out=s)
+            np.subtract(one, s, out=s)
+            s *= s
+            dn *= s
+            np.multiply(dn, own, out=da[HIDDEN:both])
+            np.multiply(dn, w[HIDDEN:], out=da[both:])
+            np.abs(g, out=slope)
             np.subtract(one, slope, out=slope)
             slope *= slope
-            slope[:HIDDEN] *= half
-            np.multiply(a[:HIDDEN], half, out=z)
-            z += half
-            dz, dn = da[:HIDDEN], da[HIDDEN:]
-            np.subtract(a[HIDDEN:], h, out=dz)
-            dz *= dh
-            np.multiply(dh, z, out=dn)
-            dh -= dn
-            da *= slope
-            dx[:, t] = da
-            gu += da @ h.T
-            dh += u @ da
+            slope *= half
+            da[:both] *= slope
+            dx[:both, t] = da[:both]
+            dx[both:, t] = dn
+            grads.u += da @ h.T
+            dh += back @ da
             if starts[t]:
                 dh[:, fresh[t]] = 0
-        grads.u += gu.T
         flat = inputs.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         symbols, first = np.unique(flat[order], return_index=True)
-        grads.table[symbols] += np.add.reduceat(dx.reshape(2 * HIDDEN, -1).take(order, axis=1), first, axis=1).T
+        grads.inputs[:, symbols] += np.add.reduceat(dx.reshape(3 * HIDDEN, -1).take(order, axis=1), first, axis=1)
 
 
 def _inputs(symbols: np.ndarray, owner: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -416,7 +429,8 @@ def fit_encoded(rows: DataFrame, vocab: Vocabulary, seed_tokens: int = 300_000,
     are merged in the order of their numbers, in two levels down to one row.
     """
     model, spark = Gru.start(vocab.frequency), rows.sparkSession
-    sample = rows.filter(F.col("place") < int((1 << 30) * min(1.0, seed_docs / max(1, vocab.train_docs)))).select("place", F.substring("symbols", 1, 2 * seed_tokens).alias("symbols"))
+    share = min(seed_tokens, 20 * seed_tokens // max(1, seed_docs) + 1)  # of one text, so that what comes to the driver is bounded by 80 bytes a seed token
+    sample = rows.filter(F.col("place") < int((1 << 30) * min(1.0, seed_docs / max(1, vocab.train_docs)))).select("place", F.substring("symbols", 1, 2 * share).alias("symbols"))
     drawn = sorted((r["place"], bytes(r["symbols"])) for r in sample.limit(2 * seed_docs).collect())
     picked, n = [], 0
     for _, s in drawn:

@@ -19,6 +19,7 @@ from velarium.functions import vector as V
 from velarium.operators import graph as G
 from velarium.operators import search as S
 from velarium.operators.scope import above, in_scope, top
+from velarium.operators.textindex import TextIndex
 from velarium.plans.registry import Registry, Results
 
 CATALOGUE = Registry()
@@ -51,6 +52,16 @@ class Session:
     encode_sparse: Callable[[str], dict[str, float]] | None = None
     stem: bool = True
     results: Results = field(default_factory=Results)
+    indexes: dict[tuple[str, str], TextIndex] = field(default_factory=dict)
+
+    def index_text(self, folder: str, names: list[str] | None = None) -> None:
+        """Write a text index of each text field of the collections; questions of words then read their terms' files only."""
+        for name in names or list(self.collections):
+            found = self.collections[name]
+            for f in found.fields:
+                index = TextIndex(found.rows.sparkSession, f"{folder}/{name}/{f}", T.analysed if self.stem else T.terms)
+                index.add(found.rows.select("key", F.coalesce(F.col(f), F.lit("")).alias(f)), "key", f)
+                self.indexes[name, f] = index
 
     def scope(self, video_ids: list[str] | None = None) -> dict:
         """What a search is limited to: its argument, or else the session's videos, and the user."""
@@ -109,7 +120,8 @@ def multi_granularity_search(session: Session, query: str, k: int = 5, video_ids
 def bm25_hits(session: Session, name: str, query: str, video_ids: list[str] | None = None) -> DataFrame:
     """Rows of a collection that hold a term of the question, by the sum of their fields' BM25. Documents of the whole collection make the statistics; the scope comes after."""
     found, words = session.collections[name], S.analysed_query(query, session.stem)
-    scored = [S.bm25(found.rows.select("key", F.coalesce(F.col(f), F.lit("")).alias(f)), words[0], "key", f, words[1]) for f in found.fields]
+    one = lambda f: session.indexes[name, f].scores(words[0]) if (name, f) in session.indexes else S.bm25(found.rows.select("key", F.coalesce(F.col(f), F.lit("")).alias(f)), words[0], "key", f, words[1])
+    scored = [one(f) for f in found.fields]
     total = reduce(DataFrame.unionByName, scored).groupBy("key").agg(F.sum("score").alias("score"))
     return without_vectors(session.within(name, video_ids)).join(total, "key")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from velarium.functions import text as T
 from velarium.functions import vector as V
 from velarium.operators.scope import above, in_scope, top
+from velarium.operators.textindex import automatic_edits
 from velarium.shared import cut, own_dir
 
 K1, B = 1.2, 0.75
@@ -122,11 +123,6 @@ def _best_of_fields(docs: DataFrame, words: dict[str, list[str]], boosts: dict[s
     return reduce(DataFrame.unionByName, scored).groupBy(key).agg(F.max("score").alias("score"))
 
 
-def automatic_edits(term: str) -> int:
-    """Edits allowed for a term: none up to two characters, one up to five, two beyond."""
-    return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
-
-
 def fuzzy_terms(docs: DataFrame, query: str, field: str = "text", most: int = 50) -> DataFrame:
     """(term, edits) of the vocabulary within the allowed edits of a query term: the `most` nearest of each, ties by term.
 
@@ -256,6 +252,85 @@ def cells_topk(points: DataFrame, query: list[float], k: int = 10, probes: int =
     return search_cells(points.sparkSession, folder, fit_cells(points, folder, cells, key, vector, seed), query, k, probes, key, vector)
 
 
+class VectorIndex:
+    """Points by k-means cell of their direction, with each cell's centre and the widest angle from it to a point.
+
+    No point of a cell is nearer to a query than the query's angle to the centre less that width. A search takes the cells of least such angle first, and then those that may still hold one of the k
+    best; others are never read, and the result is that of a scan. With `probes` it stops at so many cells, and `probes_for` measures how many a recall takes. Centres stay a table; of the cells
+    only numbers come to the driver, up to LISTED (more are joined). Points without a direction (null, zero) are a cell of their own, read where fewer than k others are there.
+    """
+
+    LISTED = 5000
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "vec_id", vector: str = "embedding") -> None:
+        self.spark, self.folder, self.key, self.vector = spark, folder, key, vector
+
+    def build(self, points: DataFrame, cells: int | None = None, seed: int = 1, sample: int = 100_000) -> VectorIndex:
+        """Centres are fitted on about `sample` directions at most (the square root of the points by default); every point is indexed."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        n, x = points.count(), F.col(self.vector)
+        real = V.norm(x) > 0
+        place = F.pmod(F.xxhash64(F.lit(seed), F.col(self.key)), F.lit(1 << 30))
+        some = points.filter(real & (place < int((1 << 30) * min(1.0, sample / max(1, n))))).select(array_to_vector(V.normalised(x)).alias("_f"))
+        if some.isEmpty():
+            found = points.withColumn("cell", F.lit(-1))
+        else:
+            model = KMeans(k=cells or max(1, math.isqrt(n)), seed=seed, maxIter=40, featuresCol="_f", predictionCol="_c").fit(some)
+            centres = self.spark.createDataFrame([(c, [float(v) for v in m]) for c, m in enumerate(model.clusterCenters())], "cell int, centre array<double>")
+            placed = model.transform(points.filter(real).withColumn("_f", array_to_vector(V.normalised(x))))
+            found = placed.withColumn("cell", F.col("_c").cast("int")).drop("_f", "_c").unionByName(points.filter(~F.coalesce(real, F.lit(False))).withColumn("cell", F.lit(-1)))
+        found.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{self.folder}/points")
+        if some.isEmpty():
+            centres = self.spark.createDataFrame([], "cell int, centre array<double>")
+        own = self.points().filter("cell >= 0").join(centres, "cell")
+        wide = own.groupBy("cell").agg(F.max(self._angle(F.col(self.vector), F.col("centre"))).alias("width"), F.count(F.lit(1)).alias("n"))
+        centres.join(wide, "cell").write.parquet(f"{self.folder}/cells")
+        return self
+
+    @staticmethod
+    def _angle(a: Column, b: Column) -> Column:
+        return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), V.cosine(a, b))))
+
+    def points(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/points")
+
+    def cells(self, query: list[float]) -> DataFrame:
+        """(cell, n, angle, least): the angle to each centre, and the least that a point of the cell may have."""
+        angle = self._angle(F.col("centre"), V.literal(query))
+        return self.spark.read.parquet(f"{self.folder}/cells").select("cell", "n", angle.alias("angle"), F.greatest(F.lit(0.0), angle - F.col("width") - 1e-7).alias("least"))
+
+    def _within(self, numbers: list[int]) -> DataFrame:
+        return self.points().filter(F.col("cell").isin(*numbers))
+
+    def search(self, query: list[float], k: int = 10, first: int = 4, probes: int | None = None) -> DataFrame:
+        """The k points of greatest cosine, ties by key; exact unless `probes` says how many cells are read."""
+        cells = self.cells(query)
+        if probes is not None:
+            return dense_topk(self._within([r["cell"] for r in cells.orderBy("angle", "cell").limit(probes).collect()]), query, k, self.key, self.vector)
+        lead = [r["cell"] for r in cells.orderBy("least", "angle", "cell").limit(first).collect()]
+        begun = dense_topk(self._within(lead), query, k, self.key, self.vector).select("score").collect() if lead else []
+        if len(begun) < k:
+            return dense_topk(self.points(), query, k, self.key, self.vector)
+        bound = math.acos(max(-1.0, min(1.0, begun[-1]["score"])))
+        reach = cells.filter(F.col("least") <= bound + 1e-7).select("cell")
+        numbers = [r["cell"] for r in reach.limit(self.LISTED + 1).collect()]
+        rows = self._within(numbers) if len(numbers) <= self.LISTED else self.points().join(reach, "cell", "left_semi")
+        return dense_topk(rows, query, k, self.key, self.vector)
+
+    def probes_for(self, queries: list[list[float]], k: int = 10, recall: float = 0.9) -> int:
+        """The least number of cells that gives the recall at k over these queries (a bounded sample), measured against all points."""
+        asked = F.broadcast(self.spark.createDataFrame([(n, [float(v) for v in q]) for n, q in enumerate(queries)], "q int, asked array<double>"))
+        order = Window.partitionBy("q").orderBy(F.col("score").desc_nulls_last(), F.col(self.key))
+        near = self.points().filter("cell >= 0").join(asked).withColumn("score", V.cosine(F.col(self.vector), F.col("asked"))).select("q", "cell", self.key, "score")
+        best = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("q", "cell")
+        turn = F.row_number().over(Window.partitionBy("q").orderBy("angle", "cell"))
+        turns = self.spark.read.parquet(f"{self.folder}/cells").join(asked).withColumn("angle", self._angle(F.col("centre"), F.col("asked"))).select("q", "cell", turn.alias("turn"))
+        found = best.join(turns, ["q", "cell"]).agg(F.percentile("turn", F.lit(recall)).alias("p")).first()["p"]
+        return max(1, math.ceil(found or 1))
+
+
 def stale_cells(fitted: int, now: int) -> bool:
     """Whether an index over `fitted` points is to be made anew over `now`: from 100 points on, when they have doubled."""
     return now >= 100 and now >= 2 * fitted

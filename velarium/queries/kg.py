@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from velarium.operators import graph as G
@@ -12,6 +14,7 @@ from velarium.operators import retrieval as T
 from velarium.operators import search as S
 from velarium.queries.base import Book
 from velarium.queries.search import _COS, QUERY, _bm25_sql
+from velarium.shared import own_dir
 
 book = Book()
 
@@ -80,14 +83,26 @@ _BM_ENT = f"(SELECT key, sum(score) AS s FROM ({_bm25_sql(_WORDS.split(), 'ent',
 _BM_CO = f"(SELECT key, sum(score) AS s FROM ({_bm25_sql(_WORDS.split(), 'co', 'key', 'title')} UNION ALL {_bm25_sql(_WORDS.split(), 'co', 'key', 'summary')}) GROUP BY key)"
 
 
-@book.query(f"""WITH {_VIEWS} SELECT collection, key::varchar AS key, video_id, label, round(s, 6) AS score FROM (
+_BM_SQL = f"""WITH {_VIEWS} SELECT collection, key::varchar AS key, video_id, label, round(s, 6) AS score FROM (
     (SELECT 'entities' AS collection, key, video_id, name AS label, s FROM ent JOIN {_BM_ENT} USING (key) WHERE s > 0.1 ORDER BY s DESC, key LIMIT 10)
-    UNION ALL (SELECT 'communities', key, video_id, title, s FROM co JOIN {_BM_CO} USING (key) WHERE s > 0.1 ORDER BY s DESC, key LIMIT 10))""")
+    UNION ALL (SELECT 'communities', key, video_id, title, s FROM co JOIN {_BM_CO} USING (key) WHERE s > 0.1 ORDER BY s DESC, key LIMIT 10))"""
+
+
+@book.query(_BM_SQL)
 def kg_bm25(t):
     """Words in the text of two collections; a name that is none is passed over."""
     return T.search_bm25(_session(t), _WORDS, ["entities", "communities", "nothing"], 10).withColumn("score", F.round("score", 6))
 
 
+@book.query(_BM_SQL)
+def kg_bm25_indexed(t):
+    """The same from stored text indexes of the collections' fields."""
+    session = _session(t)
+    session.stem = False
+    session.index_text(f"{own_dir(t('part').sparkSession)}/kg-{uuid.uuid4().hex}", ["entities", "communities"])
+    return T.search_bm25(session, _WORDS, ["entities", "communities"], 10).withColumn("score", F.round("score", 6))
+
+
 _BOTH = "(SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed)"
 _HOPS = f"""
     h1 AS (SELECT DISTINCT dst AS node FROM {_BOTH} WHERE src IN ('entities/1', 'entities/2')),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velarium.functions import keys, text
@@ -11,6 +14,7 @@ from velarium.operators import search as S
 from velarium.operators.chat import media_by_video, message_search
 from velarium.plans.models import fan_out, hashed_encoder, with_vectors
 from velarium.queries.base import Book
+from velarium.shared import own_dir
 
 book = Book()
 
@@ -21,8 +25,8 @@ _COS = f"list_cosine_similarity(embedding::double[], {_Q})"
 WORDS = "the and der"
 
 
-def _bm25_sql(words: list[str], table: str = "documents", key: str = "doc_id", field: str = "text") -> str:
-    inside = ",".join(f"'{w}'" for w in words)
+def _bm25_sql(words: list[str] | str, table: str = "documents", key: str = "doc_id", field: str = "text") -> str:
+    inside = words if isinstance(words, str) else ",".join(f"'{w}'" for w in words)
     return f"""
         SELECT {key}, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
         FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (
@@ -62,21 +66,63 @@ def bm25_multi_field(t):
     return S.best_field(t("pages"), "title org", {"url": 1.5, "html": 1.0}, 10, "page_id").select("page_id", F.round("score", 6).alias("score"))
 
 
-@book.query("""
-    WITH v AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents),
-    e AS (SELECT term, q, levenshtein(term, q) AS edits FROM v, (VALUES ('thention', 2), ('ofand', 1)) x(q, n) WHERE term <> '' AND abs(length(term) - length(q)) <= n AND levenshtein(term, q) <= n),
-    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY edits, term) AS k FROM e)
-    SELECT term, min(edits)::int AS edits FROM r WHERE k <= 50 GROUP BY term""")
+def _near_sql(words: list[tuple[str, int]]) -> str:
+    """(term, edits): the nearest terms of the vocabulary of each word and its allowed edits."""
+    values = ", ".join(f"('{w}', {n})" for w, n in words)
+    return f"""(
+        WITH v AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents),
+        e AS (SELECT term, q, levenshtein(term, q) AS edits FROM v, (VALUES {values}) x(q, n) WHERE term <> '' AND abs(length(term) - length(q)) <= n AND levenshtein(term, q) <= n),
+        r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY edits, term) AS k FROM e)
+        SELECT term, min(edits)::int AS edits FROM r WHERE k <= 50 GROUP BY term)"""
+
+
+@book.query(f"SELECT * FROM {_near_sql([('thention', 2), ('ofand', 1)])}")
 def bm25_fuzzy_terms(t):
     return S.fuzzy_terms(t("documents"), "thention ofand")
 
 
-@book.query()
+@book.query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql("SELECT term FROM " + _near_sql([("thention", 2)]))}) ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_fuzzy(t):
-    """The expansion is checked by bm25_fuzzy_terms and the scores by bm25_topk; this joins both."""
+    """Fuzzy expansion and scores of its terms."""
     return S.bm25_fuzzy(t("documents"), "thention", 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _index(t, *parts):
+    """A stored index of the documents: all at once, or the parts one after the other and merged."""
+    from velarium.operators.textindex import TextIndex
+
+    docs = t("documents")
+    index = TextIndex(docs.sparkSession, f"{own_dir(docs.sparkSession)}/text-{uuid.uuid4().hex}")
+    for part in parts or (F.lit(True),):
+        index.add(docs.filter(part), "doc_id", "text")
+    return index
+
+
+_QUESTIONS = (WORDS, "tion ing the", "nothing0 of")
+
+
+@book.query(" UNION ALL ".join(f"SELECT {n} AS question, doc_id, round(score, 6) AS score FROM (SELECT * FROM ({_bm25_sql(q.split())}) ORDER BY score DESC, doc_id LIMIT 10)" for n, q in enumerate(_QUESTIONS)))
+def indexed_bm25(t):
+    """Three questions to one stored index, the ten best of each by bounds of blocks."""
+    index = _index(t)
+    best = [index.best(S.query_words(q), 10).select(F.lit(n).alias("question"), F.col("key").alias("doc_id"), F.round("score", 6).alias("score")) for n, q in enumerate(_QUESTIONS)]
+    return reduce(DataFrame.unionByName, best)
+
+
+@book.query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(WORDS.split())})")
+def indexed_bm25_merged(t):
+    """Scores of all documents from an index that got English documents, then the others, and was merged."""
+    index = _index(t, F.col("lang") == "en", F.col("lang") != "en")
+    index.merge()
+    return index.scores(S.query_words(WORDS)).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@book.query(f"SELECT * FROM {_near_sql([('thention', 2), ('ofand', 1), ('in', 0)])}")
+def indexed_fuzzy_terms(t):
+    """Near terms by what is left of words when letters go, from two segments; the vocabulary isn't scanned."""
+    return _index(t, F.col("lang") == "en", F.col("lang") != "en").near_terms(S.query_words("thention ofand in"))
+
+
 _RANKS = f"""
     b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_bm25_sql(WORDS.split())}) ORDER BY score DESC, doc_id LIMIT 50),
     v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM (SELECT vec_id, {_COS} AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 50)"""
@@ -227,4 +273,27 @@ def vector_cells_full_probe(t):
     return S.cells_topk(t("embeddings"), QUERY, 10, probes=8, cells=8).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@book.query(f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vector_index_exact(t):
+    """The nearest vectors from a stored index, by cells in order of the least angle that they may hold."""
+    return _vector_index(t).search(QUERY, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@book.query("SELECT true AS reached")
+def vector_index_recall(t):
+    """Whether the cells that `probes_for` asks for give a recall at 10 of 0.9 over 20 queries, each held against a scan."""
+    points, index = t("embeddings"), _vector_index(t)
+    asked = [list(r["embedding"]) for r in points.orderBy(F.xxhash64("vec_id")).limit(20).collect()]
+    probes = index.probes_for(asked, 10, 0.9)
+    one = lambda rows, n: rows.select(F.lit(n).alias("q"), "vec_id")
+    found = reduce(DataFrame.unionByName, [one(index.search(q, 10, probes=probes), n) for n, q in enumerate(asked)])
+    exact = reduce(DataFrame.unionByName, [one(S.dense_topk(points, q, 10), n) for n, q in enumerate(asked)])
+    return exact.join(found.withColumn("hit", F.lit(1)), ["q", "vec_id"], "left").agg((F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("reached"))
+
+
+def _vector_index(t):
+    points = t("embeddings")
+    return S.VectorIndex(points.sparkSession, f"{own_dir(points.sparkSession)}/vectors-{uuid.uuid4().hex}").build(points)
+
+
 QUERIES, ORACLE_SQL = book.queries, book.sql

@@ -86,3 +86,11 @@ def test_average_linkage():
     x = np.array([0.0, 0.1, 5.0])
     labels = average_linkage(np.abs(x[:, None] - x[None, :]), 1.0)
     assert labels[0] == labels[1] != labels[2]
+
+
+def test_icons_by_the_first_part(spark):
+    from velarium.operators.records import icon
+
+    names = {"Image  Recognition": "eye", "Voice Recognition": "microphone", "OCR": "document", "clip search": "photo", "Search": "magnifier", "kg": "chip", None: "chip", "": "chip", "text-recognition": "chip", "Default": "chip"}
+    rows = spark.createDataFrame([(k, v) for k, v in names.items()], "name string, wanted string")
+    assert rows.filter(icon(F.col("name")) != F.col("wanted")).collect() == []

@@ -6,8 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What an uploaded video may call itself (fixed values).
-VIDEO_TYPES = "video/mp4 video/mpeg video/avi video/quicktime video/x-msvideo video/x-ms-wmv video/x-flv video/webm video/3gpp video/3gpp2 application/octet-stream".split()
-VIDEO_ENDINGS = ".mp4 .mov .avi .mkv .flv .wmv .webm .3gp .mpeg .mpg".split()
+VIDEO_TYPES = (
+    "video/mp4",
+    "video/mpeg",
+    "video/avi",
+    "video/quicktime",
+    "video/x-msvideo",
+    "video/x-ms-wmv",
+    "video/x-flv",
+    "video/webm",
+    "video/3gpp",
+    "video/3gpp2",
+    "application/octet-stream",
+)
+VIDEO_ENDINGS = (".mp4", ".mov", ".avi", ".mkv", ".flv", ".wmv", ".webm", ".3gp", ".mpeg", ".mpg")
 
 
 def kept_columns(rows: DataFrame, keep: list[str] | None = None, drop: list[str] | None = None, **computed: Column) -> DataFrame:
@@ -88,9 +100,10 @@ def replayed(blocks: DataFrame, session: str = "session_id", order: str = "n") -
     )
 
 
-def tagged_json(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
-    """Each row as JSON text with the name of its kind."""
-    return rows.select(F.to_json(F.struct(F.lit(kind).alias("event"), *columns)).alias("json"))
+def tagged_json(rows: DataFrame, kind: str | Column, *columns: str) -> DataFrame:
+    """Each row as JSON text with the name of its kind, or of the kind that a column says."""
+    named = kind if isinstance(kind, Column) else F.lit(kind)
+    return rows.select(F.to_json(F.struct(named.alias("event"), *columns)).alias("json"))
 
 
 def json_kind(text: Column) -> Column:
@@ -158,14 +171,27 @@ def compact_record(facts: Column) -> Column:
     return F.filter(plain, lambda f: f["fact"].isNotNull() & (f["fact"] != ""))
 
 
-#: Parts of tool names and their icons, first match first (fixed values).
-ICONS = {"search": "magnifier", "video": "film", "image": "picture", "audio": "wave", "ocr": "text", "graph": "graph"}
+#: Parts of tool names and what their icon shows, first match first; `default` where none is in the name (fixed values).
+ICONS = {
+    "ocr": "document",
+    "text_recognition": "document",
+    "voice": "microphone",
+    "voice_recognition": "microphone",
+    "speech": "microphone",
+    "asr": "microphone",
+    "clip": "photo",
+    "image_search": "photo",
+    "image_analyzing": "eye",
+    "image_analysis": "eye",
+    "image_recognition": "eye",
+    "analyze": "eye",
+    "search": "magnifier",
+    "default": "chip",
+}
 
 
 def icon(name: Column) -> Column:
-    """The icon of the first part that a tool's name holds, in any case and without separators; else `tool`."""
-    plain = F.regexp_replace(F.lower(name), r"[\s_-]+", "")
-    out = F.when(F.contains(plain, F.lit(next(iter(ICONS)))), F.lit(ICONS[next(iter(ICONS))]))
-    for part, name_of in list(ICONS.items())[1:]:
-        out = out.when(F.contains(plain, F.lit(part)), F.lit(name_of))
-    return out.otherwise(F.lit("tool"))
+    """What the icon of a tool shows: the first part that its name holds, in any case and with runs of white space as `_`; names that are null or hold none have the default's."""
+    plain = F.regexp_replace(F.lower(name), r"\s+", "_")
+    found = [F.when(F.contains(plain, F.lit(part)), F.lit(shown)) for part, shown in ICONS.items()]
+    return F.coalesce(*found, F.lit(ICONS["default"]))

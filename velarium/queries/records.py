@@ -100,12 +100,10 @@ def resumed_sessions(t):
     return records.replayed(blocks, "conv_id").select("conv_id", (F.size("finished")).cast("long").alias("finished"), "in_progress")
 
 
-@book.query("""SELECT event_id, '{"event":"' || event_type || '","user_id":' || user_id || '}' AS json FROM events""")
+@book.query("""SELECT '{"event":"' || event_type || '","event_id":' || event_id || ',"user_id":' || user_id || '}' AS json FROM events""")
 def tagged_json(t):
     """Events as JSON with the name of their kind."""
-    rows = t("events")
-    kind = F.col("event_type")
-    return rows.select("event_id", F.to_json(F.struct(kind.alias("event"), "user_id")).alias("json"))
+    return records.tagged_json(t("events"), F.col("event_type"), "event_id", "user_id")
 
 
 @book.query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'list' WHEN 2 THEN 'text' ELSE 'scalar' END AS kind FROM events")

@@ -195,34 +195,22 @@ def cache_key_md5(t):
     return t("documents").select("doc_id", keys.cache_key(F.col("lang"), F.col("source"), F.col("doc_id")).alias("key"))
 
 
-@book.query(r"""
-    SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '([\p{L}\p{N}_]+)-\s+([\p{L}\p{N}_]+)', '\1\2', 'g'), '\s{2,}', ' ', 'g')) AS cleaned
-    FROM documents WHERE regexp_full_match(text, '[\x20-\x7E\n]*')""")
-def ocr_clean(t):
-    ascii_only = t("documents").filter(F.col("text").rlike(r"^[\x20-\x7E\n]*\z"))
-    return ascii_only.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
-
-
-@book.query(r"SELECT doc_id, regexp_replace(substr(text, 1, 400), '(and|the)', '<mark>\1</mark>', 'gi') AS marked FROM documents")
-def highlight_terms(t):
-    return t("documents").select("doc_id", text.highlight(F.substring("text", 1, 400), ["the", "and"]).alias("marked"))
-
-
 @book.query(r"SELECT doc_id, regexp_replace(text, '(and|the)', '<mark>\1</mark>', 'gi') AS marked FROM documents")
 def highlight_terms_whole(t):
-    """`highlight_terms` over the whole text."""
+    """Every occurrence of two words between marks."""
     return t("documents").select("doc_id", text.highlight(F.col("text"), ["the", "and"]).alias("marked"))
 
 
-@book.query()
+@book.query("SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS grams FROM (SELECT doc_id, string_split(lower(text), '') AS c FROM documents)")
 def trigram_counts_whole(t):
-    """`trigram_counts` over the whole text; tested against brute force, as its SQL would copy a text for each character."""
+    """Distinct character trigrams of each document."""
     return t("documents").select("doc_id", F.size(F.array_distinct(text.ngrams(F.lower("text"), 3))).cast("long").alias("grams"))
 
 
-@book.query()
+@book.query(r"""
+    SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '([\p{L}\p{N}_]+)-\s+([\p{L}\p{N}_]+)', '\1\2', 'g'), '\s{2,}', ' ', 'g')) AS cleaned FROM documents""")
 def ocr_clean_whole(t):
-    """`ocr_clean` over all documents; tested against brute force, as SQL's classes differ beyond ASCII."""
+    """Cleaned text of all documents; tested against brute force too."""
     return t("documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
@@ -244,11 +232,6 @@ def stemmed_terms(t):
     return t("documents").select("doc_id", F.size(F.array_distinct(text.stems(text.terms(F.col("text"))))).alias("stems"))
 
 
-@book.query("SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(lower(substr(text, 1, 60))) - 1, 1)), lambda i: substr(lower(substr(text, 1, 60)), i, 3)))) AS grams FROM documents")
-def trigram_counts(t):
-    return t("documents").select("doc_id", F.size(F.array_distinct(text.ngrams(F.lower(F.substring("text", 1, 60)), 3))).cast("long").alias("grams"))
-
-
 @book.query("SELECT label, len(list(vec_id)) AS n, array_to_string(list(vec_id ORDER BY vec_id), ',') AS items FROM embeddings GROUP BY label")
 def media_grouping(t):
     hits = media_by_video(t("embeddings"), "label", "vec_id", ["vec_id"])

@@ -138,6 +138,48 @@ def event_pairs(events: DataFrame, by: str, index: str, key: str, vector: str, m
     else:
         reach = left.withColumn("pb", F.explode(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda d: F.col("pa") + d)))
         pairs = reach.join(right, [by, "pb"])
+    return _compared(pairs, by)
+
+
+def overlapping_pairs(sets: DataFrame, by: str, key: str, members: str, least: float) -> DataFrame:
+    """(by, a, b) of the pairs a < b of a group whose Jaccard similarity may be `least` or more: they share one of their rarest members.
+
+    Members are ordered by how few rows of the group hold them. Two sets of such a similarity share at least ceil(least * n) members of the one with n, so one of its first n - ceil(least * n) + 1 is
+    also among the first of the other; only those are joined, sizes that are too far apart are not paired, and pairs still have to be verified. Empty and null sets pair with nothing.
+    """
+    held = sets.select(by, key, F.explode(F.array_distinct(members)).alias("member"))
+    rare = held.groupBy(by, "member").agg(F.count(F.lit(1)).alias("n"))
+    ranked = held.join(rare, [by, "member"]).groupBy(by, key).agg(F.array_sort(F.collect_list(F.struct("n", "member"))).alias("m"))  # a set's own members
+    n = F.size("m")
+    # a hair below, so that a product that should be whole isn't taken for more
+    first = ranked.select(by, key, n.alias("size"), F.posexplode(F.slice("m", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("at", "x")).select(by, key, "size", F.col("x.member").alias("member"))
+    other = first.select(by, F.col(key).alias("b"), F.col("size").alias("size_b"), "member")
+    fit = (F.col("a") < F.col("b")) & (F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9)
+    return first.withColumnRenamed(key, "a").join(other, [by, "member"]).filter(fit).select(by, "a", "b").distinct()
+
+
+def event_links(events: DataFrame, by: str, index: str, key: str, vector: str, members: str, strong: float = 0.75, overlap: float = 0.30, following: bool = True) -> DataFrame:
+    """`linked(event_pairs(...))` over all pairs of a group, without a join of all pairs: pairs of keys come from three searches, and vectors and members meet them last.
+
+    Neighbours in dense order come from a join on the position, overlapping sets from `overlapping_pairs`, and similar vectors from `similar_pairs`, matrix products of blocks.
+    """
+    placed = cut(events.select(by, key, F.dense_rank().over(Window.partitionBy(by).orderBy(index)).alias("_p")))
+    spot = lambda c, p: placed.select(by, F.col(key).alias(c), F.col("_p").alias(p))
+    # similarities are compared after they are rounded to four places
+    near = similar_pairs(events.select(by, key, vector).filter(F.col(vector).isNotNull()), by, key, vector, strong - 6e-5).select(by, "a", "b")
+    found = near.unionByName(overlapping_pairs(events.select(by, key, members), by, key, members, max(overlap - 6e-5, 1e-6)))
+    if following:
+        found = found.unionByName(spot("a", "pa").withColumn("_p", F.col("pa") + 1).join(placed.withColumnRenamed(key, "b"), [by, "_p"]).select(by, "a", "b"))
+    pairs = found.select(by, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    pairs = pairs.join(spot("x", "px"), [by, "x"]).join(spot("y", "py"), [by, "y"]).filter("px <> py")
+    turned = F.col("px") > F.col("py")
+    ordered = cut(pairs.select(by, F.when(turned, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("b"), F.least("px", "py").alias("pa"), F.greatest("px", "py").alias("pb")))
+    side = lambda c: events.select(by, F.col(key).alias(c), F.col(vector).alias(f"v{c}"), F.col(members).alias(f"m{c}"))
+    return linked(_compared(ordered.join(side("a"), [by, "a"]).join(side("b"), [by, "b"]), by), strong, overlap, following)
+
+
+def _compared(pairs: DataFrame, by: str) -> DataFrame:
+    """Similarity, shared members and Jaccard of pairs with their vectors (va, vb) and members (ma, mb)."""
     shared, union = F.size(F.array_intersect("ma", "mb")), F.size(F.array_union("ma", "mb"))
     return pairs.select(by, "a", "b", "pa", "pb", F.round(V.cosine(F.col("va"), F.col("vb")), 4).alias("similarity"), shared.alias("shared"), F.round(F.try_divide(shared.cast("double"), union.cast("double")), 4).alias("jaccard"))
 
@@ -151,19 +193,20 @@ def linked(pairs: DataFrame, strong: float = 0.75, overlap: float = 0.30, follow
 
 
 def community_votes(events: DataFrame, members: DataFrame, by: str, key: str, start: Column) -> DataFrame:
-    """(event, community, method): the community that shares most members, ties to the first; else that of the nearest event in time that has one.
+    """(event, community, shared, method): the community that shares most members, ties to the first, and how many; else that of the nearest event in time that has one, else the first of all.
 
     `events` explode to (by, key, member); fallbacks look at the nearest voted event on either side, by two windows, never at all pairs.
     """
     voted = events.join(members, "member").groupBy(by, key, "community").agg(F.countDistinct("member").alias("votes"))
-    best = voted.groupBy(by, key).agg(F.max_by("community", F.struct("votes", (-F.col("community")).alias("c"))).alias("community"))
+    best = voted.groupBy(by, key).agg(F.max_by("community", F.struct("votes", (-F.col("community")).alias("c"))).alias("community"), F.max("votes").alias("shared"))
     every = events.groupBy(by, key).agg(F.min(start).alias("t")).join(best, [by, key], "left")
     w = Window.partitionBy(by).orderBy("t", key)
     anchor = F.when(F.col("community").isNotNull(), F.struct("t", "community"))
     near = every.withColumn("before", F.last(anchor, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(anchor, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     nearer = F.when(F.col("after.t").isNull() | (F.col("t") - F.col("before.t") <= F.col("after.t") - F.col("t")), F.col("before.community")).otherwise(F.col("after.community"))
     method = F.when(F.col("community").isNotNull(), "vote").when(nearer.isNotNull(), "nearest").otherwise("default")
-    return near.select(by, key, F.coalesce("community", nearer, F.lit(0)).alias("community"), method.alias("method"))
+    first = members.agg(F.min("community").alias("_first"))  # one row
+    return near.join(F.broadcast(first)).select(by, key, F.coalesce("community", nearer, "_first").alias("community"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), method.alias("method"))
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:

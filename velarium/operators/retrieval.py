@@ -21,6 +21,7 @@ from velarium.operators import search as S
 from velarium.operators.scope import above, in_scope, top
 from velarium.operators.textindex import TextIndex
 from velarium.plans.registry import Registry, Results
+from velarium.shared import cut
 
 CATALOGUE = Registry()
 #: Collections of the knowledge graph in their order (fixed values).
@@ -189,6 +190,7 @@ def retrieve_for_rag(session: Session, query: str, video_ids: list[str] | None =
         if name in session.collections:
             parts.append(_tagged(session, name, semantic(session, name, query, n[name], video_ids, least)).select(F.lit(name).alias("section"), "key", "video_id", "label", "score"))
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.col("score").desc(), "key")))
+    ranked = cut(ranked)  # a few rows, asked again for the seeds of the graph's section
     if traversal and session.edges is not None:
         first = [r["key"] for r in ranked.filter("section = 'entities' AND rank <= 3").orderBy("rank").select("key").collect()]
         around = [traverse_from_entity(session, e, depth, video_ids).withColumn("_seed", F.lit(k)) for k, e in enumerate(first)]

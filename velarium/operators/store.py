@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def one_of_each(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Of rows with equal keys the last by `order` (null orders first); of rows that agree in it, or without it, the last as JSON text. One aggregation that combines map-side."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    last = F.struct(*([F.col(order).isNotNull().alias("known"), F.col(order).alias("order")] if order else []), F.to_json(whole).alias("text"))
+    best = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max_by(whole, last).alias("_r"))
+    return best.select("_r.*")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
-    """Rows of `new` replace rows of `old` with equal keys; of several new rows the greatest version stays. A null key is an error."""
-    if version:
-        latest = Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last())
-        new = new.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
+    """Rows of `new` replace rows of `old` with equal keys; of several new rows one stays, see `one_of_each`. A null key is an error."""
+    new = one_of_each(new, keys, version)
     for k in keys:
         new = new.withColumn(k, F.coalesce(F.col(k), F.raise_error(F.lit(f"missing {k}")).cast(new.schema[k].dataType)))
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -87,8 +93,8 @@ def points(rows: DataFrame, key: str, vectors: dict[str, int], payload: list[str
 def inserted_users(users: DataFrame, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Users after a round of logins, and the default groups of the new ones. A new user's id is made of the login id; a login of a known e-mail takes over its user's login id."""
     matched = matched_users(users, logins)
-    fresh = matched.filter("is_new").select(F.concat(F.lit("user_"), F.col("login_id").cast("string")).alias("user_id"), "login_id", "email").dropDuplicates(["login_id"])
-    taken = matched.filter("NOT is_new").select("user_id", F.col("login_id").alias("_login")).dropDuplicates(["user_id"])
+    fresh = matched.filter("is_new").select(F.concat(F.lit("user_"), F.col("login_id").cast("string")).alias("user_id"), "login_id", "email").groupBy("user_id", "login_id").agg(F.min("email").alias("email"))
+    taken = matched.filter("NOT is_new").groupBy("user_id").agg(F.max("login_id").alias("_login"))
     kept = users.join(taken, "user_id", "left").withColumn("login_id", F.coalesce("_login", "login_id")).drop("_login")
     groups = fresh.select(F.concat(F.lit("group_"), F.col("login_id").cast("string")).alias("group_id"), "user_id", F.lit("default").alias("name"))
     return kept.unionByName(fresh.withColumn("user_id", F.col("user_id").cast(users.schema["user_id"].dataType)), allowMissingColumns=True), groups
@@ -116,7 +122,7 @@ def graph_load(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> tuple[di
     state, counts = {}, []
     for name, rows in new.items():
         rows = keyed_edges(rows) if {"src", "dst"} <= set(rows.columns) else rows
-        rows = rows.dropDuplicates(["key"])
+        rows = one_of_each(rows, ["key"])
         state[name] = upsert(old[name], rows, ["key"]) if name in old else rows
         counts.append(rows.agg(F.count(F.lit(1)).alias("inserted")).select(F.lit(name).alias("collection"), "inserted"))
     every = counts[0]

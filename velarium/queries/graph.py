@@ -130,9 +130,8 @@ def _events_of_customers(t):
     SELECT grp, a, b, s + 0.0 AS similarity, shared::int AS shared, CASE WHEN gap = 1 THEN 'NEXT_EVENT' WHEN s >= 0.2 THEN 'SEMANTIC' ELSE 'ENTITY_OVERLAP' END AS edge_type
     FROM l WHERE gap = 1 OR s >= 0.2 OR round(shared::double / u, 4) >= 0.3""")
 def event_link_all_pairs(t):
-    """All pairs of a customer's orders, without a window."""
-    pairs = G.event_pairs(_events_of_customers(t), "grp", "idx", "o", "embedding", "members")
-    return G.linked(pairs, 0.2, 0.3).select("grp", "a", "b", (F.col("similarity") + 0.0).alias("similarity"), "shared", "edge_type")
+    """Links among all orders of a customer, without a window and without a join of all pairs."""
+    return G.event_links(_events_of_customers(t), "grp", "idx", "o", "embedding", "members", 0.2, 0.3).select("grp", "a", "b", (F.col("similarity") + 0.0).alias("similarity"), "shared", "edge_type")
 
 
 @book.query(f"""WITH {_EV.replace('ORDER BY tm, o', 'ORDER BY year(tm) * 12 + month(tm)')}, l AS (SELECT a.grp, a.o AS a, b.o AS b, round(list_cosine_similarity(a.v, b.v), 4) AS s, round(len(list_intersect(a.members, b.members))::double / len(list_distinct(list_concat(a.members, b.members))), 4) AS j
@@ -161,12 +160,12 @@ def event_link_confirmed(t):
     WITH e AS (SELECT o_custkey % 97 AS grp, o_orderkey AS o, epoch(o_orderdate) AS tm, l_partkey AS member FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
     m AS (SELECT p_partkey AS member, p_size % 5 AS community FROM part WHERE p_size > 33),
     v AS (SELECT grp, o, community, count(DISTINCT member) AS votes FROM e JOIN m USING (member) GROUP BY ALL),
-    b AS (SELECT grp, o, first(community ORDER BY votes DESC, community) AS community FROM v GROUP BY ALL),
+    b AS (SELECT grp, o, first(community ORDER BY votes DESC, community) AS community, max(votes) AS shared FROM v GROUP BY ALL),
     x AS (SELECT grp, o, min(tm) AS tm FROM e GROUP BY ALL),
-    y AS (SELECT x.*, community FROM x LEFT JOIN b USING (grp, o)),
+    y AS (SELECT x.*, community, shared FROM x LEFT JOIN b USING (grp, o)),
     z AS (SELECT *, last(CASE WHEN community IS NOT NULL THEN {'t': tm, 'c': community} END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf,
         first(CASE WHEN community IS NOT NULL THEN {'t': tm, 'c': community} END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS af FROM y WINDOW w AS (PARTITION BY grp ORDER BY tm, o))
-    SELECT grp, o, coalesce(community, CASE WHEN af IS NULL OR tm - bf.t <= af.t - tm THEN bf.c ELSE af.c END, 0)::int AS community,
+    SELECT grp, o, coalesce(community, CASE WHEN af IS NULL OR tm - bf.t <= af.t - tm THEN bf.c ELSE af.c END, (SELECT min(community) FROM m))::int AS community, coalesce(shared, 0) AS shared,
         CASE WHEN community IS NOT NULL THEN 'vote' WHEN af IS NOT NULL OR bf IS NOT NULL THEN 'nearest' ELSE 'default' END AS method FROM z""")
 def community_vote(t):
     orders = t("orders").select((F.col("o_custkey") % 97).alias("grp"), F.col("o_orderkey").alias("o"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))

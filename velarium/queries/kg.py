@@ -222,12 +222,15 @@ def media_visual(t):
     return T.view_result(session, handle, "brief", 5, brief=["key", "video_id", "score"]).withColumn("score", F.round("score", 6))
 
 
-@book.query(f"""
+_HYBRID_SQL = f"""
     WITH d AS (SELECT vec_id AS key, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM (SELECT vec_id, {_COS} AS s FROM embeddings) ORDER BY r LIMIT 50),
     p AS (SELECT doc_id AS key, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
     w AS (SELECT key, sum(CASE term WHEN 'the' THEN 0.5 WHEN 'and' THEN 1.5 ELSE 2.0 END) AS s FROM p WHERE term IN ('the', 'and', 'der') GROUP BY key),
     x AS (SELECT key, row_number() OVER (ORDER BY s DESC, key) AS r FROM w ORDER BY r LIMIT 50)
-    SELECT key, round(coalesce(0.7 / (60 + d.r), 0) + coalesce(0.3 / (60 + x.r), 0), 9) AS score FROM d FULL JOIN x USING (key) ORDER BY coalesce(0.7 / (60 + d.r), 0) + coalesce(0.3 / (60 + x.r), 0) DESC, key LIMIT 10""")
+    SELECT key, round(coalesce(0.7 / (60 + d.r), 0) + coalesce(0.3 / (60 + x.r), 0), 9) AS score FROM d FULL JOIN x USING (key) ORDER BY coalesce(0.7 / (60 + d.r), 0) + coalesce(0.3 / (60 + x.r), 0) DESC, key LIMIT 10"""
+
+
+@book.query(_HYBRID_SQL)
 def media_hybrid(t):
     """Speech by meaning and words: weighted reciprocal ranks of a dense and a sparse list."""
     from velarium.functions import text
@@ -238,6 +241,29 @@ def media_hybrid(t):
     return T.audio_hybrid(session, "question", 10).select("key", F.round("score", 9).alias("score"))
 
 
+_MEDIA = {"images_from_caption": "image_captions", "segments_from_vision": "segments"}
+
+
+@book.query(" UNION ALL ".join(f"(SELECT '{tool}' AS tool, vec_id AS key, round({_COS}, 6) AS score FROM embeddings WHERE label = {n + 1} ORDER BY {_COS} DESC, vec_id LIMIT 7)" for n, tool in enumerate(_MEDIA)))
+def media_dense(t):
+    """Images by what their captions say and segments by what they show, each in a video of its own."""
+    rows = t("embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("video_id"), F.lit(None).cast("string").alias("user_id"), "embedding")
+    session = T.Session({c: T.Collection(rows, ()) for c in _MEDIA.values()}, lambda _: QUERY)
+    found = [T.CATALOGUE.tools[f"search.{tool}"](session, "question", 7, [str(n + 1)]).select(F.lit(tool).alias("tool"), "key", F.round("score", 6).alias("score")) for n, tool in enumerate(_MEDIA)]
+    return found[0].unionByName(found[1])
+
+
+@book.query(_HYBRID_SQL)
+def media_events_hybrid(t):
+    """Segments by the captions of their events, by meaning and words."""
+    from velarium.functions import text
+
+    rows = t("embeddings").select(F.col("vec_id").alias("key"), F.lit("v").alias("video_id"), F.lit(None).cast("string").alias("user_id"), "embedding")
+    postings = S.sparse_postings(t("documents"), "doc_id", text.terms(F.col("text"))).select(F.col("doc_id").alias("key"), "term", F.col("tf").alias("weight"))
+    session = T.Session({"segment_captions": T.Collection(rows, (), postings)}, lambda _: QUERY, encode_sparse=lambda _: {"the": 0.5, "and": 1.5, "der": 2.0})
+    return T.segments_from_event(session, "question", 10, hybrid=True).select("key", F.round("score", 9).alias("score"))
+
+
 @book.query()
 def tool_catalogue(t):
     """The catalogue of tools: name, signature, first line of the documentation."""
@@ -328,6 +354,12 @@ def kg_graph_a(t):
     return K.entity_graph(nodes, _parts(t)["relations"]).withColumn("weight", F.round("weight", 6))
 
 
+@book.query(f"WITH {_GRAPH} SELECT a, b, round(arg_max(w, k), 6) AS weight FROM g WHERE k <= 3 AND a NOT LIKE 'c%' AND b NOT LIKE 'c%' GROUP BY a, b")
+def kg_graph_b(t):
+    """Entities, events of frames and their events; a pair is in one piece only, as the pieces join different kinds of nodes."""
+    return K.micro_graph(_nodes(t).filter("node NOT LIKE 'c%'"), _parts(t)).withColumn("weight", F.round("weight", 6))
+
+
 @book.query(f"WITH {_GRAPH} SELECT a, b, round(CASE WHEN max(k) IN (4, 5) THEN max(w) ELSE arg_max(w, k) END, 6) AS weight FROM g GROUP BY a, b")
 def kg_graph_c(t):
     """All pieces laid over each other; only members and typed edges of events meet on one pair here."""
@@ -353,6 +385,14 @@ def kg_assembled_embeddings(t):
     return out.select("node", "node_type", *[F.round(F.get(c, F.lit(k)).cast("double"), 6).alias(a) for k, (c, a) in enumerate((("entity_only", "a"), ("entity_event", "b"), ("full", "c")))])
 
 
+@book.query("SELECT p_partkey AS key, p_name AS name, round(embedding[1]::double + embedding[64]::double, 5) AS x FROM part LEFT JOIN embeddings ON vec_id = p_partkey")
+def kg_attached(t):
+    """Nodes with their vectors by key; those without one stay."""
+    vectors = t("embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    out = K.attached(t("part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")), vectors)
+    return out.select("key", "name", F.round(F.get("embedding", F.lit(0)).cast("double") + F.get("embedding", F.lit(63)).cast("double"), 5).alias("x"))
+
+
 @book.query("SELECT l_orderkey AS src, unnest(list_distinct(list(l_partkey))) AS dst FROM lineitem GROUP BY l_orderkey")
 def kg_event_entities(t):
     """Edges of events to their entities."""

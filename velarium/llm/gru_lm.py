@@ -149,7 +149,7 @@ class Gru:
         steps, lanes = inputs.shape
         starts, both, one, half = fresh.any(1), 2 * HIDDEN, np.float32(1), np.float32(0.5)
         given, back = dout.transpose(2, 0, 1), np.ascontiguousarray(self.u.T)
-        dx = np.empty((3 * HIDDEN, steps, lanes), np.float32)
+        dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)  # a row for each input, so that rows of a symbol are moved whole
         dh, da = np.zeros((HIDDEN, lanes), np.float32), np.empty((3 * HIDDEN, lanes), np.float32)
         slope, w, dn = np.empty((both, lanes), np.float32), np.empty((both, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -174,8 +174,8 @@ class Gru:
             slope *= slope
             slope *= half
             da[:both] *= slope
-            dx[:both, t] = da[:both]
-            dx[both:, t] = dn
+            dx[t, :, :both] = da[:both].T
+            dx[t, :, both:] = dn.T
             grads.u += da @ h.T
             dh += back @ da
             if starts[t]:
@@ -183,7 +183,7 @@ class Gru:
         flat = inputs.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         symbols, first = np.unique(flat[order], return_index=True)
-        grads.inputs[:, symbols] += np.add.reduceat(dx.reshape(3 * HIDDEN, -1).take(order, axis=1), first, axis=1)
+        grads.inputs[:, symbols] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN).take(order, axis=0), first, axis=0).T
 
 
 def _inputs(symbols: np.ndarray, owner: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def _inputs(symbols: np.ndarray, owner: np.ndarray, end: int) -> tuple[np.ndarra
     return before, fresh
 
 
-def score_texts(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 256, window: int = 64) -> np.ndarray:
+def score_texts(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 160, window: int = 64) -> np.ndarray:
     """Natural log probability of each symbol sequence."""
     symbols, owner = lanes_of(texts, max(1, min(lanes, len(texts))))
     before, fresh = _inputs(symbols, owner, end)
@@ -449,7 +449,7 @@ def fit_encoded(rows: DataFrame, vocab: Vocabulary, seed_tokens: int = 300_000,
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, adam, seen = Gru(shipped.value.copy()), Adam(), 0
         for batch in grouped(batches, 0, 2_000_000):
-            seen += train_texts(own, _sequences(batch.column(0)), end, rate, lanes=256, adam=adam)
+            seen += train_texts(own, _sequences(batch.column(0)), end, rate, lanes=160, adam=adam)
         if seen:
             yield row(TaskContext.get().partitionId(), seen, own.flat)
 

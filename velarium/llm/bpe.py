@@ -6,7 +6,9 @@ not empty. Find-first-set on the upper and the lower word gives the next rank. A
 its pair has another rank by now; such entries are skipped. A merge adds at most two entries, so a piece of n bytes costs
 O(n) queue operations, however long it is.
 
-Null and empty texts give no ids. Ids are whole-text results; decoding goes from the ids back to bytes.
+Null and empty texts give no ids. Ids are whole-text results; decoding goes from the ids back to bytes. Texts of any length are read whole, and a piece of any length is one list in a task. Rows
+that repeat id and text are encoded each. An empty table gives an empty result. Other columns stay as they are, whatever their names, but for a column with the name of the result's, which it replaces. The
+rank file has to be at the same path on every executor.
 """
 
 from __future__ import annotations

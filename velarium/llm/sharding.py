@@ -9,7 +9,8 @@ Only the counts by ring place reach the driver (`ring_slots` rows, whatever the
 (place, first rank, shard), which are broadcast. Ranks inside a place come from windows over chunks of bounded size, so
 that a place, or one id repeated by a third of the rows, is spread over tasks. Rows with equal id and text are interchangeable.
 
-Null texts have size 8 and the CRC-32 of the empty text; null ids are placed like any other. An empty table gives an empty result.
+Null texts have size 8 and the CRC-32 of the empty text; null ids are placed like any other. Rows that repeat both id and text get slots of their own. Texts of any length count by all their bytes.
+Columns other than id and text are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

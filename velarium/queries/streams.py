@@ -40,4 +40,19 @@ def stream_session_state(t):
     return last.select("user_id", "s.n", F.round("s.total", 4).alias("total"), "s.changes")
 
 
+@book.query("""
+    WITH e AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER w OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    b AS (SELECT *, sum(fresh::int) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS number FROM e),
+    g AS (SELECT user_id, number, any_value(event_type) AS kind, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total, min(ts) AS started, max(ts) AS ended FROM b GROUP BY user_id, number)
+    SELECT user_id, number::bigint AS number, kind, n, total, started::timestamp AS started, ended::timestamp AS ended FROM g
+    QUALIFY number < max(number) OVER (PARTITION BY user_id) OR epoch_us(ended) + 86400000000 < (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")
+def stream_session_blocks(t):
+    """Blocks of sessions by state, timers and RocksDB; those still open at the end are not there."""
+    stream, spark = _stream(t)
+    S.with_rocksdb(spark)
+    out = S.run_to_table(S.session_blocks(stream), spark, "blocks")
+    stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("user_id", "number", "kind", "n", F.round("total", 4).alias("total"), stamp("started"), stamp("ended"))
+
+
 QUERIES, ORACLE_SQL = book.queries, book.sql

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from velarium.shared import own_dir
+from velarium.shared import own_dir, ship
 
 
 def event_stream(spark: SparkSession, path: str, schema, names: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -49,6 +50,68 @@ def session_totals(events: DataFrame, key: str = "user_id", value: str = "value"
     return events.groupBy(key).applyInPandasWithState(step, f"{key} long, n long, total double, changes long", "n long, total double, changes long, last string", "update", "NoTimeout")
 
 
+class _Blocks(StatefulProcessor):
+    """Open block of each session in value state; a change of type, a gap, or a timer after it closes the block."""
+
+    def __init__(self, key: str, idle: int) -> None:
+        self.key, self.idle = key, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.block = handle.getValueState("open", "number long, kind string, n long, total double, first long, last long")
+
+    def _closed(self, k: tuple, block: tuple) -> dict:
+        number, kind, n, total, first, last = block
+        return {self.key: k[0], "number": number, "kind": kind, "n": n, "total": total, "started": pd.Timestamp(first, unit="us"), "ended": pd.Timestamp(last, unit="us")}
+
+    def _due(self, last: int) -> int:
+        return (last + self.idle) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        block, out = (tuple(self.block.get()) if self.block.exists() else None), []
+        if block is not None:
+            self.handle.deleteTimer(self._due(block[5]))
+        for kind, at, v in zip(events["event_type"], events["ts"].astype("datetime64[us]").astype("int64"), events["value"], strict=True):
+            v = 0.0 if v is None or v != v else float(v)
+            if block is not None and block[1] == kind and at - block[5] <= self.idle:
+                block = (block[0], kind, block[2] + 1, block[3] + v, block[4], int(at))
+            else:
+                if block is not None:
+                    out.append(self._closed(key, block))
+                block = ((block[0] if block is not None else 0) + 1, kind, 1, v, int(at), int(at))
+        self.block.update(block)
+        self.handle.registerTimer(self._due(block[5]))
+        if out:
+            yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.block.exists():
+            block = tuple(self.block.get())
+            self.block.clear()
+            yield pd.DataFrame([self._closed(key, block)])
+
+    def close(self) -> None:
+        pass
+
+
+def session_blocks(events: DataFrame, key: str = "user_id", idle_seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """Blocks of a session: runs of one type without a gap beyond `idle_seconds`, as (key, number, kind, n, total, started, ended), each when it is closed.
+
+    A change of type or a gap closes a block; so does the watermark once it is past the block's end and the gap, and then the session's state goes (a session that comes back counts its blocks from 1). Needs
+    the RocksDB state store (`with_rocksdb`). The rows of a session in one micro-batch are sorted in a task; what is kept between batches is one block a session.
+    """
+    ship(events.sparkSession)
+    kind = events.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, number long, kind string, n long, total double, started timestamp, ended timestamp"
+    return events.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(_Blocks(key, idle_seconds * 1_000_000), schema, "Append", "EventTime")
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """State of the session's streams in RocksDB from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read the result back.
 

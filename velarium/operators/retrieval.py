@@ -18,7 +18,8 @@ from velarium.functions import text as T
 from velarium.functions import vector as V
 from velarium.operators import graph as G
 from velarium.operators import search as S
-from velarium.operators.scope import above, in_scope, top
+from velarium.operators import temporal
+from velarium.operators.scope import above, in_scope, page, top
 from velarium.operators.textindex import TextIndex
 from velarium.plans.registry import Registry, Results
 from velarium.shared import cut
@@ -291,6 +292,66 @@ def get_ocr_by_video(session: Session, video_id: str, limit: int = 1000) -> Data
     return S.text_of_video(session.collections["ocr"].rows, "video_id", video_id, "frame_index", limit, user_id=session.user_id)
 
 
+# what stands around a hit, and what there is of a video
+
+
+def _of_video(session: Session, name: str, video_id: str) -> DataFrame:
+    return in_scope(session.collections[name].rows, video_id=video_id, user_id=session.user_id)
+
+
+@CATALOGUE.add("utility")
+def related_speech_of_segment(session: Session, video_id: str, start: float, end: float, window: float = 10.0) -> DataFrame:
+    """Speech within some seconds of a segment; rows have start_sec and end_sec."""
+    return without_vectors(temporal.around(_of_video(session, "audio_transcripts", video_id), start, end, window))
+
+
+@CATALOGUE.add("utility")
+def related_speech_of_image(session: Session, video_id: str, at: float, window: float = 10.0) -> DataFrame:
+    """Speech within some seconds of an image."""
+    return without_vectors(temporal.around(_of_video(session, "audio_transcripts", video_id), at, at, window))
+
+
+@CATALOGUE.add("utility")
+def adjacent_segments(session: Session, video_id: str, pivot_start: int, pivot_end: int, hop: int = 1, forward: bool = True, include_range: bool = True) -> DataFrame:
+    """The segments after or before one, by frames (start_frame, end_frame)."""
+    return without_vectors(temporal.neighbours(_of_video(session, "segment_captions", video_id), pivot_start, pivot_end, hop, forward, include_range, "key", "start_frame", "end_frame"))
+
+
+@CATALOGUE.add("utility")
+def adjacent_images(session: Session, video_id: str, frame_index: int, hop: int = 1, forward: bool = True, include_range: bool = True) -> DataFrame:
+    """The images at or after a frame, or at or before it."""
+    return without_vectors(temporal.neighbour_images(_of_video(session, "images", video_id), frame_index, hop, forward, include_range))
+
+
+@CATALOGUE.add("video")
+def list_user_videos(session: Session, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the user's videos in the order of their keys."""
+    return page(in_scope(session.collections["videos"].rows, user_id=session.user_id), [F.col("key")], limit, offset)
+
+
+@CATALOGUE.add("video")
+def get_video_metadata(session: Session, video_id: str) -> DataFrame:
+    """The row of a video; a video that isn't there is an error."""
+    row = in_scope(session.collections["videos"].rows, key=video_id, user_id=session.user_id).limit(1)
+    if row.isEmpty():
+        raise KeyError(f"no video {video_id}")
+    return row
+
+
+@CATALOGUE.add("video")
+def get_video_timeline(session: Session, video_id: str, granularity: str = "segment") -> DataFrame:
+    """Segments in the order of their frames, shots with their numbers, or minutes with how many segments begin in them and the first one's caption."""
+    if granularity == "shot":
+        order = Window.partitionBy("video_id").orderBy("start_frame", "end_frame")
+        return _of_video(session, "shots", video_id).select("video_id", F.row_number().over(order).alias("shot_number"), "start_frame", "end_frame").orderBy("shot_number")
+    rows = _of_video(session, "segment_captions", video_id)
+    if granularity == "minute":
+        return temporal.minute_timeline(rows, "video_id", "start_sec", "caption", "key").orderBy("minute")
+    if granularity != "segment":
+        raise ValueError(f"no granularity {granularity}")
+    return without_vectors(rows).orderBy("start_frame", "key")
+
+
 def call(session: Session, name: str, **args) -> str:
     """Run a tool of the catalogue and keep its result; the handle hangs on the tool, all arguments and the session's scope."""
     rows = CATALOGUE.tools[name](session, **args)

@@ -264,6 +264,48 @@ def media_events_hybrid(t):
     return T.segments_from_event(session, "question", 10, hybrid=True).select("key", F.round("score", 9).alias("score"))
 
 
+def _video(t):
+    """Orders' lines as segments, images, speech and shots of their customer's video."""
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key")
+    begin = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10
+    base = lines.select(key, F.concat(F.lit("v"), F.col("o_custkey") % 5).alias("video_id"), F.lit("u").alias("user_id"), begin.alias("start_frame"), (begin + F.col("l_linenumber")).alias("end_frame"), (begin / 4.0).alias("start_sec"), (begin / 4.0 + F.col("l_linenumber")).alias("end_sec"), begin.alias("frame_index"), F.col("o_orderpriority").alias("caption"))
+    videos = t("customer").select(F.concat(F.lit("v"), "c_custkey").alias("key"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") < 13, "u").otherwise("w").alias("user_id"))
+    return T.Session({**{n: T.Collection(base, ("caption",)) for n in ("segment_captions", "audio_transcripts", "images", "shots")}, "videos": T.Collection(videos, ("name",))}, lambda _: QUERY, user_id="u")
+
+
+_SEG = "seg AS (SELECT l_orderkey * 10 + l_linenumber AS key, 'v' || o_custkey % 5 AS video_id, l_orderkey * 100 + l_linenumber * 10 AS f0, l_orderkey * 100 + l_linenumber * 11 AS f1, (l_orderkey * 100 + l_linenumber * 10) / 4.0 AS s0, l_linenumber AS n, o_orderpriority AS caption FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+
+
+@book.query(f"""WITH {_SEG}
+    SELECT 'speech' AS tool, key, s0::double AS at FROM seg WHERE video_id = 'v2' AND s0 <= 5020 + 30 AND s0 + n >= 5000 - 30
+    UNION ALL SELECT 'image speech', key, s0::double FROM seg WHERE video_id = 'v1' AND s0 <= 7000 + 50 AND s0 + n >= 7000 - 50
+    UNION ALL (SELECT 'segments', key, f0::double FROM seg WHERE video_id = 'v3' AND f0 >= 20000 ORDER BY f0, key LIMIT 4)
+    UNION ALL (SELECT 'images', key, f0::double FROM (SELECT *, row_number() OVER (ORDER BY f0 DESC, key) AS r FROM seg WHERE video_id = 'v3' AND f0 <= 30000) WHERE r = 3)""")
+def media_context_tools(t):
+    """Speech around a segment and an image, and neighbours of a segment and an image, by the tools of the catalogue."""
+    session = _video(t)
+    of = lambda name, rows, at: rows.select(F.lit(name).alias("tool"), "key", F.col(at).cast("double").alias("at"))
+    found = of("speech", T.related_speech_of_segment(session, "v2", 5000.0, 5020.0, 30.0), "start_sec").unionByName(of("image speech", T.related_speech_of_image(session, "v1", 7000.0, 50.0), "start_sec"))
+    found = found.unionByName(of("segments", T.adjacent_segments(session, "v3", 19_990, 20_000, 4), "start_frame"))
+    return found.unionByName(of("images", T.adjacent_images(session, "v3", 30_000, 3, False, False), "frame_index"))
+
+
+@book.query(f"""WITH {_SEG}
+    SELECT 'shot' AS tool, row_number() OVER (ORDER BY f0, f1) AS n, f0::varchar AS label FROM seg WHERE video_id = 'v4'
+    UNION ALL SELECT 'minute', floor(s0 / 60)::bigint, arg_min(caption, (s0, key)) || count(*) FROM seg WHERE video_id = 'v4' GROUP BY floor(s0 / 60)::bigint
+    UNION ALL SELECT 'segment', key, caption FROM seg WHERE video_id = 'v4'
+    UNION ALL (SELECT 'videos', c_custkey, c_name FROM customer WHERE c_nationkey < 13 ORDER BY 'v' || c_custkey LIMIT 7 OFFSET 3)""")
+def media_video_tools(t):
+    """Timelines of a video by shot, minute and segment, and a page of the user's videos, by the tools of the catalogue."""
+    session = _video(t)
+    of = lambda name, rows, n, label: rows.select(F.lit(name).alias("tool"), n.cast("long").alias("n"), label.cast("string").alias("label"))
+    found = of("shot", T.get_video_timeline(session, "v4", "shot"), F.col("shot_number"), F.col("start_frame"))
+    found = found.unionByName(of("minute", T.get_video_timeline(session, "v4", "minute"), F.col("minute"), F.concat("caption", F.col("n").cast("string"))))
+    found = found.unionByName(of("segment", T.get_video_timeline(session, "v4"), F.col("key"), F.col("caption")))
+    return found.unionByName(of("videos", T.list_user_videos(session, 7, 3), F.substring("key", 2, 20), F.col("name")))
+
+
 @book.query()
 def tool_catalogue(t):
     """The catalogue of tools: name, signature, first line of the documentation."""

@@ -140,3 +140,11 @@ def test_fan_out_keeps_the_best_score(spark):
     rows = {"a": [(1, 0.5), (2, 0.1)], "b": [(1, 0.7)]}
     found = models.fan_out(["a", "b", "a"], lambda q: spark.createDataFrame(rows[q], "k int, score double"), "k")
     assert {r["k"]: r["score"] for r in found.collect()} == {1: 0.7, 2: 0.1}
+
+
+def test_a_model_that_always_fails_is_an_error(spark):
+    def broken(part):
+        raise ValueError("down")
+
+    with pytest.raises(Exception, match="calls of a batch failed"):
+        models.in_batches(spark.range(10).coalesce(1), "id", broken, "long", "y", size=4).collect()

@@ -46,19 +46,24 @@ def fan_out(queries: list[str], search: Callable[[str], DataFrame], key: str) ->
     return every.groupBy(key).agg(F.max("score").alias("score"))
 
 
-def in_batches(rows: DataFrame, column: str, call: Callable[[list], list], kind: str, out: str, size: int = 32) -> DataFrame:
-    """Rows with a model's answer, `size` values a call; a call that fails gives nulls for its values and the others go on."""
+def in_batches(rows: DataFrame, column: str, call: Callable[[list], list], kind: str, out: str, size: int = 32, tries: int = 2) -> DataFrame:
+    """Rows with a model's answer, `size` values a call; a call that fails `tries` times gives nulls for its values and the others go on. A task all of whose calls fail is an error, so a broken model shows."""
 
     answer = to_arrow_type(_parse_datatype_string(kind))
 
     def run(values: pa.Array) -> pa.Array:
-        found: list = []
+        found, failed, last = [], 0, None
         for k in range(0, len(values), size):
             part = values.slice(k, size).to_pylist()
-            try:
-                found += call(part)
-            except Exception:  # noqa: BLE001
-                found += [None] * len(part)
+            for attempt in range(tries):
+                try:
+                    found += call(part)
+                    break
+                except Exception as e:  # noqa: BLE001
+                    if attempt == tries - 1:
+                        found, failed, last = found + [None] * len(part), failed + 1, e
+        if failed > 1 and failed == -(-len(values) // size):
+            raise RuntimeError(f"all {failed} calls of a batch failed") from last
         return pa.array(found, answer)
 
     return rows.withColumn(out, F.arrow_udf(run, kind)(F.col(column)))

@@ -46,7 +46,7 @@ def typed_hits(t):
 @book.query("SELECT row_number() OVER (ORDER BY vec_id) AS rank, 0.5::double AS score, 'v' || label AS video_id, vec_id AS t0, vec_id + 2 AS t1, vec_id * 25 AS f0, 'seg ' || vec_id AS caption FROM embeddings")
 def shown_segments(t):
     """Segments in the shape a client shows, taken apart again."""
-    rows = t("embeddings").select(F.row_number().over(Window.orderBy("vec_id")).cast("long").alias("rank"), F.lit(0.5).alias("score"), F.concat(F.lit("v"), "label").alias("video_id"), F.col("vec_id").alias("start_time"), (F.col("vec_id") + 2).alias("end_time"), (F.col("vec_id") * 25).alias("frame_start"), (F.col("vec_id") * 25 + 50).alias("frame_end"), F.concat(F.lit("seg "), "vec_id").alias("caption"))
+    rows = metrics.numbered(t("embeddings").select("vec_id", "label"), ["vec_id"]).select((F.col("number") + 1).cast("long").alias("rank"), F.lit(0.5).alias("score"), F.concat(F.lit("v"), "label").alias("video_id"), F.col("vec_id").alias("start_time"), (F.col("vec_id") + 2).alias("end_time"), (F.col("vec_id") * 25).alias("frame_start"), (F.col("vec_id") * 25 + 50).alias("frame_end"), F.concat(F.lit("seg "), "vec_id").alias("caption"))
     return records.shown(rows, "segment").select("rank", "score", "video_id", F.col("time_start").alias("t0"), F.col("time_end").alias("t1"), F.col("frames.start").alias("f0"), "caption")
 
 

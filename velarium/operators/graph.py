@@ -419,13 +419,8 @@ def walks(edges: DataFrame, per_node: int = 10, length: int = 80, weighted: bool
     return now.select("walk", "path")
 
 
-def node_embeddings(paths: DataFrame, size: int = 128, window: int = 10, seed: int = 42, least: int = 1) -> DataFrame:
-    """(node, vector) of a skip-gram model over walks; without walks there are no vectors."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.linalg import VectorUDT
-
-    sentences = cut(paths.select(F.col("path").cast("array<string>").alias("sentence")))
-    if sentences.isEmpty():
-        return sentences.select(F.lit("").alias("node"), F.lit(None).cast(VectorUDT()).alias("vector"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, seed=seed, inputCol="sentence", outputCol="v", maxIter=1).fit(sentences)
-    return model.getVectors().select(F.col("word").alias("node"), "vector")
+def node_embeddings(paths: DataFrame, size: int = 128, window: int = 10, seed: int = 42, least: int = 1, **options) -> DataFrame:
+    """(node, vector) of a skip-gram model with negative sampling over walks, see `skipgram.skip_gram`; without walks there are no vectors."""
+    from velarium.operators.skipgram import skip_gram
+
+    return skip_gram(paths, size, window, seed=seed, least=least, **options)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velarium.operators.metrics import numbered
+
 #: What an uploaded video may call itself (fixed values).
 VIDEO_TYPES = (
     "video/mp4",
@@ -195,3 +197,21 @@ def icon(name: Column) -> Column:
     plain = F.regexp_replace(F.lower(name), r"\s+", "_")
     found = [F.when(F.contains(plain, F.lit(part)), F.lit(shown)) for part, shown in ICONS.items()]
     return F.coalesce(*found, F.lit(ICONS["default"]))
+
+
+def _places(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows with `_place`, their number within their group; null where a group's key is null. No group is sorted in one task."""
+    placed = numbered(rows, [*by, *order], "_number")
+    first = placed.groupBy(*by).agg(F.min("_number").alias("_first"))
+    return placed.join(first, by, "left").withColumn("_place", F.col("_number") - F.col("_first")).drop("_number", "_first")
+
+
+def ordinal_join(left: DataFrame, right: DataFrame, value: str, by: list[str], order: list[str], other: list[str] | None = None) -> DataFrame:
+    """Rows of `left` with the array `value` of the row of `right` at the same place of their group, or an empty array where the right side is shorter.
+
+    Places are counted within `by`, by `order` on the left and `other` (the same names by default) on the right; the orders must be total for places to be sure. Rows of the right side beyond the left one's
+    last go, a null array counts as empty, and a row whose group has a null key has no partner.
+    """
+    short = _places(right.select(*dict.fromkeys([*by, *(other or order), value])), by, other or order).select(*by, "_place", F.col(value).alias("_value"))
+    both = _places(left.drop(value), by, order).join(short, [*by, "_place"], "left")
+    return both.withColumn(value, F.coalesce("_value", F.array().cast(right.schema[value].dataType))).drop("_place", "_value")

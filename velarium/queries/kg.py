@@ -502,4 +502,61 @@ def tool_icons(t):
     return t("events").select("event_id", R.icon(name).alias("icon"))
 
 
+def _typed(t):
+    """Parts as entities, orders as events, nations as communities, of seven videos; lines and orders as edges between them."""
+    video = lambda c: F.concat(F.lit("v"), (F.col(c) % 7).cast("string")).alias("video_id")
+    key = lambda c: F.col(c).cast("string")
+    nations = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return {
+        "entities": t("part").select(key("p_partkey").alias("key"), video("p_size"), "p_name"),
+        "events": t("orders").select(key("o_orderkey").alias("key"), video("o_custkey"), "o_orderpriority"),
+        "communities": t("nation").select(key("n_nationkey").alias("key"), video("n_nationkey"), "n_name"),
+        "event_entities": t("lineitem").select(key("l_orderkey").alias("src"), key("l_partkey").alias("dst"), F.col("l_returnflag").alias("edge_type")),
+        "event_communities": nations.select(key("o_orderkey").alias("src"), key("c_nationkey").alias("dst"), F.lit("IN").alias("edge_type")),
+    }
+
+
+_TYPED = """
+    ent AS (SELECT p_partkey AS key, p_size % 7 AS video FROM part), evt AS (SELECT o_orderkey AS key, o_custkey % 7 AS video FROM orders), com AS (SELECT n_nationkey AS key, n_nationkey % 7 AS video FROM nation),
+    ee AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, l_returnflag AS edge_type FROM lineitem), ec AS (SELECT DISTINCT o_orderkey AS src, c_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+@book.query(f"""
+    WITH {_TYPED}
+    SELECT 'entities' AS collection, count(*) AS deleted FROM ent WHERE video IN (1, 4) UNION ALL SELECT 'events', count(*) FROM evt WHERE video IN (1, 4) UNION ALL SELECT 'communities', count(*) FROM com WHERE video IN (1, 4)
+    UNION ALL SELECT 'event_entities', count(*) FROM ee WHERE src IN (SELECT key FROM evt WHERE video IN (1, 4)) OR dst IN (SELECT key FROM ent WHERE video IN (1, 4))
+    UNION ALL SELECT 'event_communities', count(*) FROM ec WHERE src IN (SELECT key FROM evt WHERE video IN (1, 4)) OR dst IN (SELECT key FROM com WHERE video IN (1, 4))""")
+def kg_store_deleted(t):
+    """A graph loaded twice into a stored, checked state, then two videos deleted: the rows that each collection lost."""
+    from velarium.operators.graphstore import GraphStore
+
+    spark = t("part").sparkSession
+    store, rows = GraphStore(spark, f"{own_dir(spark)}/graph-{uuid.uuid4().hex}"), _typed(t)
+    store.load(rows)
+    store.load({n: rows[n] for n in ("event_entities", "event_communities")})
+    return store.delete_videos(spark.createDataFrame([("v1",), ("v4",)], "video_id string"))
+
+
+@book.query(f"""
+    WITH {_TYPED}
+    SELECT 'event_entities' AS collection, 'dst' AS side, dst::varchar AS missing, count(*) AS edges FROM ee WHERE dst IN (SELECT key FROM ent WHERE video = 2) GROUP BY dst
+    UNION ALL SELECT 'event_communities', 'dst', dst::varchar, count(*) FROM ec WHERE dst IN (SELECT key FROM com WHERE video = 2) GROUP BY dst""")
+def kg_wrong_edges(t):
+    """Edges that a graph without one video's vertices of two collections would leave without an end, by definition and end."""
+    from velarium.operators import graphstore as GS
+
+    rows = _typed(t) | {n: _typed(t)[n].filter("video_id <> 'v2'") for n in ("entities", "communities")}
+    return GS.wrong_edges(GS.loaded({}, rows)).groupBy("collection", "side", "missing").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@book.query("""
+    WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role = 'assistant')
+    SELECT a.conv_id, a.turn, coalesce(b.turn::varchar || ',' || length(b.text), '') AS vector FROM a LEFT JOIN b ON b.conv_id = a.conv_id AND b.i = a.i""")
+def ordinal_answers(t):
+    """Every turn with a vector of the answer at the same place of its conversation, an empty one where there are fewer answers."""
+    turns = t("conversations").select("conv_id", "turn")
+    answers = t("conversations").filter("role = 'assistant'").select("conv_id", "turn", F.array(F.col("turn").cast("long"), F.length("text").cast("long")).alias("vector"))
+    return R.ordinal_join(turns, answers, "vector", ["conv_id"], ["turn"]).withColumn("vector", F.array_join(F.col("vector").cast("array<string>"), ","))
+
+
 QUERIES, ORACLE_SQL = book.queries, book.sql

@@ -408,6 +408,29 @@ def test_licenses_altered_or_whole_equal_brute_force(spark):
     assert {k: key(v) for k, v in found.items()} == {k: key(v) for k, v in wanted.items()}
 
 
+def test_whole_licenses_headings_and_identifiers(spark):
+    files = license_scan.license_files()
+    assert {n for n, _ in files} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"}
+    rng, rows, wanted = random.Random(4), [], []
+    for name, text in files:
+        words = license_scan.ALNUM.findall(lower(text))
+        # a word in each hundred is another
+        changed = [w if rng.random() > 0.01 else "other" for w in words]
+        rows += [(len(rows), "a b c " * 50 + " ".join(changed) + " d e" * 50), (len(rows) + 1, " ".join(words[: len(words) // 2]))]
+        wanted += [(name, len(words)), None]
+    tags = license_scan.tag_templates() + license_scan.HEADINGS
+    rows += [(len(rows) + k, f"x = 1  // {text}\nrest of it") for k, (_, text) in enumerate(tags)]
+    found = {r["doc_id"]: r["matches"] for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, want in enumerate(wanted):
+        long = [(m["license"], m["end_word"] - m["first_word"]) for m in found[k] if m["end_word"] - m["first_word"] > 500]
+        if want is None:
+            assert long == []
+        else:
+            assert [n for n, _ in long] == [want[0]] and abs(long[0][1] - want[1]) < 20
+    for k, (name, _) in enumerate(tags):
+        assert name in {m["license"] for m in found[len(wanted) + k]}
+
+
 def test_licenses_of_odd_rows(odd):
     found = license_scan.licenses(odd)
     counts = Counter((r["doc_id"], r["n_words"], r["n_matches"]) for r in found.collect())

@@ -17,7 +17,6 @@ gives no matches.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velarium.llm.license_texts import NOTICES, WHOLE
+from velarium.llm.license_texts import HEADINGS, NOTICES, WHOLE, license_files, tag_templates
 from velarium.llm.text_rules import ALNUM, ALNUM_BYTES, grouped, lower_text, words_of
 from velarium.shared import ship
 
-#: Notices of a sentence; `scan` takes whole texts besides.
+#: Notices of a sentence; `scan` takes headings, identifiers, and whole texts besides.
 TEMPLATES = NOTICES
 SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
 
@@ -197,24 +196,31 @@ class Templates:
         """Disjoint (first word, end word, containment) of template k over its shingles and their starts."""
         m, total = self.words[k], len(self.sets[k])
         size, longest = min(SHINGLE, m), longest_passage(m)
-        # from the right: (passages, their shingles, minus their words) that begin at or after each start, and the span taken
-        best: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(at) + 1)
+        number = {w: i for i, w in enumerate(dict.fromkeys(own))}
+        last, before = [-1] * len(number), np.zeros(len(own), np.int64)
+        # the place before each at which its shingle stood
+        for i, w in enumerate(own):
+            before[i], last[number[w]] = last[number[w]], i
+        starts = np.array(at, dtype=np.int64)
+        ends = starts + size
+        # the first place that a passage that ends here leaves free, and the last place that a passage from here may reach
+        free, reach = np.searchsorted(starts, ends), np.searchsorted(ends, starts + longest, side="right")
+        # from the right: passages, their shingles, minus their words, that begin at or after each start, and the span taken
+        best = np.zeros((len(at) + 1, 3), np.int64)
         taken: list[tuple[int, int, float] | None] = [None] * len(at)
         follows = [0] * len(at)
         for i in range(len(at) - 1, -1, -1):
-            best[i], have = best[i + 1], set()
-            for e in range(i, len(at)):
-                end = at[e] + size
-                if end - at[i] > longest:
-                    break
-                have.add(own[e])
-                if len(have) / total < least:
-                    continue
-                then = bisect_left(at, end)
-                rest = best[then]
-                this = (rest[0] + 1, rest[1] + len(have), rest[2] - (end - at[i]))
-                if this > best[i]:
-                    best[i], taken[i], follows[i] = this, (at[i], end, len(have) / total), then
+            best[i] = best[i + 1]
+            have = np.cumsum(before[i : reach[i]] < i)
+            fit = np.flatnonzero(have / total >= least)
+            if not len(fit):
+                continue
+            these = best[free[i + fit]] + np.stack([np.ones(len(fit), np.int64), have[fit], at[i] - ends[i + fit]], axis=1)
+            # the greatest, the first of equal ones
+            e = int(np.lexsort((-np.arange(len(fit)), these[:, 2], these[:, 1], these[:, 0]))[-1])
+            if tuple(these[e]) > tuple(best[i]):
+                end = int(ends[i + fit[e]])
+                best[i], taken[i], follows[i] = these[e], (at[i], end, float(have[fit[e]] / total)), int(free[i + fit[e]])
         out, i = [], 0
         while i < len(at):
             span = taken[i]
@@ -224,13 +230,18 @@ class Templates:
         return out
 
 
+def every_template() -> list[tuple[str, str]]:
+    """The default templates: notices, headings, identifiers and whole texts, some 75 of at most 5,700 words."""
+    return NOTICES + HEADINGS + tag_templates() + WHOLE + license_files()
+
+
 FOUND = "key string, n_words long, matches array<struct<license:string,first_word:int,end_word:int,containment:double>>"
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = CONTAINMENT) -> DataFrame:
     """One row per input row: id, n_words, matches (license, first_word, end_word, containment)."""
     ship(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(NOTICES + WHOLE if templates is None else templates)
+    shipped = docs.sparkSession.sparkContext.broadcast(every_template() if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, names = Templates(shipped.value), ("license", "first_word", "end_word", "containment")

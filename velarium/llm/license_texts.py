@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 #: Notices and headings of a sentence.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -99,3 +101,37 @@ WHOLE = [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
 ]
+
+#: Headings of license texts.
+HEADINGS = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+
+#: Identifiers that files name after "SPDX-License-Identifier:".
+TAGS = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+
+
+def tag_templates() -> list[tuple[str, str]]:
+    """A line of each identifier. One that goes on, as GPL-2.0-only does from GPL-2.0, is found under both."""
+    return [(t, f"SPDX-License-Identifier: {t}") for t in TAGS]
+
+
+def license_files() -> list[tuple[str, str]]:
+    """The license texts in the folder `licenses`, by file name. Read where a scan is planned, not in tasks."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licenses")
+    out = []
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".txt"):
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                out.append((name.removesuffix(".txt"), f.read()))
+    return out

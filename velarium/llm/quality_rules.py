@@ -149,17 +149,24 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, n_bins: i
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, held_out: int = 1, most_rows: int = 20_000) -> Rules:
-    """Fit on labelled rows outside the held-out fold, at most `most_rows` of them."""
-    chosen = (
+    """Fit on labelled rows outside the held-out fold, those of the least hashes, at most `most_rows`. Equal labels of an id count once, and an id has one text."""
+    named = (
         labels.select(F.col(id_col).alias(f"{_P}id"), F.col(label_col).cast("double").alias(f"{_P}y"))
         .filter(F.col(f"{_P}y").isNotNull() & F.col(f"{_P}id").isNotNull() & (fold(F.col(f"{_P}id"), modulus) != held_out))
-        .orderBy(F.xxhash64(f"{_P}id"), f"{_P}id", f"{_P}y")
-        .limit(most_rows)
+        .groupBy(f"{_P}id", f"{_P}y")
+        .agg(F.count(F.lit(1)).alias(f"{_P}n"))
+        .drop(f"{_P}n")
     )
+    # the least hashes, of those below a bound that some 1.2 times as many are expected to pass, so that no task sorts the labels
+    among = named.count()
+    bound = min(1.0, (1.2 * most_rows + 1000) / max(among, 1))
+    order = F.pmod(F.xxhash64(f"{_P}id"), F.lit(1 << 30))
+    chosen = named.filter(order <= int(bound * (1 << 30))).orderBy(order, f"{_P}id", f"{_P}y").limit(most_rows)
     texts = docs.select(F.col(id_col).alias(f"{_P}id"), F.col(text_col).alias(f"{_P}text")).join(F.broadcast(chosen), f"{_P}id")
-    rows = with_statistics(texts, f"{_P}text").select(f"{_P}y", *[f"{_P}{s}" for s in STATISTICS])
-    # repeated rows of an id could exceed the bound
-    table = np.array([tuple(r) for r in rows.limit(2 * most_rows).collect()], dtype=np.float64).reshape(-1, len(STATISTICS) + 1)
+    each = with_statistics(texts, f"{_P}text")
+    # of the texts of an id that repeats the one of least statistics, so that the bound on labels bounds what is collected
+    rows = each.groupBy(f"{_P}id", f"{_P}y").agg(F.min(F.struct(*[f"{_P}{s}" for s in STATISTICS])).alias(f"{_P}s")).select(f"{_P}y", f"{_P}s.*")
+    table = np.array([tuple(r) for r in rows.collect()], dtype=np.float64).reshape(-1, len(STATISTICS) + 1)
     table = table[np.lexsort(table.T)]
     return fit(table[:, 1:], table[:, 0])
 

@@ -231,7 +231,7 @@ class Templates:
 
 
 def every_template() -> list[tuple[str, str]]:
-    """The default templates: notices, headings, identifiers and whole texts, some 75 of at most 5,700 words."""
+    """The default templates: notices, headings, identifiers and whole texts, 69 of at most 5,700 words."""
     return NOTICES + HEADINGS + tag_templates() + WHOLE + license_files()
 
 

@@ -212,8 +212,8 @@ def random_walks(t):
 
 @book.query()
 def node_embeddings(t):
-    """Skip-gram vectors of the nodes of `random_walks`."""
-    return G.node_embeddings(G.walks(_edges(t).select("src", "dst")))
+    """Skip-gram vectors of the nodes of `random_walks`, of one epoch over all pairs."""
+    return G.node_embeddings(G.walks(_edges(t).select("src", "dst")), epochs=1)
 
 
 @book.query(f"""WITH e AS {_E}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), h1 AS (SELECT DISTINCT dst AS node FROM b WHERE src = -2 AND dst <> -2), h2 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM h1) AND dst <> -2),

@@ -182,7 +182,7 @@ def timecode_frames(t):
     return t("documents").select("doc_id", timecode.timecode_to_frame(at, F.lit(25.0)).alias("frame"), F.round(timecode.time_to_seconds(at) * 1000).cast("long").alias("ms"))
 
 
-@book.query("SELECT event_id, 'events::' || event_id AS key, 'k_' || lpad(event_id::varchar, 4, '0') AS numbered FROM events")
+@book.query("SELECT event_id, 'events::' || event_id AS key, printf('k_%04d', event_id) AS numbered FROM events")
 def document_keys(t):
     """Scoped and numbered keys, with and without their collection."""
     plain = keys.strip_collection(F.concat(F.lit("events/"), F.col("event_id").cast("string")))

@@ -6,6 +6,8 @@ import math
 import random
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.comparing import same
@@ -57,3 +59,29 @@ def test_bm25_in_sql_adds_up_in_the_order_of_terms():
         for w in sorted(r):
             score += idf * r[w] * 2.2 / (r[w] + 1.2 * (0.25 + 0.75 * sum(r.values()) / mean))
         assert found[k] == score
+
+
+@pytest.mark.parametrize("sparse", [None, "s"])
+def test_a_large_component_clusters_by_rounds_as_by_its_matrix(spark, sparse):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(2):
+        base, drift = rng.normal(size=6), rng.normal(size=(4, 6)) * 0.6
+        for k in range(120):
+            v = base + drift[k % 4] + rng.normal(size=6) * 0.5
+            rows.append((g, 200 * g + k, [float(x) for x in v], [(int(k % 3), 2.0)]))
+        # forty copies of the first point
+        rows += [(g, 200 * g + 150 + k, rows[-120][2], [(0, 2.0)]) for k in range(40)] if g == 0 else []
+    frame = spark.createDataFrame(rows, "g int, key int, v array<double>, s array<struct<term:int,weight:double>>")
+    cut_at = 0.7
+    found = {most: {r["key"]: r["cluster"] for r in G.resolved_entities(frame, "g", "key", "v", cut_at, sparse, most=most, block=16).collect()} for most in (10, 1000)}
+    assert found[10] == found[1000]
+    for g in range(2):
+        own = [r for r in rows if r[0] == g]
+        x = np.array([r[2] for r in own]) / np.linalg.norm([r[2] for r in own], axis=1, keepdims=True)
+        s = x @ x.T
+        if sparse:
+            s = 0.9 * s + 0.1 * np.array([[float(a[3] == b[3]) for b in own] for a in own])
+        labels = G.average_linkage(np.clip(1 - s, 0, 2), 1 - cut_at)
+        assert 1 < len(set(labels)) < 60
+        assert {frozenset(r[1] for r in own if found[10][r[1]] == c) for c in {found[10][r[1]] for r in own}} == {frozenset(own[i][1] for i in np.flatnonzero(labels == c)) for c in set(labels)}

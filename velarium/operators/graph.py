@@ -6,15 +6,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from velarium.functions import vector as V
 from velarium.operators.components import components
-from velarium.shared import cut, ship
+from velarium.shared import cut, ship, stored
 
 
 def either_way(edges: DataFrame) -> DataFrame:
@@ -227,12 +226,12 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
 # entity resolution
 
 
-def average_linkage(distance: np.ndarray, most: float) -> np.ndarray:
-    """Cluster numbers of average linkage cut at a distance; merges go from the nearest pair on, ties to the first."""
+def average_linkage(distance: np.ndarray, most: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Cluster numbers of average linkage cut at a distance; merges go from the nearest pair on, ties to the first. `sizes` are the points that each row stands for, one by default."""
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
+    size, label = np.ones(n) if sizes is None else np.asarray(sizes, float).copy(), np.arange(n)
     nearest = d.min(1) if n else d
     while n > 1:
         i = int(np.argmin(nearest))
@@ -250,91 +249,197 @@ def average_linkage(distance: np.ndarray, most: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.stack([np.asarray(v, float) for v in rows])
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Unit rows of an array of vectors; a zero vector stays as it is."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _sparse_unit(*sides: list) -> list[np.ndarray]:
-    """Maps of term to weight as unit rows over the terms that any of them has."""
-    terms = {t: k for k, t in enumerate(sorted({t for rows in sides for r in rows for t, _ in r or ()}))}
+def _sparse_matrices(*sides: pa.Array, unit: bool = True) -> list[np.ndarray]:
+    """Arrays of (term, weight) as rows, unit ones by default, over the terms that any of them has; of a term that a row repeats the last weight counts."""
+    rows = [[[tuple(p.values()) for p in r or ()] for r in side.to_pylist()] for side in sides]
+    terms = {t: k for k, t in enumerate(sorted({t for side in rows for r in side for t, _ in r}))}
     out = []
-    for rows in sides:
-        x = np.zeros((len(rows), max(1, len(terms))))
-        for k, r in enumerate(rows):
-            for t, w in r or ():
+    for side in rows:
+        x = np.zeros((len(side), max(1, len(terms))))
+        for k, r in enumerate(side):
+            for t, w in r:
                 x[k, terms[t]] = w
-        out.append(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+        out.append(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if unit else x)
     return out
 
 
+#: Rows of a block in a group of many blocks: a row is sent once for each block of its group.
+WIDE = 1000
+
+
+def _blocks(points: DataFrame, by: str, key: str, cols: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """(by, _block, _blocks, rows) and the pairs of them (rows, others): each with itself (others is null), then with every later one of its group."""
+    n = F.count(F.lit(1))
+    sizes = points.groupBy(by).agg(F.greatest(F.least(F.ceil(n / block), F.lit(8)), F.ceil(n / max(block, WIDE))).cast("int").alias("_blocks"))
+    dealt = points.join(sizes, by).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    blocks = dealt.groupBy(by, "_block", "_blocks").agg(F.array_sort(F.collect_list(F.struct(key, *cols))).alias("rows"))
+    left = blocks.filter("_block < _blocks - 1").withColumn("_other", F.explode(F.sequence(F.col("_block") + 1, F.col("_blocks") - 1)))
+    right = blocks.filter("_block > 0").select(F.col(by).alias("_by"), F.col("_block").alias("_other_block"), F.col("rows").alias("others"))
+    pairs = left.join(right, (F.col(by) == F.col("_by")) & (F.col("_other") == F.col("_other_block"))).select(by, "rows", "others")
+    own = blocks.select(by, "rows").withColumn("others", F.lit(None).cast(blocks.schema["rows"].dataType))
+    return blocks, own.unionByName(pairs)
+
+
+def _sides(frame: pa.RecordBatch, k: int) -> tuple[list[pa.Array], list[pa.Array] | None]:
+    """The columns of the rows of one pair of blocks; None for a block with itself."""
+    part = frame.slice(k, 1)
+    one, two = part.column("rows"), part.column("others")
+    return one.flatten().flatten(), None if two.null_count else two.flatten().flatten()
+
+
+def _products(one: list[pa.Array], two: list[pa.Array] | None, sparse: bool, weights: tuple[float, float]) -> np.ndarray:
+    x = _matrix(one[1])
+    s = x @ (x if two is None else _matrix(two[1])).T
+    if sparse:
+        y = _sparse_matrices(one[2]) * 2 if two is None else _sparse_matrices(one[2], two[2])
+        s = weights[0] * s + weights[1] * (y[0] @ y[1].T)
+    return s
+
+
 def similar_pairs(points: DataFrame, by: str, key: str, vector: str, least: float, sparse: str | None = None, weights: tuple[float, float] = (0.9, 0.1), block: int = 500) -> DataFrame:
     """(by, a, b, similarity) of all pairs a < b of a group whose similarity is `least` or more: cosine, or 0.9 of the dense and 0.1 of the sparse cosine.
 
-    Rows of a group are dealt to blocks of about `block` rows; every pair of blocks is one matrix product in a task, so a task holds two blocks however long the group is.
-    `sparse` is an array of (term, weight) structs.
+    Rows of a group are dealt to blocks of about `block` rows, of WIDE where a group has many; every pair of blocks is one matrix product in a task, so a task holds two blocks however long the
+    group is. A group of one block is joined with nothing. `sparse` is an array of (term, weight) structs.
     """
     ship(points.sparkSession)
     kind = points.schema
     cols = [vector] + ([sparse] if sparse else [])
-    sizes = points.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    dealt = points.join(sizes, by).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
-    blocks = dealt.groupBy(by, "_block", "_blocks").agg(F.array_sort(F.collect_list(F.struct(key, *cols))).alias("rows"))
-    left = blocks.withColumn("_other", F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)))
-    pairs = left.join(blocks.select(F.col(by).alias("_by"), F.col("_block").alias("_other_block"), F.col("rows").alias("others")), (F.col(by) == F.col("_by")) & (F.col("_other") == F.col("_other_block")))
     schema = f"{by} {kind[by].dataType.simpleString()}, a {kind[key].dataType.simpleString()}, b {kind[key].dataType.simpleString()}, similarity double"
 
-    kinds = [to_arrow_type(kind[by].dataType), *[to_arrow_type(kind[key].dataType)] * 2, pa.float64()]
-
     def product(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for row in frame.to_pylist():
-                one, two = row["rows"], row["others"]
-                s = _unit([r[vector] for r in one]) @ _unit([r[vector] for r in two]).T
-                if sparse:
-                    x, y = _sparse_unit([[tuple(p.values()) for p in r[sparse] or ()] for r in one], [[tuple(p.values()) for p in r[sparse] or ()] for r in two])
-                    s = weights[0] * s + weights[1] * (x @ y.T)
-                i, j = np.nonzero(s >= least)
-                found = [(one[a][key], two[b][key], float(s[a, b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-                found = [(min(a, b), max(a, b), v) for a, b, v in found if (a < b if row["_block"] == row["_other"] else a != b)]
-                columns = [[row[by]] * len(found), *([f[k] for f in found] for k in range(3))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[by, "a", "b", "similarity"])
-
-    return pairs.select(by, "_block", "_other", "rows", "others").mapInArrow(product, schema)
-
-
-def resolved_entities(points: DataFrame, by: str, key: str, vector: str, similarity: float = 0.75, sparse: str | None = None, weights: tuple[float, float] = (0.9, 0.1), most: int = 10_000) -> DataFrame:
+            for k in range(frame.num_rows):
+                one, two = _sides(frame, k)
+                s = _products(one, two, sparse is not None, weights)
+                i, j = np.nonzero((np.triu(s >= least, 1)) if two is None else s >= least)
+                x, y = one[0].take(pa.array(i)), (one if two is None else two)[0].take(pa.array(j))
+                turned, same = pc.greater(x, y), pc.equal(x, y)
+                columns = [frame.column(by).take(pa.array(np.full(len(i), k))), pc.if_else(turned, y, x), pc.if_else(turned, x, y), pa.array(s[i, j], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[by, "a", "b", "similarity"]).filter(pc.invert(same))
+
+    return _blocks(points, by, key, cols, block)[1].mapInArrow(product, schema)
+
+
+def _nearest_merges(state: DataFrame, cut_at: float, sparse: bool, weights: tuple[float, float], block: int) -> DataFrame:
+    """(part, a, b) of clusters a < b of a part that are each other's nearest (ties to the least) at an average similarity of `cut_at` or more, and (part, a, null) of those that no other is as near to."""
+    kind = state.schema["key"].dataType.simpleString()
+
+    def nearest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for k in range(frame.num_rows):
+                one, two = _sides(frame, k)
+                s = _means(one, two, sparse, weights)
+                if two is None:
+                    np.fill_diagonal(s, -np.inf)
+                for keys, others, t in ((one[0], (two or one)[0], s), *([(two[0], one[0], s.T)] if two else [])):
+                    at = t.argmax(1)
+                    columns = [frame.column("part").take(pa.array(np.full(len(at), k))), keys, others.take(pa.array(at)), pa.array(t[np.arange(len(at)), at], pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "key", "other", "s"])
+
+    seen = _blocks(state, "part", "key", ["n", "mean"] + (["sparse"] if sparse else []), block)[1].mapInArrow(nearest, f"part long, key {kind}, other {kind}, s double")
+    # of the greatest similarity the least other; alone in its part a cluster has none
+    ranked = seen.filter("s > double('-inf')").groupBy("part", "key", "s").agg(F.min("other").alias("other")).groupBy("part", "key").agg(F.max_by("other", "s").alias("other"), F.max("s").alias("s"))
+    best = cut(ranked.filter(F.col("s") >= cut_at))
+    back = best.select("part", F.col("key").alias("other"), F.col("other").alias("key"))
+    both = best.filter(F.col("key") < F.col("other")).join(back, ["part", "key", "other"]).select("part", F.col("key").alias("a"), F.col("other").alias("b"))
+    done = state.select("part", F.col("key").alias("a")).join(best.select("part", F.col("key").alias("a")), ["part", "a"], "left_anti")
+    return cut(both.unionByName(done.withColumn("b", F.lit(None).cast(kind))))
+
+
+def _means(one: list[pa.Array], two: list[pa.Array] | None, sparse: bool, weights: tuple[float, float]) -> np.ndarray:
+    """Average similarities between clusters (key, n, mean, sparse): products of their mean unit vectors."""
+    dense = lambda side: side[2].flatten().to_numpy(zero_copy_only=False).reshape(len(side[2]), -1)
+    x = dense(one)
+    s = x @ (x if two is None else dense(two)).T
+    if sparse:
+        y = _sparse_matrices(one[3], unit=False) * 2 if two is None else _sparse_matrices(one[3], two[3], unit=False)
+        s = weights[0] * s + weights[1] * (y[0] @ y[1].T)
+    return s
+
+
+def resolved_entities(points: DataFrame, by: str, key: str, vector: str, similarity: float = 0.75, sparse: str | None = None, weights: tuple[float, float] = (0.9, 0.1), most: int = 2_000, block: int = 500) -> DataFrame:
     """(by, key, cluster): average-linkage clusters of a group's points, cut at a similarity; clusters are numbered within a group by their least key.
 
-    Clusters merge at an average similarity of at least the cut, so some pair between them has it: clusters lie within the components of the pairs at or above it. Those
-    pairs come from `similar_pairs`, components from joins, and only a component's own matrix is made in a task. A component of over `most` points is an error.
+    Equal points are one from the start, as nothing is nearer to them. Clusters merge at an average similarity of at least the cut, so some pair between them has it: clusters lie within the
+    components of the pairs at or above it. Those pairs come from `similar_pairs`, components from joins. A component of up to `most` points is clustered by its matrix in a task. A larger one goes
+    through rounds that merge all clusters that are each other's nearest, which gives the same clusters, as a merge brings nothing nearer; an average similarity is the product of the clusters' mean
+    unit vectors, so a round is products of blocks. Clusters without any other at the cut are finished, and what is left of a component is clustered in a task once it is small enough.
     """
     ship(points.sparkSession)
     kind = points.schema
-    cols = [vector] + ([sparse] if sparse else [])
-    node = F.xxhash64(F.col(by), F.col(key))
+    name = kind[key].dataType.simpleString()
+    rows = points.select(by, key, F.col(vector).alias("_v"))
+    if sparse:
+        term, weight = kind[sparse].dataType.elementType.names
+        pairs = F.coalesce(F.col(sparse), F.array().cast(kind[sparse].dataType))
+        # of a term that a point repeats the last weight counts
+        last = lambda t: F.element_at(F.filter(pairs, lambda x: x[term] == t), -1)[weight].cast("double")
+        once = F.transform(F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x[term]))), lambda t: F.struct(t.alias("term"), last(t).alias("weight")))
+        rows = points.select(by, key, F.col(vector).alias("_v"), once.alias("_s"))
+    some = lambda c: F.when(F.exists(c, lambda x: x != 0), 1.0).otherwise(0.0)
+    own = weights[0] * some(F.col("_v")) + weights[1] * some(F.col("_s.weight")) if sparse else some(F.col("_v"))
+    # a point less near to itself than the cut is not one with its copies
+    rows = stored(rows.withColumn("_own", F.when(own < similarity, F.col(key))), "entities")
+    same = [by, "_v", *(["_s"] if sparse else [])]
+    firsts = stored(rows.groupBy(*same, "_own").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("n")), "entities")
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*same, "_own"]]
+    member = rows.alias("x").join(firsts.alias("y"), reduce(lambda a, b: a & b, on)).select(f"x.{by}", f"x.{key}", "_first")
+
     # a hair below the cut, as a mean may reach it by rounding
-    links = similar_pairs(points, by, key, vector, similarity - 1e-9, sparse, weights)
-    edges = links.select(F.xxhash64(F.col(by), F.col("a")).alias("a"), F.xxhash64(F.col(by), F.col("b")).alias("b"))
-    parts = components(cut(edges)).withColumnRenamed("node", "_node")
-    tagged = points.select(by, key, *cols, node.alias("_node")).join(parts, "_node", "left").withColumn("_part", F.coalesce("root", "_node"))
-    schema = f"{by} {kind[by].dataType.simpleString()}, {key} {kind[key].dataType.simpleString()}, least {kind[key].dataType.simpleString()}"
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a component of {len(rows)} points: raise the similarity or `most`")
-        rows = rows.sort_values(key)
-        x = _unit(list(rows[vector]))
-        s = x @ x.T
+    links = similar_pairs(firsts.withColumnRenamed("_first", key), by, key, "_v", similarity - 1e-9, "_s" if sparse else None, weights, block)
+    node = lambda c: F.xxhash64(F.col(by), F.col(c))
+    parts = components(cut(links.select(node("a").alias("a"), node("b").alias("b")))).withColumnRenamed("node", "_node")
+    tagged = firsts.withColumn("_node", node("_first")).join(parts, "_node", "left")
+    scaled = [V.normalised(F.col("_v")).alias("mean")]
+    if sparse:
+        norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+        scaled.append(F.transform("_s", lambda x: F.struct(x["term"].alias("term"), (x["weight"] / F.greatest(norm, F.lit(1e-12))).alias("weight"))).alias("sparse"))
+    state = stored(tagged.select(F.coalesce("root", "_node").alias("part"), F.col("_first").alias("key"), "n", *scaled), "entities")
+    columns, moved, small = state.columns, [], []
+    labels = state.select("part", F.col("key").alias("first"), "key")
+    while True:
+        sizes = state.groupBy("part").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > most).select("part")
+        small.append(state.join(sizes, "part", "left_anti"))
+        state = state.join(sizes, "part", "left_semi")
+        if state.isEmpty():
+            break
+        moves = _nearest_merges(state, similarity - 1e-12, sparse is not None, weights, block)
+        to = moves.filter("b IS NOT NULL").select("part", F.col("b").alias("key"), F.col("a").alias("to"))
+        labels = cut(labels.join(to, ["part", "key"], "left").select("part", "first", F.coalesce("to", "key").alias("key")))
+        finished = moves.filter("b IS NULL").select("part", F.col("a").alias("key"))
+        left = state.join(finished, ["part", "key"], "left_anti").join(to, ["part", "key"], "left").withColumn("key", F.coalesce("to", "key"))
+        add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
+        sums = [F.transform("mean", lambda v: v * F.col("n")).alias("mean")]
+        if sparse:
+            sums.append(F.map_from_entries(F.transform("sparse", lambda x: F.struct(x["term"], x["weight"] * F.col("n")))).alias("sparse"))
+        # one cluster or two
+        both = left.select("part", "key", "n", *sums).groupBy("part", "key").agg(F.sum("n").alias("n"), *[F.collect_list(c).alias(c) for c in columns[3:]])
+        out = [F.transform(F.when(F.size("mean") == 2, add(F.col("mean")[0], F.element_at("mean", -1))).otherwise(F.col("mean")[0]), lambda v: v / F.col("n")).alias("mean")]
         if sparse:
-            (y,) = _sparse_unit([[tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in (r if r is not None else ())] for r in rows[sparse]])
-            s = weights[0] * s + weights[1] * (y @ y.T)
-        found = average_linkage(np.clip(1 - s, 0, 2), 1 - similarity)
-        keys = rows[key].to_numpy()
-        first = {c: keys[found == c].min() for c in set(found)}
-        return pd.DataFrame({by: rows[by].to_numpy(), key: keys, "least": [first[c] for c in found]})
-
-    found = tagged.groupBy(by, "_part").applyInPandas(cluster, schema)
+            joint = F.map_zip_with(F.col("sparse")[0], F.element_at("sparse", -1), lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+            whole = F.map_entries(F.when(F.size("sparse") == 2, joint).otherwise(F.col("sparse")[0]))
+            out.append(F.transform(whole, lambda x: F.struct(x["key"].alias("term"), (x["value"] / F.col("n")).alias("weight"))).alias("sparse"))
+        state = stored(both.select("part", "key", "n", *out), "entities")
+
+    def cluster(group: pa.Table) -> pa.Table:
+        group = group.sort_by("key").combine_chunks()
+        one = [group.column(c).combine_chunks() for c in columns[1:]]
+        found = average_linkage(np.clip(1 - _means(one, None, sparse is not None, weights), 0, 2), 1 - similarity, one[1].to_numpy())
+        # keys are in order: a cluster's first row has its least
+        first = np.unique(found, return_index=True)[1][found]
+        return pa.table({"part": group.column("part"), "key": one[0], "least": one[0].take(pa.array(first))})
+
+    last = reduce(DataFrame.unionByName, small).groupBy("part").applyInArrow(cluster, f"part long, key {name}, least {name}")
+    ended = labels.join(last, ["part", "key"], "left").select(F.col("first").alias("_first"), F.coalesce("least", "key").alias("least"), "part")
+    named = firsts.select(by, "_first", node("_first").alias("_node")).join(parts, "_node", "left").select(by, "_first", F.coalesce("root", "_node").alias("part"))
+    found = member.join(named.join(ended, ["part", "_first"]), [by, "_first"]).select(by, key, "least")
     return found.select(by, key, (F.dense_rank().over(Window.partitionBy(by).orderBy("least")) - 1).cast("long").alias("cluster"))
 
 

@@ -39,3 +39,11 @@ def test_candidates_are_few(spark):
     assert n < 0.1 * 600 * 599 / 2
     every = sets.alias("x").join(sets.alias("y"), F.expr("x.k < y.k")).filter(F.expr("size(array_intersect(x.m, y.m)) >= 0.5 * size(array_union(x.m, y.m))"))
     assert every.count() <= n
+
+
+@pytest.mark.parametrize(("strong", "overlap", "following"), [(0.75, 0.3, True), (0.9, 0.5, False), (2.0, 0.05, False), (0.2, 1.0, True)])
+def test_tied_links_equal_pairs_in_the_window(events, monkeypatch, strong, overlap, following):
+    monkeypatch.setattr(G, "WIDE", 2)
+    every = G.linked(G.event_pairs(events, "grp", "idx", "o", "v", "m").filter("pb - pa <= 3"), strong, overlap, following)
+    assert rows(G.linked(G.event_pairs(events, "grp", "idx", "o", "v", "m", window=3), strong, overlap, following)) == rows(every) != []
+    assert rows(G.tied_links(events, "grp", "idx", "o", "v", "m", 3, strong, overlap, following)) == rows(every)

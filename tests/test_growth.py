@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tests.comparing import same
 from velarium.operators import graph as G
+from velarium.operators import kgbuild as K
 from velarium.queries import ORACLE_SQL, QUERIES
 from velarium.queries.search import _bm25_sql
+from velarium.shared import bucketed
 
 
 def plan(frame) -> str:
@@ -85,3 +87,27 @@ def test_a_large_component_clusters_by_rounds_as_by_its_matrix(spark, sparse):
         labels = G.average_linkage(np.clip(1 - s, 0, 2), 1 - cut_at)
         assert 1 < len(set(labels)) < 60
         assert {frozenset(r[1] for r in own if found[10][r[1]] == c) for c in {found[10][r[1]] for r in own}} == {frozenset(own[i][1] for i in np.flatnonzero(labels == c)) for c in set(labels)}
+
+
+def test_a_bucketed_table_stays_where_it_is(spark):
+    table = bucketed(spark.range(500).selectExpr("id % 50 AS a", "id % 7 AS b", "id AS c"), "stays", ["a", "b"])
+    asked = spark.range(40).selectExpr("id AS a", "id % 7 AS b")
+    found = asked.hint("shuffle_hash").join(table, ["a", "b"])
+    assert found.count() == sum(1 for n in range(500) for k in range(40) if (n % 50, n % 7) == (k, k % 7))
+    assert plan(found).rsplit("== physical plan ==", 1)[1].count("exchange hashpartitioning") == 1
+
+
+def test_long_walks_are_put_together_in_order(spark):
+    ring = spark.createDataFrame([(n, (n + 1) % 12) for n in range(12)], "src long, dst long")
+    found = G.walks(ring, 1, 23).collect()
+    assert sorted(r["path"][0] for r in found) == list(range(12))
+    assert all(len(r["path"]) == 23 and all((b - a) % 12 in (1, 11) for a, b in zip(r["path"], r["path"][1:], strict=False)) for r in found)
+
+
+def test_texts_of_a_cluster_meet_its_members_last(spark):
+    rows = spark.createDataFrame([("c", k, f"n{k}", "" if k == 1 else f"d{k}") for k in range(4)], "cluster string, local_id int, name string, desc string")
+    out = K.resolution(rows)
+    assert {r["merged_desc"] for r in out.collect()} == {"d0 d2 d3"} and {r["canonical_name"] for r in out.collect()} == {"n3"}
+    logical = plan(out).split("== optimized logical plan ==")[1].split("== physical plan ==")[0]
+    # the clusters' sizes, then all that a part says at once
+    assert len([line for line in logical.splitlines() if "join " in line]) == 2

@@ -109,5 +109,5 @@ def test_texts_of_a_cluster_meet_its_members_last(spark):
     out = K.resolution(rows)
     assert {r["merged_desc"] for r in out.collect()} == {"d0 d2 d3"} and {r["canonical_name"] for r in out.collect()} == {"n3"}
     logical = plan(out).split("== optimized logical plan ==")[1].split("== physical plan ==")[0]
-    # the clusters' sizes, then all that a part says at once
-    assert len([line for line in logical.splitlines() if "join " in line]) == 2
+    # the sizes on both sides, then all that a part says at once
+    assert len([line for line in logical.splitlines() if "join " in line]) == 3

@@ -111,3 +111,13 @@ def test_texts_of_a_cluster_meet_its_members_last(spark):
     logical = plan(out).split("== optimized logical plan ==")[1].split("== physical plan ==")[0]
     # the sizes on both sides, then all that a part says at once
     assert len([line for line in logical.splitlines() if "join " in line]) == 3
+
+
+def test_stages_become_one_row_a_pair_before_any_node_is_asked(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abc"], "node string")
+    e = lambda *rows: spark.createDataFrame(rows, "src string, dst string, weight double")
+    out = K.laid_over(nodes, [(e(("a", "b", 1.0), ("b", "a", None), ("b", "c", 2.0)), "sum"), (e(("b", "c", None), ("z", "a", 1.0)), "set"), (e(("a", "b", 0.5), ("c", "b", 3.0)), "max"), (e(("a", "b", 7.0), ("a", "c", 7.0)), "absent")])
+    assert {(r["a"], r["b"]): r["weight"] for r in out.collect()} == {("a", "b"): 1.0, ("b", "c"): 3.0, ("a", "c"): 7.0}
+    # lists of a pair's stages would be sorted into groups, and edges by stage shuffled to the nodes
+    physical = plan(out).rsplit("== physical plan ==", 1)[1]
+    assert "collect_list" not in physical and "objecthashaggregate" not in physical

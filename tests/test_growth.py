@@ -11,8 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.comparing import same
+from velarium.functions import text
 from velarium.operators import graph as G
+from velarium.operators import graphstore as GS
 from velarium.operators import kgbuild as K
+from velarium.operators import retrieval as R
+from velarium.operators import store
 from velarium.queries import ORACLE_SQL, QUERIES
 from velarium.queries.search import _bm25_sql
 from velarium.shared import bucketed
@@ -121,3 +125,11 @@ def test_stages_become_one_row_a_pair_before_any_node_is_asked(spark):
     # lists of a pair's stages would be sorted into groups, and edges by stage shuffled to the nodes
     physical = plan(out).rsplit("== physical plan ==", 1)[1]
     assert "collect_list" not in physical and "objecthashaggregate" not in physical
+
+
+def test_ngrams_are_found_in_one_pass(spark):
+    texts = ["ab", "", None, "a\nb\r c", "x\U0001f600\U0001f601yz", "aaaa"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.ngrams(F.col("t"), 3).alias("g"))
+    assert {r["t"]: r["g"] for r in frame.collect()} == {t: [t[i : i + 3] for i in range(len(t or "") - 2)] for t in texts}
+    # a function of an array would be run anew for each character, not compiled
+    assert "lambda" not in plan(frame)

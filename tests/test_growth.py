@@ -133,3 +133,11 @@ def test_ngrams_are_found_in_one_pass(spark):
     assert {r["t"]: r["g"] for r in frame.collect()} == {t: [t[i : i + 3] for i in range(len(t or "") - 2)] for t in texts}
     # a function of an array would be run anew for each character, not compiled
     assert "lambda" not in plan(frame)
+
+
+def test_shots_of_one_video_are_numbered_by_ranges(spark):
+    rows = [(k, "v", (k * 37) % 101, (k * 37) % 101 + k % 3) for k in range(400)]
+    session = R.Session({"shots": R.Collection(spark.createDataFrame(rows, "key long, video_id string, start_frame long, end_frame long"), ())}, lambda _: None)
+    found = R.get_video_timeline(session, "v", "shot")
+    assert [(r["shot_number"], r["start_frame"], r["end_frame"]) for r in found.collect()] == [(n + 1, *x) for n, x in enumerate(sorted((r[2], r[3]) for r in rows))]
+    assert "windowspecdefinition(video_id" not in plan(found)

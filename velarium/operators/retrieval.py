@@ -19,6 +19,7 @@ from velarium.functions import vector as V
 from velarium.operators import graph as G
 from velarium.operators import search as S
 from velarium.operators import temporal
+from velarium.operators.metrics import numbered
 from velarium.operators.scope import above, in_scope, page, top
 from velarium.operators.textindex import TextIndex
 from velarium.plans.registry import Registry, Results
@@ -342,8 +343,9 @@ def get_video_metadata(session: Session, video_id: str) -> DataFrame:
 def get_video_timeline(session: Session, video_id: str, granularity: str = "segment") -> DataFrame:
     """Segments in the order of their frames, shots with their numbers, or minutes with how many segments begin in them and the first one's caption."""
     if granularity == "shot":
-        order = Window.partitionBy("video_id").orderBy("start_frame", "end_frame")
-        return _of_video(session, "shots", video_id).select("video_id", F.row_number().over(order).alias("shot_number"), "start_frame", "end_frame").orderBy("shot_number")
+        # one video may have very many shots, so none of it is numbered in a single task
+        placed = numbered(_of_video(session, "shots", video_id).select("video_id", "start_frame", "end_frame"), ["start_frame", "end_frame"], "_n")
+        return placed.select("video_id", (F.col("_n") + 1).alias("shot_number"), "start_frame", "end_frame").orderBy("shot_number")
     rows = _of_video(session, "segment_captions", video_id)
     if granularity == "minute":
         return temporal.minute_timeline(rows, "video_id", "start_sec", "caption", "key").orderBy("minute")

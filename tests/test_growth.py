@@ -141,3 +141,17 @@ def test_shots_of_one_video_are_numbered_by_ranges(spark):
     found = R.get_video_timeline(session, "v", "shot")
     assert [(r["shot_number"], r["start_frame"], r["end_frame"]) for r in found.collect()] == [(n + 1, *x) for n, x in enumerate(sorted((r[2], r[3]) for r in rows))]
     assert "windowspecdefinition(video_id" not in plan(found)
+
+
+def test_a_round_of_labels_shuffles_the_neighbourhoods_of_its_half_once(spark):
+    rng = random.Random(5)
+    rows = [(a, b, 1.0) for a in range(600) for b in rng.sample(range(600), 60) if a < b]
+    edges = spark.createDataFrame(rows, "a long, b long, weight double")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+    moved = []
+    for rounds in (1, 5):
+        began = written()
+        assert G.communities(edges, rounds).count() == 600
+        moved.append(written() - began)
+    assert (moved[1] - moved[0]) / 4 / len(rows) < 12

@@ -155,3 +155,19 @@ def test_a_round_of_labels_shuffles_the_neighbourhoods_of_its_half_once(spark):
         assert G.communities(edges, rounds).count() == 600
         moved.append(written() - began)
     assert (moved[1] - moved[0]) / 4 / len(rows) < 12
+
+
+def test_rows_are_dealt_by_key_before_their_text_is_made(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "w"), ("b", 1, None)], "k string, n int, v string")
+    out = store.one_of_each(rows, ["k"])
+    below = plan(out).rsplit("== physical plan ==", 1)[1].split("exchange", 1)[1]
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 2, "w"), ("b", 1, None)]
+    assert "to_json" not in below and "structstojson" not in below
+
+
+def test_ends_are_looked_for_before_edges_are(spark):
+    state = {"events": spark.createDataFrame([("1",)], "key string"), "entities": spark.createDataFrame([("5",)], "key string")}
+    of = lambda *e: {**state, "event_entities": spark.createDataFrame(e, "key string, src string, dst string")}
+    assert not GS.unknown_ends(of(("k", "1", "5"), ("l", "1", "5")))
+    for wrong in (("k", "1", "6"), ("k", "2", "5"), ("k", "1", None)):
+        assert GS.unknown_ends(of(("l", "1", "5"), wrong)) and GS.wrong_edges(of(("l", "1", "5"), wrong)).count() == 1

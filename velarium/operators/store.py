@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def one_of_each(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Of rows with equal keys the last by `order` (null orders first); of rows that agree in it, or without it, the last as JSON text. One aggregation that combines map-side."""
+    """Of rows with equal keys the last by `order` (null orders first); of rows that agree in it, or without it, the last as JSON text. Rows are dealt by key once as they are; the text is made where they meet and is never shuffled."""
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     last = F.struct(*([F.col(order).isNotNull().alias("known"), F.col(order).alias("order")] if order else []), F.to_json(whole).alias("text"))
-    best = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max_by(whole, last).alias("_r"))
+    best = rows.repartition(*keys).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max_by(whole, last).alias("_r"))
     return best.select("_r.*")
 
 

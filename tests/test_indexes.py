@@ -173,3 +173,19 @@ def test_an_index_without_directions(spark, tmp_path):
     points = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "vec_id long, embedding array<double>")
     index = S.VectorIndex(spark, str(tmp_path / "z")).build(points)
     assert [r["vec_id"] for r in index.search([1.0, 0.0], 5).collect()] == [r["vec_id"] for r in S.dense_topk(points, [1.0, 0.0], 5).collect()]
+
+
+def test_cells_are_bounded_by_the_sample():
+    assert [S._cells(n, 100_000) for n in (0, 10, 2_000, 100_000, 7_000_000, 10**9)] == [1, 3, 44, 316, 390, 390]
+
+
+def test_nearest_of_each_equals_scans(spark, points):
+    many = points.unionByName(points.filter("vec_id < 20").select((F.col("vec_id") + 50_000).alias("vec_id"), "embedding")).repartition(3)
+    asked = [list(r["embedding"]) for r in points.filter("embedding IS NOT NULL AND vec_id % 50 = 3").collect()] + [[1.0] * 64]
+    found = S.nearest_of_each(many, asked, 7).orderBy("q", F.col("score").desc(), "vec_id").collect()
+    for n, q in enumerate(asked):
+        assert [r["vec_id"] for r in found if r["q"] == n] == [r["vec_id"] for r in S.dense_topk(many, q, 7).collect()]
+
+
+def test_folders_of_cells_are_listed_once(vectors):
+    assert vectors.points() is vectors.points()

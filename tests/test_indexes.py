@@ -189,3 +189,21 @@ def test_nearest_of_each_equals_scans(spark, points):
 
 def test_folders_of_cells_are_listed_once(vectors):
     assert vectors.points() is vectors.points()
+
+
+def test_terms_keep_few_variants_and_near_ones_are_found(spark, tmp_path):
+    words = ["abcdefghijklmnop", "abxdefghijklmnop", "abcdefghijklmno", "xabcdefghijklmnopq", "cdefghijklmnop", "abcdefghijk" * 4, "abcdefghijk" * 4 + "zz", "bacdefghijklmnop", "abcdefgh"]
+    docs = spark.createDataFrame([(k, f"{w} {w} common") for k, w in enumerate(words)], "id long, text string")
+    one = TextIndex(spark, str(tmp_path / "variants"), shards=2)
+    one.add(docs, "id", "text")
+    asked = ["abcdefghijklmnop", "abcdefghijk" * 4, "abcdefghi"]
+    assert sorted(map(tuple, one.near_terms(asked).collect())) == sorted(map(tuple, S.fuzzy_terms(docs, " ".join(asked), "text").collect()))
+    assert one._read("variants", *one._live()[0]).groupBy("term").count().agg(F.max("count")).first()[0] <= 29
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=14), st.text("ab", max_size=14))
+def test_near_words_share_what_is_left_of_their_beginnings(a, b):
+    for most in (0, 1, 2):
+        if distance(a, b) <= most:
+            assert shortened(a[:7], most) & shortened(b[:7], 2)

@@ -33,24 +33,38 @@ from velarium.shared import cut, ship, stored
 
 SEGMENT = "ids array<string>, keys array<long>, n_words array<int>, terms array<string>, ends array<int>, places array<int>"
 SEGMENT_DOCS, SEGMENT_BYTES = 500, 4_000_000
+#: A row of the index has megabytes, and writers look at their buffers' size only after a hundred rows: they look at each, and what a reader decodes at once stays small.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 class TestSide:
-    """A block of test items: a vocabulary and the distinct windows with their items."""
+    """A block of test items: a vocabulary and the distinct windows with their items, in flat arrays (a task holds some 40 bytes a window and its items' names)."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int = 10) -> None:
         vocabulary: dict[str, int] = {}
-        windows: dict[tuple[int, ...], set] = defaultdict(set)
+        names = sorted({n for n, _ in items if n is not None})
+        code = {n: k for k, n in enumerate(names)}
+        tables, owners = [np.zeros((0, size), np.int32)], [np.zeros(0, np.int64)]
         for name, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in ALNUM.findall(lower_text(text))]
-            for s in range(max(0, len(ids) - size) + 1 if ids else 0):
-                windows[tuple(ids[s : s + size])].add(name)
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ALNUM.findall(lower_text(text))], np.int32)
+            if len(ids):
+                own = np.lib.stride_tricks.sliding_window_view(ids, size) if len(ids) >= size else np.r_[ids, np.full(size - len(ids), -1, np.int32)][None]
+                tables.append(own)
+                owners.append(np.full(len(own), code.get(name, -1), np.int64))
         self.terms = pa.array(list(vocabulary), pa.string())
-        self.windows = list(windows)
-        self.names = [sorted(n for n in v if n is not None) for v in windows.values()]
-        self.table = np.full((len(self.windows), size), len(vocabulary), dtype=np.int32)  # the last id stands for nothing
-        for k, w in enumerate(self.windows):
-            self.table[k, : len(w)] = w
+        self.table, at = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
+        owner, at = np.concatenate(owners), at.reshape(-1).astype(np.int64)
+        self.table[self.table < 0] = len(vocabulary)  # the last id stands for nothing
+        # a window's names once each, in order, end to end
+        pairs = np.unique((at * max(1, len(names)) + owner)[owner >= 0])
+        self.named, self._names = pairs % max(1, len(names)), names
+        self._ends = np.cumsum(np.bincount(pairs // max(1, len(names)), minlength=len(self.table)))
+
+    def window(self, k: int) -> tuple[int, ...]:
+        return tuple(t for t in self.table[k].tolist() if t < len(self.terms))
+
+    def names(self, k: int) -> list[str]:
+        return [self._names[n] for n in self.named[self._ends[k - 1] if k else 0 : self._ends[k]].tolist()]
 
 
 def blocks(items: DataFrame, item_col: str, text_col: str, size: int, words: int) -> Iterator[TestSide]:
@@ -99,7 +113,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
             yield pa.RecordBatch.from_arrays(columns, names=["ids", "keys", "n_words", "terms", "ends", "places"])
 
-    return stored(docs.select("id", "key", "text").mapInArrow(segments, SEGMENT), "postings", compression="zstd")
+    return stored(docs.select("id", "key", "text").mapInArrow(segments, SEGMENT), "postings", compression="zstd", **SMALL_GROUPS)
 
 
 class Segment:
@@ -176,21 +190,21 @@ def search(index: DataFrame, side: TestSide, span: int = 20) -> DataFrame:
                 segment = Segment(batch, row, side.terms)
                 words, items, near = defaultdict(set), defaultdict(set), defaultdict(set)
                 for k in np.flatnonzero(np.r_[segment.there, True][side.table].all(axis=1)).tolist():
-                    window, sizes = side.windows[k], segment.sizes
+                    window, sizes = side.window(k), segment.sizes
                     terms = sorted(set(window), key=lambda t: (sizes[t], t))
                     at = segment.close(terms, span)
                     if not len(at):
                         continue
-                    rank = {t: r for r, t in enumerate(terms)}
+                    rank, names = {t: r for r, t in enumerate(terms)}, side.names(k)
                     order = sorted(range(len(window)), key=lambda j: (rank[window[j]], j))
                     starts = segment.phrase(window, order, at)
                     for d, start in zip(segment.document(starts).tolist(), starts.tolist(), strict=True):
                         words[d].update(range(start - int(segment.starts[d]), start - int(segment.starts[d]) + len(window)))
-                        items[d].update(side.names[k])
-                        near[d].update(side.names[k])
+                        items[d].update(names)
+                        near[d].update(names)
                     for d, p in zip(segment.document(at).tolist(), at.tolist(), strict=True):
-                        if not near[d].issuperset(side.names[k]) and segment.gathered(terms, p, span):
-                            near[d].update(side.names[k])
+                        if not near[d].issuperset(names) and segment.gathered(terms, p, span):
+                            near[d].update(names)
                 n = len(segment.keys)
                 yield pa.RecordBatch.from_arrays(
                     [

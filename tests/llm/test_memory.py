@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import pickle
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from velarium.llm import decontaminate
+from velarium.llm import collocations, decontaminate
 
 
 def test_index_rows_lie_in_small_groups(spark):
@@ -30,3 +32,20 @@ def test_a_block_of_items_is_flat():
     assert windows[tuple(code[str(1500 + j)] for j in range(3, 13))] == ["1"]
     # some 40 bytes a window and 8 a name; tuples and lists of each window were five times that when pickled and more in a task
     assert len(pickle.dumps(side)) < 70 * len(windows) + 16 * len(side.terms)
+
+
+def test_sketches_of_much_text_let_little_through(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(f"word{n:012d}" for n in rng.integers(0, 20_000, 200)), "en") for _ in range(200)] + [("new york city hall", "en")] * 40
+    own, seen = collocations.sketch, []
+    monkeypatch.setattr(collocations, "sketch", lambda *a, **k: seen.append(own(*a, **k)) or seen[-1])
+    found = collocations.phrase_counts(spark.createDataFrame(rows, "text string, lang string").repartition(3), cells=(64, 1024)).filter("words = 4").collect()
+    assert [(r["phrase"], r["f"]) for r in found] == [("new york city hall", 40)]
+    # before, one sketch of 1,024 cells for 160,000 phrases: every cell was reached, and all phrases went on to the exact pass
+    assert max(np.unpackbits(bits).mean() for bits in seen) < 0.2
+
+
+def test_hashes_of_strings_differ():
+    words = pa.array(["", "a", "b", "ab", "ba", "é", "a" * 5000, "\x00", "\x00\x00", *(f"w{n}" for n in range(100_000))])
+    assert len(np.unique(collocations._hash(words))) == len(words)
+    assert (collocations._hash(words.slice(1, 4)) == collocations._hash(words)[1:5]).all()

@@ -19,7 +19,7 @@ from velarium.operators import retrieval as R
 from velarium.operators import store
 from velarium.queries import ORACLE_SQL, QUERIES
 from velarium.queries.search import _bm25_sql
-from velarium.shared import bucketed
+from velarium.shared import bucketed, stored
 
 
 def plan(frame) -> str:
@@ -171,3 +171,17 @@ def test_ends_are_looked_for_before_edges_are(spark):
     assert not GS.unknown_ends(of(("k", "1", "5"), ("l", "1", "5")))
     for wrong in (("k", "1", "6"), ("k", "2", "5"), ("k", "1", None)):
         assert GS.unknown_ends(of(("l", "1", "5"), wrong)) and GS.wrong_edges(of(("l", "1", "5"), wrong)).count() == 1
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(k).getName() for k in range(blocks.size())}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = files(), spark.conf.get(key)
+    table = stored(spark.range(1000).repartition(5, "id"), "left")
+    dealt = bucketed(table, "left", ["id"])
+    # before, they stayed until the driver collected garbage, so walks of 80 steps left the files of 80 shuffles
+    assert not [f for f in files() - before if f.startswith("shuffle_") and f.endswith(".data")]
+    assert spark.conf.get(key) == set_to and dealt.count() == 1000

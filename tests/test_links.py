@@ -47,3 +47,26 @@ def test_tied_links_equal_pairs_in_the_window(events, monkeypatch, strong, overl
     every = G.linked(G.event_pairs(events, "grp", "idx", "o", "v", "m").filter("pb - pa <= 3"), strong, overlap, following)
     assert rows(G.linked(G.event_pairs(events, "grp", "idx", "o", "v", "m", window=3), strong, overlap, following)) == rows(every) != []
     assert rows(G.tied_links(events, "grp", "idx", "o", "v", "m", 3, strong, overlap, following)) == rows(every)
+
+
+def test_links_of_long_groups_equal_all_pairs(events, monkeypatch):
+    every = rows(G.linked(G.event_pairs(events, "grp", "idx", "o", "v", "m"), 0.75, 0.3))
+    monkeypatch.setattr(G, "WIDE", 17)  # four blocks a group, and products of blocks
+    assert rows(G.event_links(events, "grp", "idx", "o", "v", "m", 0.75, 0.3)) == every != []
+
+
+def test_events_of_short_groups_are_shuffled_once(spark, events):
+    small = events.withColumn("grp", F.expr("IF(o % 60 = 1, NULL, o % 60)"))
+    assert rows(G.event_links(small, "grp", "idx", "o", "v", "m", 0.75, 0.3)) == rows(G.linked(G.event_pairs(small, "grp", "idx", "o", "v", "m"), 0.75, 0.3)) != []
+
+    def written(frame):
+        sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+        before = sent()
+        frame().write.format("noop").mode("overwrite").save()
+        return sent() - before
+
+    rng = random.Random(6)
+    wide = spark.createDataFrame([(k % 400, k, k, [rng.gauss(0, 1) for _ in range(64)], [k % 7]) for k in range(4000)], "grp int, idx int, o long, v array<double>, m array<int>")
+    once = written(lambda: wide.repartition(8, "grp"))
+    # before, vectors were shuffled for the search and twice for the pairs it found
+    assert written(lambda: G.event_links(wide, "grp", "idx", "o", "v", "m", 0.0, 0.3)) < 1.5 * once

@@ -159,23 +159,81 @@ def overlapping_pairs(sets: DataFrame, by: str, key: str, members: str, least: f
 
 
 def event_links(events: DataFrame, by: str, index: str, key: str, vector: str, members: str, strong: float = 0.75, overlap: float = 0.30, following: bool = True) -> DataFrame:
-    """`linked(event_pairs(...))` over all pairs of a group, without a join of all pairs: pairs of keys come from three searches, and vectors and members meet them last.
+    """`linked(event_pairs(...))` over all pairs of a group, without a join of all pairs: a group's events are shuffled once, to its blocks, and only links leave a task.
 
-    Neighbours in dense order come from a join on the position, overlapping sets from `overlapping_pairs`, and similar vectors from `similar_pairs`, matrix products of blocks.
+    A group of up to 500 events is one block; a longer one has blocks of up to WIDE, and every pair of them is a task's matrix product, as in `similar_pairs`.
     """
-    placed = cut(events.select(by, key, F.dense_rank().over(Window.partitionBy(by).orderBy(index)).alias("_p")))
-    spot = lambda c, p: placed.select(by, F.col(key).alias(c), F.col("_p").alias(p))
-    # similarities are compared after they are rounded to four places
-    near = similar_pairs(events.select(by, key, vector).filter(F.col(vector).isNotNull()), by, key, vector, strong - 6e-5).select(by, "a", "b")
-    found = near.unionByName(overlapping_pairs(events.select(by, key, members), by, key, members, max(overlap - 6e-5, 1e-6)))
-    if following:
-        found = found.unionByName(spot("a", "pa").withColumn("_p", F.col("pa") + 1).join(placed.withColumnRenamed(key, "b"), [by, "_p"]).select(by, "a", "b"))
-    pairs = found.select(by, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    pairs = pairs.join(spot("x", "px"), [by, "x"]).join(spot("y", "py"), [by, "y"]).filter("px <> py")
-    turned = F.col("px") > F.col("py")
-    ordered = cut(pairs.select(by, F.when(turned, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("b"), F.least("px", "py").alias("pa"), F.greatest("px", "py").alias("pb")))
-    side = lambda c: events.select(by, F.col(key).alias(c), F.col(vector).alias(f"v{c}"), F.col(members).alias(f"m{c}"))
-    return linked(_compared(ordered.join(side("a"), [by, "a"]).join(side("b"), [by, "b"]), by), strong, overlap, following)
+    ship(events.sparkSession)
+    kind = events.schema
+    name, n = kind[key].dataType.simpleString(), F.count(F.lit(1)).over(Window.partitionBy(by))
+    counted = F.greatest(F.least(F.ceil(n / 500), F.lit(8)), F.ceil(n / WIDE)).cast("int")
+    # events without a group are in no pair; filtered here, as the join of blocks would, so that all three readings of the blocks share one shuffle
+    placed = events.filter(F.col(by).isNotNull()).select(by, key, vector, members, F.dense_rank().over(Window.partitionBy(by).orderBy(index)).alias("_p"), counted.alias("_blocks"))
+    dealt = placed.withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    # dealt by group already
+    blocks = dealt.groupBy(by, "_block", "_blocks").agg(F.collect_list(F.struct(key, vector, members, "_p")).alias("rows"))
+
+    def product(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every_row in frames:
+            short = pc.and_(pc.is_null(every_row.column("others")), pc.less_equal(pc.list_value_length(every_row.column("rows")), SHORT))
+            few, many = every_row.filter(short), every_row.filter(pc.invert(short))
+            for frame, found in [(few, _short(few)), *((many, _crossed(many, k)) for k in range(many.num_rows))]:
+                for group, one, two, i, j, s, shared, every in found:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        jaccard = shared / np.where(every > 0, every, np.nan)
+                    pi, pj = (side[3].to_numpy()[at] for side, at in ((one, i), (two, j)))
+                    # a hair below, as both are compared after they are rounded to four places
+                    keep = (pi != pj) & ((s >= strong - 6e-5) | (jaccard >= overlap - 6e-5) | (following & (np.abs(pi - pj) == 1)))
+                    i, j, pi, pj, turned = i[keep], j[keep], pi[keep], pj[keep], pa.array((pi > pj)[keep])
+                    x, y = one[0].take(pa.array(i)), two[0].take(pa.array(j))
+                    own = lambda values, t: pa.array(values[keep], t, from_pandas=True)  # noqa: B023, E731
+                    columns = [frame.column(by).take(pa.array(group[keep])), pc.if_else(turned, y, x), pc.if_else(turned, x, y), pa.array(np.minimum(pi, pj), pa.int32()), pa.array(np.maximum(pi, pj), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, own(s, pa.float64()), own(shared, pa.float64()), own(jaccard, pa.float64())], names=[by, "a", "b", "pa", "pb", "similarity", "shared", "jaccard"])
+
+    schema = f"{by} {kind[by].dataType.simpleString()}, a {name}, b {name}, pa int, pb int, similarity double, shared double, jaccard double"
+    found = _block_pairs(blocks, by).mapInArrow(product, schema)
+    return linked(found.withColumns({"similarity": F.round("similarity", 4), "shared": F.col("shared").cast("int"), "jaccard": F.round("jaccard", 4)}), strong, overlap, following)
+
+
+#: A group of so many events is compared pair by pair, with many others at once, and so many pairs at a time.
+SHORT, PAIRS = 64, 50_000
+
+
+def _crossed(frame: pa.RecordBatch, k: int) -> Iterator[tuple]:
+    """(row of the frame, sides, places in them, cosine, sizes of intersection and union) of all pairs of one pair of blocks (key, vector, members, place)."""
+    one, two = _sides(frame, k)
+    s = _directions(one[1]) @ _directions((two or one)[1]).T
+    shared, every = _overlaps(one[2], (two or one)[2])
+    i, j = np.nonzero(np.triu(np.ones_like(s, bool), 1) if two is None else np.ones_like(s, bool))
+    yield np.full(len(i), k), one, two or one, i, j, s[i, j], shared[i, j], every[i, j]
+
+
+def _short(frame: pa.RecordBatch) -> Iterator[tuple]:
+    """The same of short groups, a block each: their pairs one by one."""
+    lists = frame.column("rows")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    done = np.cumsum(sizes * (sizes - 1) // 2)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + PAIRS, side="right")))
+        one, n = lists.slice(first, last - first).flatten().flatten(), sizes[first:last]
+        group = np.repeat(np.arange(first, last), n)
+        later = np.repeat(np.cumsum(n), n) - 1 - np.arange(len(group))  # rows of the same group after each
+        i = np.repeat(np.arange(len(group)), later)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        x = _directions(one[1])
+        codes = one[2].flatten().dictionary_encode(null_encoding="encode")
+        wide = max(1, len(codes.dictionary))
+        held = np.unique(pc.list_parent_indices(one[2]).to_numpy(zero_copy_only=False).astype(np.int64) * wide + codes.indices.to_numpy(zero_copy_only=False))
+        m = np.bincount(held // wide, minlength=len(group))
+        ask = np.repeat(np.arange(len(i)), m[i])
+        mine = held[(np.cumsum(m) - m)[i][ask] + np.arange(len(ask)) - np.repeat(np.cumsum(m[i]) - m[i], m[i])] % wide + j[ask] * wide
+        hit = held[np.minimum(np.searchsorted(held, mine), max(0, len(held) - 1))] == mine
+        shared = np.bincount(ask, hit, minlength=len(i))
+        absent = np.asarray(one[2].is_null())
+        shared = np.where(absent[i] | absent[j], np.nan, shared)
+        yield group[i], one, one, i, j, (x[i] * x[j]).sum(1), shared, m[i] + m[j] - shared
+        first = last
 
 
 def _overlaps(one: pa.Array, two: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -344,11 +402,15 @@ def _blocks(points: DataFrame, by: str, key: str, cols: list[str], block: int) -
     sizes = points.groupBy(by).agg(F.greatest(F.least(F.ceil(n / block), F.lit(8)), F.ceil(n / max(block, WIDE))).cast("int").alias("_blocks"))
     dealt = points.join(sizes, by).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
     blocks = dealt.groupBy(by, "_block", "_blocks").agg(F.array_sort(F.collect_list(F.struct(key, *cols))).alias("rows"))
+    return blocks, _block_pairs(blocks, by)
+
+
+def _block_pairs(blocks: DataFrame, by: str) -> DataFrame:
     left = blocks.filter("_block < _blocks - 1").withColumn("_other", F.explode(F.sequence(F.col("_block") + 1, F.col("_blocks") - 1)))
     right = blocks.filter("_block > 0").select(F.col(by).alias("_by"), F.col("_block").alias("_other_block"), F.col("rows").alias("others"))
     pairs = left.join(right, (F.col(by) == F.col("_by")) & (F.col("_other") == F.col("_other_block"))).select(by, "rows", "others")
     own = blocks.select(by, "rows").withColumn("others", F.lit(None).cast(blocks.schema["rows"].dataType))
-    return blocks, own.unionByName(pairs)
+    return own.unionByName(pairs)
 
 
 def _sides(frame: pa.RecordBatch, k: int) -> tuple[list[pa.Array], list[pa.Array] | None]:

@@ -70,3 +70,22 @@ def test_events_of_short_groups_are_shuffled_once(spark, events):
     once = written(lambda: wide.repartition(8, "grp"))
     # before, vectors were shuffled for the search and twice for the pairs it found
     assert written(lambda: G.event_links(wide, "grp", "idx", "o", "v", "m", 0.0, 0.3)) < 1.5 * once
+
+
+def test_tied_events_are_sent_to_stretches_of_positions(spark):
+    rng = random.Random(7)
+    wide = spark.createDataFrame([(k % 3, k // 1200, k, [rng.gauss(0, 1) for _ in range(64)], [k % 7]) for k in range(12_000)], "grp int, idx int, o long, v array<double>, m array<int>")
+
+    def written(frame):
+        sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+        before = sent()
+        frame().write.format("noop").mode("overwrite").save()
+        return sent() - before
+
+    once, key = written(lambda: wide.repartition(8, "grp")), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    ratio = written(lambda: G.tied_links(wide, "grp", "idx", "o", "v", "m", 5, 0.3, 1.0, following=False)) / once
+    spark.conf.set(key, before)
+    # before, by group, once for each distance and once as the other side: seven times
+    assert ratio < 4

@@ -185,3 +185,13 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     # before, they stayed until the driver collected garbage, so walks of 80 steps left the files of 80 shuffles
     assert not [f for f in files() - before if f.startswith("shuffle_") and f.endswith(".data")]
     assert spark.conf.get(key) == set_to and dealt.count() == 1000
+
+
+def test_pairs_of_stages_are_dealt_once_for_their_greater_end(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
+    e = lambda *rows: spark.createDataFrame(rows, "src string, dst string, weight double")
+    out = K.laid_over(nodes, [(e(("d", "a", 1.0), ("a", "d", 2.0), ("a", "z", 2.0), (None, "a", 1.0)), "sum"), (e(("a", "d", 2.5), ("b", "c", 1.0), ("b", "b", 1.0)), "max")])
+    physical = plan(out).rsplit("== physical plan ==", 1)[1].split("== initial plan ==")[0]
+    assert sorted((r["a"], r["b"], r["weight"]) for r in out.collect()) == [("a", "d", 3.0), ("b", "c", 1.0)]
+    # edges by their greater end, rows by their lesser one, nodes for each; before, pairs by both ends came first
+    assert physical.count("exchange hashpartitioning") == 4
